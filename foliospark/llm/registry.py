@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import exact_dedup
+from foliospark.llm import exact_dedup, mixing, quality_rules
 
-MODULES = (exact_dedup,)
+MODULES = (quality_rules, exact_dedup, mixing)
 
 
 def queries() -> dict:
