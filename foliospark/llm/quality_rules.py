@@ -32,7 +32,8 @@ RATIOS = {
     "digits_per_char": F.col("n_digits") / F.col("word_chars"),
     "repeated_words_share": F.col("n_repeat_words") / F.col("n_words"),
     "repeated_lines_share": F.col("n_dup_lines") / F.col("n_lines"),
-    "distinct_words_share": F.col("n_distinct_words") / F.col("n_words"),
+    # by the root: the plain share falls with the length of any text
+    "distinct_words_by_root": F.col("n_distinct_words") / F.sqrt("n_words"),
     "words_per_line": F.col("n_words") / F.col("n_lines"),
 }
 
