@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, mixing, quality_rules, simhash
+from foliospark.llm import chat_format, exact_dedup, mixing, packing, quality_rules, simhash
 
-MODULES = (quality_rules, exact_dedup, simhash, chat_format, mixing)
+MODULES = (quality_rules, exact_dedup, packing, simhash, chat_format, mixing)
 
 
 def queries() -> dict:
