@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, license_scan, mixing, packing, quality_rules, simhash
+from foliospark.llm import chat_format, exact_dedup, license_scan, mixing, packing, quality_rules, simhash, warc
 
-MODULES = (quality_rules, exact_dedup, license_scan, packing, simhash, chat_format, mixing)
+MODULES = (quality_rules, exact_dedup, license_scan, packing, warc, simhash, chat_format, mixing)
 
 
 def queries() -> dict:
