@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, license_scan, mixing, packing, quality_rules, simhash, warc
+from foliospark.llm import chat_format, exact_dedup, license_scan, mixing, packing, quality_rules, simhash, toxicity, warc
 
-MODULES = (quality_rules, exact_dedup, license_scan, packing, warc, simhash, chat_format, mixing)
+MODULES = (quality_rules, toxicity, exact_dedup, license_scan, packing, warc, simhash, chat_format, mixing)
 
 
 def queries() -> dict:
