@@ -215,6 +215,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, with all their columns.
+
+    Of rows that share that id, one stays.
+    """
+    kept = near_dedup(docs, id_col, text_col, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    again = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return found.dropDuplicates([id_col]) if again else found
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
