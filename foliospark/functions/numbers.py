@@ -19,6 +19,11 @@ def toward_zero(x: Column) -> Column:
     return x.cast("long").cast("double")
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x to so many digits, halves to even: one multiplication and division, so that any engine gives the same."""
+    return F.rint(col(x) * float(10**digits)) / float(10**digits)
+
+
 def up_to_multiple(x: Column, step: int) -> Column:
     """The next multiple of step that isn't below the integer x."""
     return (F.ceil(x / F.lit(float(step))) * step).cast("long")

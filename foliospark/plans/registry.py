@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from foliospark.plans import decoding
+    from foliospark.plans import decoding, regions
 
-    return (decoding,)
+    return decoding, regions
 
 
 def queries() -> dict:
