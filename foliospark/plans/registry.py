@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from foliospark.plans import decoding, regions
+    from foliospark.plans import decoding, dictionaries, evaluation, pixels, regions
 
-    return decoding, regions
+    return decoding, regions, pixels, dictionaries, evaluation
 
 
 def queries() -> dict:
