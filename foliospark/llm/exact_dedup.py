@@ -87,10 +87,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows are found again by id and text; where several rows agree in both, one of them stays.
     """
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_of(text_col)))
-    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_doc_id"), F.xxhash64(text_of(text_col)).alias("_doc_key"))
+    found = keyed.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_key") == F.col("_key")), "left_semi")
     again = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return (found.dropDuplicates([id_col, "_text_key"]) if again else found).drop("_text_key")
+    return (found.dropDuplicates(["_doc_id", "_doc_key"]) if again else found).select("_doc.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,24 +91,27 @@ def mix_sources(
     rates = target_rates(docs, source_col, weights, epochs, temperature).select(
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf")
     )
-    keyed = docs.select(*out, F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("_source"))
+    # the columns travel in a struct, so that their names can't clash with those used here
+    keyed = docs.select(
+        F.struct(*out).alias("_doc"), F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("_source")
+    )
     if rates.count() <= BROADCAST_SOURCES:
         rated = keyed.join(F.broadcast(rates), "_source")
     else:
         salts = F.explode(F.array(*[F.lit(i) for i in range(64)]))
-        rated = keyed.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(64)).cast("int")).join(rates.withColumn("_salt", salts), ["_source", "_salt"])
+        rated = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(64)).cast("int")).join(rates.withColumn("_salt", salts), ["_source", "_salt"])
 
     def invert(draw: Column) -> Column:
-        u = uniform(seed, F.col(id_col), draw)
+        u = uniform(seed, F.col("_id"), draw)
         return F.size(F.filter("_cdf", lambda c: c <= u))
 
     one = invert(F.lit(0))
     many = F.aggregate(F.sequence(F.lit(0), F.col("_draws") - 1), F.lit(0), lambda acc, i: acc + invert(i))
     counted = rated.withColumn("n_copies", F.when(F.col("_draws") == 1, one).otherwise(many).cast("int")).filter("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     return (
-        copies.select(*out, "copy", "n_copies", key.alias("mix_key"))
+        copies.select("_doc.*", "copy", "n_copies", key.alias("mix_key"))
         .repartition(shuffle_partitions(spark), "mix_key")
         .sortWithinPartitions("mix_key")
     )

@@ -221,9 +221,10 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Of rows that share that id, one stays.
     """
     kept = near_dedup(docs, id_col, text_col, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_doc_id"))
+    found = keyed.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")), "left_semi")
     again = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return found.dropDuplicates([id_col]) if again else found
+    return (found.dropDuplicates(["_doc_id"]) if again else found).select("_doc.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

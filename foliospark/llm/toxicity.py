@@ -83,9 +83,10 @@ def total_weight(text: str, automaton: ahocorasick.Automaton) -> tuple[float, in
 
     Entries inside a phrase of the exceptions don't count. An entry counts MOST_COUNTED times at most.
     """
-    text = f" {' '.join(text.split())} "
+    words = text.split()
+    text = f" {' '.join(words)} "
     if not len(automaton):
-        return 0.0, text.count(" ") - 1
+        return 0.0, len(words)
     hits, excused = [], []
     for end, (n, w) in automaton.iter(text):
         (excused if w is None else hits).append((end - n + 1, end, w))
@@ -98,7 +99,7 @@ def total_weight(text: str, automaton: ahocorasick.Automaton) -> tuple[float, in
         found[key] += 1
         if found[key] <= MOST_COUNTED:
             weight += w
-    return weight, text.count(" ") - 1
+    return weight, len(words)
 
 
 def features(weight: float, words: int) -> tuple[float, float]:
