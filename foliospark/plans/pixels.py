@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import rounded
+from foliospark.operators.ocr import BrightnessBackend, ColumnBackend, read_pages
 from foliospark.operators.pixels import above, as_pixels, channel, normalised, quad_scores, reaches, resize
 from foliospark.plans.tables import table
 
@@ -62,7 +63,18 @@ def normalize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded.groupBy("l_linenumber", "x").agg(rounded(F.sum(value), 3).alias("total"), rounded(F.min(value), 5).alias("least"), rounded(F.max(value), 5).alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (binarize_score_map, region_bbox_score, quad_score, resize_bilinear_small, normalize_pixels_bgr, normalize_pad)}
+def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow over 8 by 8 images, with stand-ins for the models; every 50th image is a byte short."""
+    values = F.transform("embedding", lambda v: F.abs(v.cast("double")))
+    images = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.when(F.col("vec_id") % 50 == 0, F.slice(values, 1, 63)).otherwise(values).alias("values")
+    )
+    letters = spark.createDataFrame([(k, chr(96 + k)) for k in range(1, 8)], "idx int, token string")
+    read = read_pages(images, letters, BrightnessBackend(), ColumnBackend(), threshold=0.15, least_score=0.1, batch=4)
+    return read.select("image", "region", "x1", "y1", "x2", "y2", rounded("score", 5).alias("score"), "text", rounded("confidence", 5).alias("confidence"), "batch", "error")
+
+
+QUERIES = {f.__name__: f for f in (binarize_score_map, region_bbox_score, quad_score, resize_bilinear_small, normalize_pixels_bgr, normalize_pad, image_pipeline)}
 
 _PIXELS = """
 pixels AS (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import geometry as g
 from foliospark.functions.numbers import rounded
 from foliospark.functions.sizes import detection_size, recognition_width, valid_steps
+from foliospark.operators.quads import hulls, smallest_rectangles
 from foliospark.operators.regions import first_candidates, largest_candidates, paired, plan_batches, region_error
 from foliospark.plans.tables import table
 
@@ -164,9 +165,28 @@ def rec_target_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("w", "h", recognition_width(F.col("w"), F.col("h")).alias("width"))
 
 
+def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part, the hull of its line items' quantity and price: corners, and which they are."""
+    h = hulls(table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity", "l_extendedprice")
+    return h.groupBy("key").agg(F.count("*").alias("corners"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+
+
+def hull_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hulls(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def min_area_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part, the smallest rectangle around its line items' quantity and price in thousands."""
+    scaled = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
+    r = smallest_rectangles(hulls(scaled, "l_partkey", "l_quantity", "price"))
+    names = [f"{c}_{axis}" for c in ("tl", "tr", "br", "bl") for axis in "xy"]
+    return r.select("key", rounded("area", 3).alias("area"), *[rounded(F.get("quad", F.lit(k // 2))["xy"[k % 2]], 3).alias(n) for k, n in enumerate(names)])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        convex_hull, hull_corners, min_area_quad,
         det_resize_dims_max, det_resize_dims_min, rec_width_and_batch_plan, restore_order, candidate_first_n, candidate_largest_n, region_validation,
         polygon_to_region, box_rescale, unrotate_points, corner_order, quad_metrics, unclip_rect, zip_assemble, missing_pairs, report_lines, rec_target_width,
     )
@@ -191,6 +211,16 @@ _CORNERS = "[{i: %d, x: %s, y: %s}, {i: %d, x: %s, y: %s}, {i: %d, x: %s, y: %s}
 )
 
 ORACLE_SQL = {
+    # a point is a corner unless it lies in a triangle or on a line of others: of the highest and lowest
+    # of each x, those that no pair of points around them is level with or beyond
+    "hull_corners": """WITH e AS (SELECT l_suppkey AS key, l_quantity AS x, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY ALL),
+      under AS (SELECT key, x, low AS y FROM e WHERE NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.key = b.key AND a.key = e.key AND a.x < e.x AND b.x > e.x
+        WHERE (b.x - a.x) * (e.low - a.low) - (b.low - a.low) * (e.x - a.x) >= 0)),
+      over AS (SELECT key, x, high AS y FROM e WHERE NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.key = b.key AND a.key = e.key AND a.x < e.x AND b.x > e.x
+        WHERE (b.x - a.x) * (e.high - a.high) - (b.high - a.high) * (e.x - a.x) <= 0)),
+      turn AS (SELECT key, x, y, 0 AS side, x AS along, y AS up FROM under
+        UNION ALL SELECT key, x, y, 1, -x, -y FROM over o WHERE NOT EXISTS (SELECT 1 FROM under u WHERE u.key = o.key AND u.x = o.x AND u.y = o.y))
+      SELECT key, (row_number() OVER (PARTITION BY key ORDER BY side, along, up) - 1)::INT AS i, x, y FROM turn""",
     "det_resize_dims_max": _sizes_sql(960, "max", 4000),
     "det_resize_dims_min": _sizes_sql(64, "min", 1200),
     "rec_width_and_batch_plan": f"""WITH {_PLANNED.format(size=3)}
