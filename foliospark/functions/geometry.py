@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.numbers import clamp
+from foliospark.functions.numbers import clamp, rounded
 
 
 def point(x: Column, y: Column) -> Column:
@@ -123,3 +123,26 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     size = lambda x: (x[2] - x[0]) * (x[3] - x[1])
     union = size(a) + size(b) - w * h
     return F.when(union > 0, w * h / union).otherwise(0.0)
+
+
+def scaled_ring(points: Column, scale: float, width: float | None = None, height: float | None = None, digits: int = 2) -> Column:
+    """A ring divided by a uniform scale, kept inside an image if its size is given, to so many digits."""
+
+    def side(v: Column, size: float | None) -> Column:
+        v = v / scale
+        return rounded(v if size is None else clamp(v, 0.0, float(size)), digits)
+
+    return F.transform(points, lambda p: point(side(p["x"], width), side(p["y"], height)))
+
+
+def closed(points: Column) -> Column:
+    """A ring with its first point at the end too; null for fewer than three points."""
+    first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
+    same = (first["x"] == last["x"]) & (first["y"] == last["y"])
+    return F.when(F.size(points) >= 3, F.when(same, points).otherwise(F.concat(points, F.array(first))))
+
+
+def turned(points: Column, counter_clockwise: bool = True) -> Column:
+    """A ring in the order that gives its signed area the wanted sign; a ring without area stays."""
+    wrong = signed_area(points) < 0 if counter_clockwise else signed_area(points) > 0
+    return F.when(wrong, F.reverse(points)).otherwise(points)

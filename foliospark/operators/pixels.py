@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.geometry import in_quad
@@ -71,3 +71,31 @@ def quad_scores(pixels: DataFrame, quads: DataFrame, width: int, height: int) ->
     inside = rows.filter(in_quad(F.col("x").cast("double"), F.col("y").cast("double"), whole)).select("image", "quad", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
     scored = inside.join(pixels, ["image", "y", "x"]).groupBy("image", "quad").agg(F.avg(F.col("p").cast("double")).alias("score"), F.count("*").alias("n"))
     return quads.select("image", "quad").join(scored, ["image", "quad"], "left").select("image", "quad", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def turned_values(values: Column, height: Column, width: Column, angle: Column) -> Column:
+    """Row-major pixels turned counter-clockwise by a multiple of 90 degrees; other angles leave them.
+
+    A turn by 90 or 270 degrees swaps height and width.
+    """
+    turn = F.pmod(angle, F.lit(360))
+    swapped = turn.isin(90, 270)
+    w = F.when(swapped, height).otherwise(width)
+
+    def source(i: Column) -> Column:
+        y, x = F.floor(i / w).cast("int"), (i % w).cast("int")
+        return (
+            F.when(turn == 90, x * width + (width - 1 - y)).when(turn == 180, (height - 1 - y) * width + (width - 1 - x))
+            .when(turn == 270, (height - 1 - x) * width + y).otherwise(i)
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.get(values, source(i).cast("int")))
+
+
+def synthetic_crops(spark: SparkSession, n: int, width: int = 320, height: int = 48) -> DataFrame:
+    """n line images with a dark pattern on light ground, for warming up and timing models: image, y, x, v."""
+    cells = spark.range(n * width * height)
+    i, at = F.floor(F.col("id") / (width * height)), F.col("id") % (width * height)
+    y, x = F.floor(at / width), at % width
+    dark = ((F.floor(x / 6) + F.floor(y / 8) + i) % 3 == 0) & (y >= 8) & (y < 40)
+    return cells.select(i.cast("int").alias("image"), y.cast("int").alias("y"), x.cast("int").alias("x"), F.when(dark, 20).otherwise(240).alias("v"))

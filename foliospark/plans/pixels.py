@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import rounded
 from foliospark.operators.ocr import BrightnessBackend, ColumnBackend, read_pages
-from foliospark.operators.pixels import above, as_pixels, channel, normalised, quad_scores, reaches, resize
+from foliospark.operators.pixels import above, as_pixels, channel, normalised, quad_scores, reaches, resize, turned_values
 from foliospark.plans.tables import table
 
 
@@ -63,6 +63,13 @@ def normalize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded.groupBy("l_linenumber", "x").agg(rounded(F.sum(value), 3).alias("total"), rounded(F.min(value), 5).alias("least"), rounded(F.max(value), 5).alias("most"))
 
 
+def rotate_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 4 by 16 pixels turned by the angle their number gives: every pixel with its new place."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), ((F.col("vec_id") % 4) * 90).cast("int").alias("angle"), "embedding")
+    turned = e.select("image", "angle", F.posexplode(turned_values(F.col("embedding"), F.lit(4), F.lit(16), F.col("angle"))).alias("i", "p"))
+    return turned.groupBy("image", "angle").agg(rounded(F.sum(F.col("p").cast("double") * (F.col("i") + 1)), 3).alias("checksum"), F.count("*").alias("n"))
+
+
 def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow over 8 by 8 images, with stand-ins for the models; every 50th image is a byte short."""
     values = F.transform("embedding", lambda v: F.abs(v.cast("double")))
@@ -74,7 +81,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("image", "region", "x1", "y1", "x2", "y2", rounded("score", 5).alias("score"), "text", rounded("confidence", 5).alias("confidence"), "batch", "error")
 
 
-QUERIES = {f.__name__: f for f in (binarize_score_map, region_bbox_score, quad_score, resize_bilinear_small, normalize_pixels_bgr, normalize_pad, image_pipeline)}
+QUERIES = {f.__name__: f for f in (binarize_score_map, region_bbox_score, quad_score, resize_bilinear_small, normalize_pixels_bgr, normalize_pad, rotate_pixels, image_pipeline)}
 
 _PIXELS = """
 pixels AS (
@@ -93,6 +100,9 @@ def _r(x: str, digits: int) -> str:
 
 
 ORACLE_SQL = {
+    "rotate_pixels": f"""WITH p AS (SELECT vec_id AS image, (vec_id % 4) * 90 AS angle, (i - 1) // 16 AS y, (i - 1) % 16 AS x, embedding[i]::DOUBLE AS p FROM embeddings, range(1, 65) t(i)),
+      t AS (SELECT image, angle::INT AS angle, p, CASE angle WHEN 90 THEN (15 - x) * 4 + y WHEN 180 THEN (3 - y) * 16 + (15 - x) WHEN 270 THEN x * 4 + (3 - y) ELSE y * 16 + x END AS i FROM p)
+      SELECT image, angle, {_r("sum(p * (i + 1))", 3)} AS checksum, count(*) AS n FROM t GROUP BY ALL""",
     "binarize_score_map": f"""WITH {_PIXELS} SELECT image, count(*) FILTER (p > 0.1) AS above, count(*) FILTER (least(greatest(p, 0), 1) >= 0.1) AS reaching,
       count(*) FILTER (p > 0) AS above_zero FROM pixels GROUP BY image""",
     "region_bbox_score": f"""WITH {_PIXELS}, box AS (SELECT image, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS hot

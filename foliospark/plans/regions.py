@@ -160,6 +160,61 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"))
 
 
+def polygon_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings at half scale, doubled, kept inside 2,048 by 256 and rounded."""
+    q = table(spark, sf_dir, "lineitem").distinct().select("l_orderkey", *ALL, g.scaled_ring(g.ring(*_quad()), 0.5, 2048, 256).alias("q"))
+    cells = [F.get("q", F.lit(k))[axis].alias(f"{axis}{k}") for k in (0, 2) for axis in ("x", "y")]
+    return q.select("l_orderkey", *ALL, *cells)
+
+
+def ring_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings that turn either way, closed and set to turn counter-clockwise: where they begin, and how they turned."""
+    (a, b, c, d) = _quad()
+    back = F.col("l_linenumber") % 2 == 0
+    lines = table(spark, sf_dir, "lineitem").distinct().select("l_orderkey", *ALL, F.when(back, g.ring(d, c, b, a)).otherwise(g.ring(a, b, c, d)).alias("r"))
+    whole = lines.select("l_orderkey", *ALL, (g.signed_area(F.col("r")) < 0).alias("clockwise"), g.closed(g.turned(F.col("r"))).alias("q"))
+    return whole.select(
+        "l_orderkey", *ALL, "clockwise", rounded(F.get("q", F.lit(1))["x"], 3).alias("second_x"), rounded(F.element_at("q", -1)["y"], 3).alias("last_y"), F.size("q").alias("points")
+    )
+
+
+def largest_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, the region of the largest area, the last of equal ones: what a grown outline keeps."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct((F.col("l_quantity") * F.floor(F.col("l_discount") * 100)).alias("area"), *ALL).alias("r"))
+    return lines.groupBy("l_orderkey").agg(F.max("r").alias("r"), F.count("*").alias("n")).select("l_orderkey", "n", "r.*")
+
+
+def legacy_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older chain of limits: area of 10, score clamped to 1 and compared (0 keeps all), the 2 largest, grown area of 25."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("area", F.col("l_quantity") * F.col("l_linenumber"))
+    kept = lines.filter((F.col("area") >= 10) & (F.least(F.col("l_discount") * 12, F.lit(1.0)) >= 0.6))
+    kept = largest_candidates(kept, "l_orderkey", "area", ALL, 2).withColumn("grown", F.col("area") * (1 + F.col("l_tax") * 10)).filter("grown >= 25")
+    return kept.groupBy("l_orderkey").agg(F.count("*").alias("regions"), rounded(F.sum("grown"), 3).alias("grown"))
+
+
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs' regions by place: how many agree in text and in box, and how many are missing in one."""
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("text"), F.min("l_quantity").alias("box"))
+    second = table(spark, sf_dir, "lineitem").filter("l_suppkey % 5 <> 0").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("text2"), F.max("l_quantity").alias("box2"))
+    both = paired(first, second, ["l_orderkey", "l_linenumber"])
+    return both.groupBy("l_linenumber").agg(
+        F.count_if(F.col("text") == F.col("text2")).alias("same_text"), F.count_if(F.col("box") == F.col("box2")).alias("same_box"), F.count_if(~F.col("matched")).alias("missing"), F.count("*").alias("n")
+    )
+
+
+def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's regions as one JSON document."""
+    lines = first_candidates(table(spark, sf_dir, "lineitem"), "l_orderkey", ALL, 3)
+    region = F.struct(F.col("l_linenumber").alias("region"), F.col("l_returnflag").alias("text"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"))
+    return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(region)).alias("r")).select("l_orderkey", F.to_json("r").alias("json"))
+
+
+def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timings as lines of key and value, six digits each."""
+    told = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum((F.col("value") * 1000).cast("long")).alias("ms"))
+    return told.select("event_type", F.format_string("[INFO] benchmark.%s=%.6f", "event_type", F.col("ms") / 1000).alias("line"))
+
+
 def rec_target_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("w"), F.col("l_quantity").alias("h")).distinct()
     return pairs.select("w", "h", recognition_width(F.col("w"), F.col("h")).alias("width"))
@@ -189,6 +244,7 @@ QUERIES = {
         convex_hull, hull_corners, min_area_quad,
         det_resize_dims_max, det_resize_dims_min, rec_width_and_batch_plan, restore_order, candidate_first_n, candidate_largest_n, region_validation,
         polygon_to_region, box_rescale, unrotate_points, corner_order, quad_metrics, unclip_rect, zip_assemble, missing_pairs, report_lines, rec_target_width,
+        polygon_scale, ring_orientation, largest_polygon, legacy_regions, compare_runs, results_json, benchmark_lines,
     )
 }
 
@@ -270,5 +326,24 @@ ORACLE_SQL = {
     "report_lines": f"""WITH f AS (SELECT l_orderkey, format('[{{}}] {{}} ({{:.1f}}%) at {{:.2f}}', l_linenumber, l_returnflag, floor(l_discount * 100), l_extendedprice) AS line
       FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ALL}) <= 4)
       SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) AS report FROM f GROUP BY l_orderkey""",
+    "polygon_scale": f"""WITH {_QUAD}, s AS (SELECT *, x + ux + vx AS x2, y + uy + vy AS y2 FROM v)
+      SELECT l_orderkey, {_ALL}, {", ".join(f"round_even(least(greatest({e} / 0.5::DOUBLE, 0), {m}) * 100, 0) / 100 AS {n}" for n, e, m in (("x0", "x", 2048), ("y0", "y", 256), ("x2", "x2", 2048), ("y2", "y2", 256)))} FROM s""",
+    "ring_orientation": f"""WITH {_QUAD}, s AS (SELECT *, l_linenumber % 2 = 0 AS back, ux * vy - uy * vx AS turn FROM v),
+      o AS (SELECT *, CASE WHEN back THEN turn > 0 ELSE turn < 0 END AS clockwise FROM s)
+      SELECT l_orderkey, {_ALL}, clockwise, round_even(CASE WHEN back AND NOT clockwise THEN x + ux + vx WHEN back THEN x + ux WHEN clockwise THEN x + ux + vx ELSE x + ux END * 1000, 0) / 1000 AS second_x,
+        round_even(CASE WHEN back AND NOT clockwise THEN y + vy WHEN back THEN y WHEN clockwise THEN y + vy ELSE y END * 1000, 0) / 1000 AS last_y, 5 AS points FROM o""",
+    "largest_polygon": f"""WITH r AS (SELECT l_orderkey, count(*) OVER (PARTITION BY l_orderkey) AS n, l_quantity * floor(l_discount * 100) AS area, {_ALL} FROM lineitem)
+      SELECT l_orderkey, n, area, {_ALL} FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, {", ".join(c + " DESC" for c in ALL)}) = 1""",
+    "legacy_regions": f"""WITH r AS (SELECT *, l_quantity * l_linenumber AS area FROM lineitem WHERE l_quantity * l_linenumber >= 10 AND least(l_discount * 12, 1) >= 0.6),
+      k AS (SELECT l_orderkey, area * (1 + l_tax * 10) AS grown FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, {_ALL}) <= 2)
+      SELECT l_orderkey, count(*) AS regions, round_even(sum(grown) * 1000, 0) / 1000 AS grown FROM k WHERE grown >= 25 GROUP BY l_orderkey""",
+    "compare_runs": """WITH a AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS text, min(l_quantity) AS box FROM lineitem GROUP BY 1, 2),
+      b AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS text2, max(l_quantity) AS box2 FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1, 2)
+      SELECT l_linenumber, count(*) FILTER (text = text2) AS same_text, count(*) FILTER (box = box2) AS same_box, count(*) FILTER (text IS NULL OR text2 IS NULL) AS missing, count(*) AS n
+      FROM a FULL JOIN b USING (l_orderkey, l_linenumber) GROUP BY l_linenumber""",
+    "results_json": f"""WITH f AS (SELECT l_orderkey, l_linenumber AS region, l_returnflag AS text, l_partkey AS x, l_suppkey AS y FROM lineitem
+      QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ALL}) <= 3)
+      SELECT l_orderkey, '[' || string_agg('{{"region":' || region || ',"text":"' || text || '","x":' || x || ',"y":' || y || '}}', ',' ORDER BY region, text, x, y) || ']' AS json FROM f GROUP BY l_orderkey""",
+    "benchmark_lines": """SELECT event_type, format('[INFO] benchmark.{}={:.6f}', event_type, sum(trunc(value * 1000)::BIGINT) / 1000.0::DOUBLE) AS line FROM events GROUP BY event_type""",
     "rec_target_width": f"""SELECT DISTINCT l_partkey AS w, l_quantity AS h, {_REC_WIDTH.format(w="l_partkey", h="l_quantity")} AS width FROM lineitem""",
 }
