@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import rounded
+from foliospark.operators.detect import boxes, hot_runs, labelled_runs, on_page
 from foliospark.operators.ocr import BrightnessBackend, ColumnBackend, read_pages
 from foliospark.operators.pixels import above, as_pixels, channel, normalised, quad_scores, reaches, resize, turned_values
+from foliospark.operators.warp import perspective_crops
 from foliospark.plans.tables import table
 
 
@@ -70,6 +72,31 @@ def rotate_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.groupBy("image", "angle").agg(rounded(F.sum(F.col("p").cast("double") * (F.col("i") + 1)), 3).alias("checksum"), F.count("*").alias("n"))
 
 
+def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of hot pixels in each score map: first pixel, box and size."""
+    runs = labelled_runs(hot_runs(maps(spark, sf_dir), 0.1))
+    return runs.groupBy("image", "root").agg(
+        F.min(F.col("y") * 8 + F.col("x1")).alias("first"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"),
+        F.sum(F.col("x2") - F.col("x1") + 1).alias("size"),
+    ).drop("root")
+
+
+def detect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the score maps on pages of 80 by 40, with limits for maps of 8 by 8."""
+    found = boxes(maps(spark, sf_dir), 8, 8, threshold=0.1, box_threshold=0.05, max_candidates=5, least_side=1.0, least_grown=1.5)
+    names = [f"{axis}{k}" for k in range(4) for axis in ("x", "y")]
+    cells = [F.get("quad", F.lit(k // 2))["xy"[k % 2]].alias(n) for k, n in enumerate(names)]
+    return on_page(found, 10.0, 5.0, 80, 40).select("image", "region", *cells, rounded("score", 5).alias("score"))
+
+
+def warp_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes' contents made upright: sizes and mean values."""
+    found = boxes(maps(spark, sf_dir), 8, 8, threshold=0.1, box_threshold=0.05, max_candidates=5, least_side=1.0, least_grown=1.5)
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("values"))
+    mean = F.aggregate("values", F.lit(0.0), lambda s, v: s + v) / F.size("values")
+    return perspective_crops(images, found.select("image", "region", "quad")).select("image", "region", "height", "width", rounded(mean, 4).alias("mean"), "error")
+
+
 def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow over 8 by 8 images, with stand-ins for the models; every 50th image is a byte short."""
     values = F.transform("embedding", lambda v: F.abs(v.cast("double")))
@@ -81,7 +108,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("image", "region", "x1", "y1", "x2", "y2", rounded("score", 5).alias("score"), "text", rounded("confidence", 5).alias("confidence"), "batch", "error")
 
 
-QUERIES = {f.__name__: f for f in (binarize_score_map, region_bbox_score, quad_score, resize_bilinear_small, normalize_pixels_bgr, normalize_pad, rotate_pixels, image_pipeline)}
+QUERIES = {f.__name__: f for f in (binarize_score_map, region_bbox_score, quad_score, resize_bilinear_small, normalize_pixels_bgr, normalize_pad, rotate_pixels, score_components, detect_boxes, warp_crops, image_pipeline)}
 
 _PIXELS = """
 pixels AS (
@@ -100,6 +127,10 @@ def _r(x: str, digits: int) -> str:
 
 
 ORACLE_SQL = {
+    "score_components": f"""WITH RECURSIVE {_PIXELS}, hot AS (SELECT image, y, x, y * 8 + x AS i FROM pixels WHERE p > 0.1),
+      r(image, y, x, label) AS (SELECT image, y, x, i FROM hot UNION SELECT h.image, h.y, h.x, r.label FROM r JOIN hot h ON h.image = r.image AND abs(h.y - r.y) <= 1 AND abs(h.x - r.x) <= 1),
+      l AS (SELECT image, y, x, min(label) AS first FROM r GROUP BY ALL)
+      SELECT image, first, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, count(*) AS size FROM l GROUP BY image, first""",
     "rotate_pixels": f"""WITH p AS (SELECT vec_id AS image, (vec_id % 4) * 90 AS angle, (i - 1) // 16 AS y, (i - 1) % 16 AS x, embedding[i]::DOUBLE AS p FROM embeddings, range(1, 65) t(i)),
       t AS (SELECT image, angle::INT AS angle, p, CASE angle WHEN 90 THEN (15 - x) * 4 + y WHEN 180 THEN (3 - y) * 16 + (15 - x) WHEN 270 THEN x * 4 + (3 - y) ELSE y * 16 + x END AS i FROM p)
       SELECT image, angle, {_r("sum(p * (i + 1))", 3)} AS checksum, count(*) AS n FROM t GROUP BY ALL""",
