@@ -1,13 +1,12 @@
-"""What the corpus operators share: white space, tables, and tables written between steps."""
+"""What the corpus operators share: white space, words, tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.sources.workspace import written  # noqa: F401  for the operators
+
 #: The characters that separate words in every contract, as a regular expression's class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -27,31 +26,5 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
-def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is spark.checkpoint.dir. Where that is unset, a local master (tests) gets a temporary
-    folder; on a cluster a machine-local folder would lose rows, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again.
-
-    This cuts lineage: what follows survives lost executors without computing df once more.
-    """
-    spark = df.sparkSession
-    path = f"{workspace(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import xxhash
 
-from foliospark.llm.simhash import bucket_keys, components, fingerprint, links_in_buckets, near_dedup, near_links, without_near_copies
+from foliospark.llm.simhash import bucket_keys, fingerprint, links_in_buckets, near_dedup, near_links, without_near_copies
+from foliospark.operators.graph import components
 
 
 def slow_fingerprint(text):
