@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources.workspace import written
 
 
 
-def upper_medians(samples: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """The upper median per key by rank, which sorts in the shuffle and gathers no group in one row."""
-    ranked = samples.withColumns({
-        "_rank": F.row_number().over(Window.partitionBy(*keys).orderBy(x)), "_n": F.count(x).over(Window.partitionBy(*keys)),
-    })
-    return ranked.filter(F.col("_rank") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(x).alias("upper_median"))
+
+#: Relative rank error of the quantiles that bracket a median: one sample in so many.
+ACCURACY = 10_000
+
+
+def middle_samples(samples: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """The two middle samples per key, exactly: keys, lower, upper (equal for an odd count), n. Nulls don't count.
+
+    Approximate quantiles around the middle, with a margin of their own error, bracket it. The
+    samples below the bracket are counted, and only those inside it (some 4 in ACCURACY and ties)
+    are ranked: no task sorts a key with all its samples, and no buffer holds them.
+    """
+    known = samples.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"))
+    margin = 2.0 / ACCURACY
+    ends = known.groupBy(*keys).agg(F.percentile_approx("_x", [0.5 - margin, 0.5 + margin], ACCURACY).alias("q"), F.count("*").alias("n"))
+    ends = written(ends.select(*keys, "n", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high")), "brackets")
+    placed = known.join(ends, keys)  # small by the number of keys: Spark broadcasts it if it is
+    # equal samples are one row from here on
+    inside = placed.groupBy(*keys, "n", F.when(F.col("_x") >= F.col("low"), F.when(F.col("_x") <= F.col("high"), F.col("_x"))).alias("v"), (F.col("_x") < F.col("low")).alias("under")).agg(
+        F.count("*").alias("c")
+    ).filter("v IS NOT NULL OR under")
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(F.desc("under"), "v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("upto", upto).filter("v IS NOT NULL")
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))  # noqa: E731  ranks from 0
+    return ranked.groupBy(*keys, "n").agg(at(F.floor((F.col("n") - 1) / 2)).alias("lower"), at(F.floor(F.col("n") / 2)).alias("upper")).select(*keys, "lower", "upper", "n")
 
 
 def breakdown(samples: DataFrame, keys: list[str], x: str, least: float, top: int) -> DataFrame:

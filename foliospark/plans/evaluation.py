@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import rounded
 from foliospark.operators.evaluate import detection_report, greedy_matches, overlapping, similarity
-from foliospark.operators.profile import breakdown, upper_medians
+from foliospark.operators.profile import breakdown, middle_samples
 from foliospark.plans.tables import table
 
 
@@ -80,11 +80,12 @@ def line_anti_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both kinds of median, extremes and rates of the events' values by type."""
     e = table(spark, sf_dir, "events").select("event_type", "value")
-    told = e.groupBy("event_type").agg(
-        rounded(F.percentile("value", 0.5), 5).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"),
-        rounded(1000 / F.percentile("value", 0.5), 4).alias("per_second"),
+    ends = e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    middle = middle_samples(e, ["event_type"], "value")
+    median = (F.col("lower") + F.col("upper")) / 2
+    return ends.join(middle, "event_type").select(
+        "event_type", rounded(median, 5).alias("median"), "least", "most", "n", rounded(1000 / median, 4).alias("per_second"), F.col("upper").alias("upper_median")
     )
-    return told.join(upper_medians(e, ["event_type"], "value"), "event_type")
 
 
 def profile_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

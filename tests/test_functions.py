@@ -13,6 +13,7 @@ from foliospark.operators.decode import decode
 from foliospark.operators.dictionary import build, clean_token, duplicates, reverse
 from foliospark.operators.evaluate import greedy_matches, overlapping, similarity
 from foliospark.operators.pixels import as_pixels, quad_scores, resize
+from foliospark.operators.profile import middle_samples
 from foliospark.operators.regions import region_error
 
 
@@ -129,3 +130,12 @@ def test_dictionary(spark):
 
 def test_fraction(spark):
     assert [one(spark, fraction(F.lit(x)))[0] for x in ("1./255.", "0.5", "1/0", "x", "1/2/3")] == [pytest.approx(1 / 255), 0.5, None, None, None]
+
+
+def test_middle_samples(spark):
+    groups = {"one": [5.0], "two": [1.0, 4.0], "odd": [3.0, 1.0, 2.0], "ties": [7.0] * 9 + [1.0, 9.0, None], "many": [float(k * 7919 % 10007) for k in range(10007)], "even": [float(k % 100) for k in range(5000)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    got = {r["k"]: (r["lower"], r["upper"], r["n"]) for r in middle_samples(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None)
+        assert got[k] == (vs[(len(vs) - 1) // 2], vs[len(vs) // 2], len(vs))
