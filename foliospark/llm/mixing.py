@@ -11,7 +11,7 @@ from foliospark.llm.shared import shuffle_partitions, table, written
 LARGEST_MEAN = 32.0
 #: Terms of the cumulative distribution; at LARGEST_MEAN the rest is below 1e-25.
 TERMS = 128
-#: Up to this many sources the rates are broadcast (some 100 bytes each without the terms).
+#: Up to this many sources the rates are broadcast (about 1 KB each, with the terms).
 BROADCAST_SOURCES = 10_000
 SEED = "mix-1"
 #: The share of a source grows with its rows to this power: below 1 small sources gain.
