@@ -31,7 +31,7 @@ MOST_RUNS = 4096
 #: Rows of one anchor that are held before it counts as such.
 MOST_ROWS = 1 << 20
 #: Bytes of runs that are sorted at once.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 
 #: The base of the polynomial hashes, modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
