@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.exact_dedup import without_copies
 from foliospark.llm.mixing import mix_sources
+from foliospark.llm.near_copies import without_similar
 from foliospark.llm.packing import pack
 from foliospark.llm.quality_rules import without_rejects
 from foliospark.llm.shared import table, written
-from foliospark.llm.simhash import without_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    return without_near_copies(docs)
+    """Keep the document with the smallest id of each group of near copies: five-word shingles, a similarity of 0.8."""
+    return without_similar(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can't express the learned rules, the fingerprints and the tokens; tests compare with brute force.
+#: SQL can't express the learned rules, the near copies and the tokens; tests compare with brute force.
 ORACLE_SQL = None
 
 
