@@ -115,10 +115,21 @@ def rule_pattern(ids: list[str]) -> str:
     return "(^| )" + " (.* )?".join(ids) + " "
 
 
-def sentences_of(text: Column) -> Column:
-    """The normalised sentences: lines, cut after . ! ? ; and : that white space follows."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])" + SPACE + "+", "$1\n"), "\n")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
+#: Sentence ends that white space follows; not the colon of an SPDX tag and the point of "v. 2.0", which only cut softly.
+SENTENCE_END = r"(?i)([!?;]|(?<!spdx-license-identifier):|(?<!\bv)\.|\.(?!" + SPACE + "+[^a-z0-9]{0,20}[0-9]))" + SPACE + "+"
+
+
+def pieces_of(text: Column) -> Column:
+    """The normalised pieces (lines, cut after . ! ? ; and : that white space follows), each with a bar, or two at a sentence's end."""
+    cut = F.split(F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "$1\u0001\n"), r"([.!?;:])" + SPACE + "+", "$1\n"), "\n")
+    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    return F.transform(cut, lambda s: F.concat(plain(s), F.when(s.endswith("\u0001"), "||").otherwise("|")))
+
+
+def known_pattern(sentences: list[str]) -> str:
+    """A regular expression for known sentences in joined pieces: whole pieces, as many as follow each other with one bar between."""
+    longest = sorted(sentences, key=lambda t: (-len(t), t))
+    return r"(?<=\|)(?:" + "|".join(t.replace(" ", "[ |]") for t in longest) + r")(?=\|)"
 
 
 def scan_licenses(
@@ -126,8 +137,10 @@ def scan_licenses(
 ) -> DataFrame:
     """The licences that a document's sentences state.
 
-    Every sentence of the whole text is looked up among the known ones (a fixed table, so a
-    literal map); the identifiers found, in order of the text, are held against the rules in
+    Known sentences are found in the whole text, on one line or wrapped over the lines of a
+    paragraph (also in comments, whose markers aren't letters); where two begin at the same
+    place, the longer one counts. n_sentences counts lines and what sentence ends cut them into.
+    The identifiers found, in order of the text, are held against the rules in
     order. Returns one row per document: doc_id, n_sentences, n_known, known (identifiers in
     order), license (of the first rule that matches, else null) and licenses (of every rule that
     matches, once each, in order of the rules). Null and empty texts have no sentences; repeated
@@ -137,10 +150,12 @@ def scan_licenses(
     sentences = SENTENCES if sentences is None else sentences
     rules = RULES if rules is None else rules
     known = F.create_map(*[F.lit(x) for name, texts in sentences.items() for t in texts for x in (t, name)])
-    split = docs.select(F.col(id_col).alias("doc_id"), sentences_of(text_of(text_col)).alias("sentences"))
+    pattern = known_pattern([t for texts in sentences.values() for t in texts])
+    split = docs.select(F.col(id_col).alias("doc_id"), pieces_of(text_of(text_col)).alias("pieces"))
+    met = F.regexp_extract_all(F.concat(F.lit("|"), F.array_join("pieces", "")), F.lit(pattern), F.lit(0))
     found = split.select(
-        "doc_id", F.size("sentences").cast("long").alias("n_sentences"),
-        F.filter(F.transform("sentences", lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()).alias("ids"),
+        "doc_id", F.size(F.filter("pieces", lambda s: ~s.startswith("|"))).cast("long").alias("n_sentences"),
+        F.transform(met, lambda s: F.element_at(known, F.translate(s, "|", " "))).alias("ids"),
     )
     text = F.concat(F.array_join("ids", " "), F.lit(" "))
     match = F.array_compact(F.array(*[F.when(text.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules]))

@@ -1,3 +1,5 @@
+import textwrap
+
 from foliospark.llm.license_scan import RULES, SENTENCES, scan_licenses
 
 MIT = (
@@ -40,3 +42,26 @@ def test_order_of_identifiers_matters(docs_of):
 
 def test_empty_table(docs_of):
     assert scan_licenses(docs_of([])).count() == 0
+
+
+def test_every_known_sentence_can_be_met(docs_of):
+    """On one line, wrapped, and wrapped in comments, with the cuts that tags and versions hold."""
+    rows, want = [], {}
+    for name, texts in SENTENCES.items():
+        for t in texts:
+            usual = t.replace("spdx license identifier ", "SPDX-License-Identifier: ").replace("license v 2 0", "License, v. 2.0")
+            for text in (usual + ".", textwrap.fill(usual, 30) + ".", textwrap.fill(usual, 30, initial_indent="# ", subsequent_indent=" * ")):
+                want[len(rows)] = name
+                rows.append((len(rows), "Title\n\n" + text + "\n\nMore text."))
+    assert {r["doc_id"]: r["known"] for r in scan_licenses(docs_of(rows)).collect()} == want
+
+
+def test_wrapped_texts(docs_of):
+    gpl = (
+        "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
+        "    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n"
+    )
+    rows = [(1, "\n\n".join(textwrap.fill(p, 70) for p in MIT.splitlines())), (2, gpl), (3, "// SPDX-License-Identifier: MIT\n// Copyright"), (4, "Released under the MIT.\nLicense"), (5, "the MIT\n\nLicense"),
+            (6, "MIT License\n" + "\n".join(textwrap.fill(p, 70) for p in MIT.splitlines()[2:]))]
+    got = {r["doc_id"]: (r["license"], r["n_known"]) for r in scan_licenses(docs_of(rows)).collect()}
+    assert got == {1: ("MIT", 4), 2: ("GPL-3.0-or-later", 2), 3: ("MIT", 1), 4: (None, 0), 5: (None, 0), 6: ("MIT", 4)}
