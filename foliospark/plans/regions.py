@@ -154,8 +154,16 @@ def missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered text lines per page: region, confidence in per cent and box."""
-    lines = first_candidates(table(spark, sf_dir, "lineitem"), "l_orderkey", ALL, 4)
+    """Numbered text lines of the first four regions per page: region, confidence in per cent and box."""
+    return _report(first_candidates(table(spark, sf_dir, "lineitem"), "l_orderkey", ALL, 4))
+
+
+def report_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As report_lines, with every region of a page."""
+    return _report(table(spark, sf_dir, "lineitem"))
+
+
+def _report(lines: DataFrame) -> DataFrame:
     line = F.format_string("[%d] %s (%.1f%%) at %.2f", "l_linenumber", "l_returnflag", F.floor(F.col("l_discount") * 100).cast("double"), "l_extendedprice")
     return lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"))
 
@@ -203,8 +211,16 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's regions as one JSON document."""
-    lines = first_candidates(table(spark, sf_dir, "lineitem"), "l_orderkey", ALL, 3)
+    """Each page's first three regions as one JSON document."""
+    return _json(first_candidates(table(spark, sf_dir, "lineitem"), "l_orderkey", ALL, 3))
+
+
+def results_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region of each page as one JSON document."""
+    return _json(table(spark, sf_dir, "lineitem"))
+
+
+def _json(lines: DataFrame) -> DataFrame:
     region = F.struct(F.col("l_linenumber").alias("region"), F.col("l_returnflag").alias("text"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"))
     return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(region)).alias("r")).select("l_orderkey", F.to_json("r").alias("json"))
 
@@ -244,7 +260,7 @@ QUERIES = {
         convex_hull, hull_corners, min_area_quad,
         det_resize_dims_max, det_resize_dims_min, rec_width_and_batch_plan, restore_order, candidate_first_n, candidate_largest_n, region_validation,
         polygon_to_region, box_rescale, unrotate_points, corner_order, quad_metrics, unclip_rect, zip_assemble, missing_pairs, report_lines, rec_target_width,
-        polygon_scale, ring_orientation, largest_polygon, legacy_regions, compare_runs, results_json, benchmark_lines,
+        polygon_scale, ring_orientation, largest_polygon, legacy_regions, compare_runs, results_json, benchmark_lines, report_lines_all, results_json_all,
     )
 }
 
@@ -326,6 +342,10 @@ ORACLE_SQL = {
     "report_lines": f"""WITH f AS (SELECT l_orderkey, format('[{{}}] {{}} ({{:.1f}}%) at {{:.2f}}', l_linenumber, l_returnflag, floor(l_discount * 100), l_extendedprice) AS line
       FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ALL}) <= 4)
       SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) AS report FROM f GROUP BY l_orderkey""",
+    "report_lines_all": """WITH f AS (SELECT l_orderkey, format('[{}] {} ({:.1f}%) at {:.2f}', l_linenumber, l_returnflag, floor(l_discount * 100), l_extendedprice) AS line FROM lineitem)
+      SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) AS report FROM f GROUP BY l_orderkey""",
+    "results_json_all": """SELECT l_orderkey, '[' || string_agg('{"region":' || l_linenumber || ',"text":"' || l_returnflag || '","x":' || l_partkey || ',"y":' || l_suppkey || '}',
+      ',' ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey) || ']' AS json FROM lineitem GROUP BY l_orderkey""",
     "polygon_scale": f"""WITH {_QUAD}, s AS (SELECT *, x + ux + vx AS x2, y + uy + vy AS y2 FROM v)
       SELECT l_orderkey, {_ALL}, {", ".join(f"round_even(least(greatest({e} / 0.5::DOUBLE, 0), {m}) * 100, 0) / 100 AS {n}" for n, e, m in (("x0", "x", 2048), ("y0", "y", 256), ("x2", "x2", 2048), ("y2", "y2", 256)))} FROM s""",
     "ring_orientation": f"""WITH {_QUAD}, s AS (SELECT *, l_linenumber % 2 = 0 AS back, ux * vy - uy * vx AS turn FROM v),
