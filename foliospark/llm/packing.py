@@ -2,39 +2,100 @@
 
 from __future__ import annotations
 
-import base64
+import os
+import re
+import struct
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from foliospark.llm.shared import table, written
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
-#: The one special string that the vocabulary's tokenizer file recognises inside a text, and its id.
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 CAPACITY = 1024
 
+#: A unit of a text: white space and what follows it up to the next white space.
+UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: White space other than that, in any library's view.
+OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+#: Where a text may be cut.
+BORDER = re.compile(r"(?<=[^ \t\n\r])(?=[ \t\n\r])")
+#: Units up to this length are remembered, so many at once, and about so many characters are cut
+#: into units at once; the three bound memory and change no id.
+REMEMBERED_CHARS, REMEMBERED, CHARS_AT_ONCE = 24, 1 << 19, 1 << 21
 
-@cache
-def encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE in the ranks file at path; one per Python worker."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
+class Ids:
+    """The ids of texts by the tokenizer file at path, as little-endian unsigned 32-bit numbers; one per Python worker.
+
+    No token of the file's pattern holds white space after another character, so a text may be cut
+    between any character and a space, tab or line end after it, and its ids are those of its units
+    one after the other. Units come again and again, so most are looked up. A text with other white
+    space, on which libraries differ, is a single unit.
+    """
 
-def token_ids(text: str, path: str) -> list[int]:
-    """The ids of a text; the special string stands for its own id, as in the tokenizer file."""
-    found = encoding(path)
-    return found.encode(text, allowed_special="all") if SPECIAL in text else found.encode_ordinary(text)
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        units = [[p] if OTHER_SPACE.search(p) else UNIT.findall(p) for p in parts]
+        known = self.known
+        new = list(set().union(*units) - known.keys())
+        if new:
+            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            known.update((u, struct.pack(f"<{len(e)}I", *e.ids)) for u, e in zip(new, encoded, strict=True))
+        found = [b"".join(map(known.__getitem__, u)) for u in units]
+        if len(known) > REMEMBERED:
+            self.known = {}
+        elif new:
+            for u in new:
+                if len(u) > REMEMBERED_CHARS:
+                    del known[u]
+        return found
+
+    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if len(text) > CHARS_AT_ONCE and not OTHER_SPACE.search(text):
+                yield from self.of_parts(held)
+                held, size = [], 0
+                yield b"".join(self.of_parts([part])[0] for part in cut_parts(text))
+                continue
+            held.append(text)
+            size += len(text)
+            if size > CHARS_AT_ONCE:
+                yield from self.of_parts(held)
+                held, size = [], 0
+        yield from self.of_parts(held)
+
+
+def cut_parts(text: str) -> Iterator[str]:
+    """A text cut at borders, in parts of CHARS_AT_ONCE characters or as soon after as there is one."""
+    at = 0
+    while at < len(text):
+        border = BORDER.search(text, at + CHARS_AT_ONCE)
+        end = border.start() if border else len(text)
+        yield text[at:end]
+        at = end
+
+
+@cache
+def ids_by(path: str) -> Ids:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Ids(path)
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -50,16 +111,17 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
     """Tokenise every whole text and cut what is over capacity: a row per piece, without the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, end = ids_by(path), struct.pack("<I", END_ID)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                ids = np.array([*token_ids(text.as_py() or "", path), END_ID], "<u4")
-                for j, (a, n) in enumerate(piece_bounds(len(ids), capacity)):
+            for k, ids in enumerate(ids_of.of_texts([text or "" for text in batch.column(1).to_pylist()])):
+                ids += end
+                for j, (a, n) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                     rows.append(k)
                     piece.append(j)
                     start.append(a)
                     length.append(n)
-                    crc.append(zlib.crc32(ids[a : a + n].tobytes()))
+                    crc.append(zlib.crc32(ids[4 * a : 4 * (a + n)]))
             arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -68,6 +130,63 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+class SumIndex:
+    """Singles, pairs and triples of lengths by their sum, under the counts of what is left.
+
+    A sum's pairs are listed when it is first asked for, smallest larger part first, and those of a
+    triple as the pairs beside its largest part. Counts only fall, so what they no longer allow is
+    taken out of the lists for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self._pairs: dict[int, list[tuple[int, int]]] = {}
+        self._largest: dict[int, list[int]] = {}
+
+    def allowed(self, pattern: tuple[int, ...]) -> bool:
+        return all(self.left[n] >= c for n, c in Counter(pattern).items())
+
+    def pairs(self, total: int) -> list[tuple[int, int]]:
+        if total not in self._pairs:
+            larger = np.flatnonzero(self.left[:total] > 0)
+            larger = larger[(2 * larger >= total) & (self.left[total - larger] > 0)]
+            self._pairs[total] = [(int(a), total - int(a)) for a in larger]
+        return self._pairs[total]
+
+    def pair(self, total: int, held: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        """The pair with the largest part, up to most, that is there beside the lengths held."""
+        found = self.pairs(total)
+        for k in range(bisect_right(found, (most, total)) - 1, -1, -1):
+            if self.allowed((*held, *found[k])):
+                return found[k]
+            if not self.allowed(found[k]):
+                del found[k]
+        return None
+
+    def triple(self, total: int, held: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """The triple with the largest part, and then pair, that is there beside the lengths held."""
+        if total not in self._largest:
+            self._largest[total] = [int(a) for a in np.flatnonzero(self.left[:total] > 0) if 3 * a >= total]
+        found = self._largest[total]
+        for k in range(len(found) - 1, -1, -1):
+            a = found[k]
+            if self.allowed((*held, a)) and (rest := self.pair(total - a, (*held, a), a)):
+                return (a, *rest)
+            if not self.left[a] or not self.pairs(total - a):
+                del found[k]
+        return None
+
+    def filling(self, n: int, capacity: int) -> tuple[int, ...] | None:
+        """n and none, one, two or three lengths that fill up the capacity exactly, or None."""
+        gap = capacity - n
+        if gap == 0:
+            return (n,)
+        if self.allowed((n, gap)):
+            return (n, gap)
+        found = self.pair(gap, (n,), gap) or self.triple(gap, (n,))
+        return (n, *found) if found else None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used, for a histogram of lengths.
 
@@ -80,43 +199,18 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] += c
+    sums = SumIndex(left)
     patterns: list[tuple[tuple[int, ...], int]] = []
 
     def use(pattern: tuple[int, ...]) -> None:
-        need = np.bincount(pattern, minlength=capacity + 1)
-        times = int((left[need > 0] // need[need > 0]).min())
-        left[:] -= need * times
+        need = Counter(pattern)
+        times = int(min(left[n] // c for n, c in need.items()))
+        for n, c in need.items():
+            left[n] -= c * times
         patterns.append((pattern, times))
 
-    def exact(n: int) -> tuple[int, ...] | None:
-        """n and one, two or three lengths that fill up the capacity, or None."""
-        gap = capacity - n
-        free = left.copy()
-        free[n] -= 1
-        if gap == 0:
-            return (n,)
-        if free[gap] > 0:
-            return (n, gap)
-        there = np.flatnonzero(free[: gap + 1] > 0)
-        pair = best_pair(free, there, gap)
-        if pair:
-            return (n, *pair)
-        for a in there[::-1]:  # the largest part first, so that small ones stay for later gaps
-            if a < gap:
-                free[a] -= 1
-                pair = best_pair(free, there[there <= a], gap - int(a))
-                free[a] += 1
-                if pair:
-                    return (n, int(a), *pair)
-        return None
-
-    def best_pair(free: np.ndarray, there: np.ndarray, gap: int) -> tuple[int, int] | None:
-        a = there[(there < gap) & (2 * there >= gap)]
-        ok = a[(free[gap - a] > 0) & ((gap - a != a) | (free[a] > 1)) & (free[a] > 0)]
-        return (int(ok[-1]), gap - int(ok[-1])) if len(ok) else None
-
     for n in range(capacity, 0, -1):
-        while left[n] > 0 and (found := exact(n)):
+        while left[n] > 0 and (found := sums.filling(n, capacity)):
             use(found)
         while left[n] > 0:
             pattern, gap = [n], capacity - n

@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from foliospark.llm.packing import VOCABULARY, pack, piece_bounds, plan, token_ids
+from foliospark.llm import packing
+from foliospark.llm.packing import VOCABULARY, Ids, pack, piece_bounds, plan
 
 PATH = public_tokenizers.path(VOCABULARY)
 
@@ -17,12 +18,27 @@ def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_ids_equal_the_tokenizers_library(tokenizer):
+def ids(found):
+    return np.frombuffer(found, "<u4").tolist()
+
+
+def test_ids_equal_the_tokenizers_library(tokenizer, monkeypatch):
     rng = random.Random(1)
     parts = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x3000, 0x1F600, 0x4E2D, 0xFEFF, 0x10FFFF]] + ["<|endoftext|>", "<|endof", "'s", "'LL", "\r\n", "  ", " the"]
-    for _ in range(1500):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 50)))
-        assert token_ids(text, PATH) == tokenizer.encode(text, add_special_tokens=False).ids
+    plain = [p for p in parts if not packing.OTHER_SPACE.search(p)] + [" ", "\n", "\t"] * 40
+    texts = ["".join(rng.choice(parts if k % 2 else plain) for _ in range(rng.randint(0, 50))) for k in range(3000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids(f) for f in Ids(PATH).of_texts(texts)] == want
+    for name, value in (("CHARS_AT_ONCE", 20), ("REMEMBERED", 5)):
+        monkeypatch.setattr(packing, name, value)
+        assert [ids(f) for f in Ids(PATH).of_texts(texts)] == want
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \t", "a", "é", "\u00a0", " the", "word  \n\n and"])
+def test_ids_of_very_long_texts(tokenizer, unit):
+    texts = [unit * ((10_000_000 if unit == " " else 1_000_000) // len(unit)), "x" + unit * (2_200_000 // len(unit)) + "y"]
+    for text, found in zip(texts, Ids(PATH).of_texts(texts), strict=True):
+        assert np.array_equal(np.frombuffer(found, "<u4"), np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
 
 
 def check_plan(counts, capacity):
@@ -42,6 +58,8 @@ def test_plan_uses_exact_complements():
     assert check_plan({400: 3, 300: 3, 200: 3, 124: 3}, 1024) == 3  # triples
     assert check_plan({512: 7}, 1024) == 4
     assert check_plan({}, 1024) == 0
+    assert check_plan({513: 3, 511: 2, 256: 1, 255: 1}, 1024) == 3  # counts run out in the middle
+    assert check_plan({341: 6, 342: 3}, 1024) == 3  # a pair of equal lengths
     rng = random.Random(2)
     for capacity in (7, 32, 100):
         for _ in range(30):
