@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import shuffle_partitions, table, written
@@ -17,8 +17,11 @@ WORDS = 3
 SEED = 42
 BITS = 64
 MAX_DIFFERENT = 3
-#: Buckets up to this size are compared by shifted rows; larger ones by a search that shrinks.
+#: Buckets up to this size are compared by shifted rows; larger ones by a search that shrinks. Both
+#: apply the chain of budgets, then the full check.
 SMALL_BUCKET = 48
+#: Buckets over this size are dealt again by longer keys.
+LARGE_BUCKET = 4096
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -36,6 +39,11 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     k = min(words, len(found))
     hash_ = xxhash.xxh64_intdigest
     hashes = np.array([hash_(joined[a:b], seed) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,33 +66,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def ring_depth(n: int) -> int:
-    """How many segments of the chain the bucket key uses: two up to 2**22 fingerprints, else three."""
-    return 2 if n <= 1 << 22 else 3
+def chain_passed(a: Column, b: Column, most: int, segments: int) -> Column:
+    """Whether two fingerprints pass the pigeonring and then differ in `most` bits at most.
 
-
-def bucket_keys(fp: str, depth: int) -> list:
-    """Columns with the bucket keys of a fingerprint, for chains that start at each of 4 segments.
+    From some segment on, every chain of consecutive segments, up to the whole ring, differs in its
+    share of `most` bits at most. For any two fingerprints within `most` bits there is such a segment.
+    """
+    width = BITS // segments
+    x = a.bitwiseXOR(b)
+    parts = [F.bit_count(F.shiftrightunsigned(x, width * s).bitwiseAND(F.lit((1 << width) - 1))) for s in range(segments)]
+    chains = F.lit(False)
+    for ring in range(segments):
+        total, ok = F.lit(0), F.lit(True)
+        for length in range(1, segments):
+            total = total + parts[(ring + length - 1) % segments]
+            ok = ok & (total <= length * most // segments)
+        chains = chains | ok
+    return chains & (F.bit_count(x) <= most)
+
+
+def ring_keys(fp: str) -> list[Column]:
+    """The first bucket keys of a fingerprint: 8, two for the chains that start at each of 4 segments.
 
     By the pigeonring principle, if two fingerprints differ in 3 bits at most, then from some
     segment on the first is equal, the first two differ in 1 bit at most, the first three in 2.
-    The budgets become keys: of the second segment's two halves at least one is equal, and with
-    depth 3, of the third segment's three parts at least one. No pair within MAX_DIFFERENT is lost.
+    The budgets become keys: the first segment, and one of the second's two halves, of which at
+    least one is equal. No pair within MAX_DIFFERENT is lost.
     """
     keys = []
-    segment = lambda s: F.shiftrightunsigned(F.col(fp), 16 * (s % 4)).bitwiseAND(F.lit(0xFFFF))
     for ring in range(4):
         for half in range(2):
-            key = segment(ring) * 256 + F.shiftright(segment(ring + 1), 8 * half).bitwiseAND(F.lit(0xFF))
-            if depth < 3:
-                keys.append(key * 8 + (ring * 2 + half))
-                continue
-            for part, (low, width) in enumerate(((0, 5), (5, 5), (10, 6))):
-                piece = F.shiftright(segment(ring + 2), low).bitwiseAND(F.lit((1 << width) - 1))
-                keys.append((key * 64 + piece) * 32 + (ring * 6 + half * 3 + part))
+            key = segment(fp, ring) * 256 + F.shiftright(segment(fp, ring + 1), 8 * half).bitwiseAND(F.lit(0xFF))
+            keys.append(key * 8 + (ring * 2 + half))
     return keys
 
 
+def segment(fp: str, s: int) -> Column:
+    return F.shiftrightunsigned(F.col(fp), 16 * (s % 4)).bitwiseAND(F.lit(0xFFFF))
+
+
+#: How the key of a large bucket goes on: the low bit and width of each part of the chain's next segment.
+#: The third segment differs in 2 bits at most and the fourth in 3, so one of 3 and of 4 parts is equal.
+NEXT_PARTS = [((0, 5), (5, 5), (10, 6)), ((0, 4), (4, 4), (8, 4), (12, 4))]
+
+
+def next_keys(fp: str, key: str, level: int) -> list[Column]:
+    """The keys of a large bucket's fingerprints, longer by a part of the chain's next segment. No pair is lost here either."""
+    at = F.pmod(F.shiftright(F.col(key).bitwiseAND(F.lit(7)), 1) + 2 + level, F.lit(4))
+    value = F.when(at == 0, segment(fp, 0)).when(at == 1, segment(fp, 1)).when(at == 2, segment(fp, 2)).otherwise(segment(fp, 3))
+    parts = [F.shiftright(value, low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in NEXT_PARTS[level]]
+    return [F.col(key) + F.shiftleft((part * 4 + k).cast("long"), (27, 35)[level]) for k, part in enumerate(parts)]
+
+
 def within_chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether pairs pass the chain of budgets, before the full Hamming check.
 
@@ -132,7 +165,8 @@ def links_in_buckets(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.
             frontier, open_ = [open_[0]], open_[1:]
             while frontier and len(open_):
                 f = frontier.pop()
-                near = np.bitwise_count(open_ ^ f) <= MAX_DIFFERENT
+                near = within_chain(open_, f)
+                near[near] = np.bitwise_count(open_[near] ^ f) <= MAX_DIFFERENT
                 if near.any():
                     found = open_[near]
                     left.append(np.full(len(found), f))
@@ -143,34 +177,67 @@ def links_in_buckets(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def near_links(classes: DataFrame, n: int) -> DataFrame:
-    """Links (a < b, unsigned order aside) between the distinct fingerprints in column fp."""
-    spark = classes.sparkSession
-    keyed = classes.select("fp", F.explode(F.array(*bucket_keys("fp", ring_depth(n)))).alias("key"))
-    dealt = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+def searched(keyed: DataFrame, largest: int | None) -> DataFrame:
+    """Links (a, b) within the buckets of (fp, key), key null; and the rows (fp, fp, key) of buckets over `largest`, not searched."""
+    spark = keyed.sparkSession
+    dealt = keyed.select("fp", "key").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_k, held_f, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
 
         def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = (x.view(np.int64) for x in links_in_buckets(k, f))
+            left = np.zeros(len(k), bool)
+            if largest is not None:
+                starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                sizes = np.diff(np.r_[starts, len(k)])
+                left = (np.repeat(sizes, sizes) > largest) | ((k == hot) if hot is not None else False)
+            a, b = (x.view(np.int64) for x in links_in_buckets(k[~left], f[~left]))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            rest = f[left].view(np.int64)
+            key = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(k[left])])
+            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([pairs[:, c], rest])) for c in (0, 1)), key], ["a", "b", "key"])
 
         for batch in batches:
-            k = np.concatenate([held_k, batch.column(1).to_numpy()])
-            f = np.concatenate([held_f, batch.column(0).to_numpy().view(np.uint64)])
-            if len(k) < 1 << 16:
-                held_k, held_f = k, f
+            held_k = np.concatenate([held_k, batch.column(1).to_numpy()])
+            held_f = np.concatenate([held_f, batch.column(0).to_numpy().view(np.uint64)])
+            if len(held_k) < 1 << 16:
                 continue
-            cut = int(np.searchsorted(k, k[-1]))  # the last bucket may go on in the next batch
+            cut = int(np.searchsorted(held_k, held_k[-1]))  # the last bucket may go on in the next batch
+            if not cut and largest is not None:
+                cut, hot = len(held_k), int(held_k[-1])
             if cut:
-                yield out(k[:cut], f[:cut])
-            held_k, held_f = k[cut:], f[cut:]
+                yield out(held_k[:cut], held_f[:cut])
+                held_k, held_f = held_k[cut:], held_f[cut:]
         if len(held_k):
             yield out(held_k, held_f)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, key long")
+
+
+def near_links(classes: DataFrame, largest: int = LARGE_BUCKET) -> DataFrame:
+    """Links (a < b, unsigned order aside) between the distinct fingerprints in column fp.
+
+    Buckets over `largest` aren't searched where they are: they're dealt by longer keys, with parts
+    of the chain's third and fourth segment. Those that are too large even then are cut into blocks,
+    and every pair of blocks is a bucket. No task holds much more than 2 * largest fingerprints of a key.
+    """
+    keyed = classes.select("fp", F.explode(F.array(*ring_keys("fp"))).alias("key"))
+    links = None
+    for level in range(4):
+        found = written(searched(keyed, largest if level < 3 else None), "ring-links")
+        near = found.filter("key IS NULL").select("a", "b")
+        links = near if links is None else links.union(near)
+        rest = found.filter("key IS NOT NULL").select(F.col("a").alias("fp"), "key")
+        if level == 3 or rest.isEmpty():
+            break
+        if level < 2:
+            keyed = rest.select("fp", F.explode(F.array(*next_keys("fp", "key", level))).alias("key"))
+            continue
+        blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / largest).alias("blocks"))
+        own = rest.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        cells = own.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        keyed = cells.select("fp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
+    return links.distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -184,7 +251,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    roots = components(near_links(classes, classes.count()))
+    roots = components(near_links(classes))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -197,7 +264,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Of rows that share that id, one stays.
     """
-    kept = near_dedup(docs, id_col, text_col, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    kept = written(near_dedup(docs, id_col, text_col, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "kept")
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_doc_id"))
     found = keyed.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")), "left_semi")
     again = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from foliospark.llm.simhash import bucket_keys, fingerprint, links_in_buckets, near_dedup, near_links, without_near_copies
+from foliospark.llm.simhash import LARGE_BUCKET, chain_passed, fingerprint, links_in_buckets, near_dedup, near_links, without_near_copies
 from foliospark.operators.graph import components
 
 
@@ -55,8 +56,8 @@ def test_links_lose_nothing(spark):
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     classes = spark.createDataFrame([(f,) for f in signed], "fp long")
     want = lowest(signed, fps)
-    for n in (10, 1 << 30):  # both depths of the keys
-        roots = {r["node"]: r["root"] for r in components(near_links(classes, n)).collect()}
+    for largest in (LARGE_BUCKET, 40, 3):  # keys of one length, of all, and pairs of blocks
+        roots = {r["node"]: r["root"] for r in components(near_links(classes, largest)).collect()}
         assert [roots.get(f, f) for f in signed] == want
 
 
@@ -80,4 +81,23 @@ def test_near_dedup_by_brute_force(docs_of):
 
 def test_empty_table(docs_of):
     assert near_dedup(docs_of([])).count() == 0
-    assert len(bucket_keys("fp", 2)) == 8 and len(links_in_buckets(np.zeros(1, np.int64), np.zeros(1, np.uint64))[0]) == 0
+    assert len(links_in_buckets(np.zeros(1, np.int64), np.zeros(1, np.uint64))[0]) == 0
+
+
+def test_chains_pass_all_pairs_within_the_budget(spark):
+    rng = random.Random(3)
+    pairs = []
+    for k in range(400):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), k % 28):
+            b ^= 1 << bit
+        pairs.append((*np.array([a, b], np.uint64).view(np.int64).tolist(), k % 28))
+    got = spark.createDataFrame(pairs, "a long, b long, d int").select("d", chain_passed(F.col("a"), F.col("b"), 20, 8).alias("near"), chain_passed(F.col("a"), F.col("b"), 3, 4).alias("nearer"))
+    for r in got.collect():
+        assert r["near"] == (r["d"] <= 20) and r["nearer"] == (r["d"] <= 3)
+
+
+def test_a_very_long_text_and_an_empty_table(docs_of):
+    text = "one two three four five " * 200_000
+    assert {r["component_id"] for r in near_dedup(docs_of([(5, text), (2, text + "six"), (9, "other words in here")])).collect()} == {2, 9}
+    assert without_near_copies(docs_of([])).count() == 0
