@@ -4,8 +4,9 @@ Every string of LENGTH bytes is a suffix cut to LENGTH. To sort all of them in o
 LENGTH times the corpus, so they are first dealt by a content-defined anchor: the ANCHOR bytes
 inside the string with the smallest hash. Equal strings have equal anchors at equal distances, so
 each group can be sorted by itself, and strings with an anchor of their own need no sorting.
-Neighbouring strings with the same anchor are one run; equal runs need no sorting either. What is
-left, runs with an anchor in common that differ somewhere, is sorted suffix by suffix.
+Neighbouring strings with the same anchor are one run; runs with equal bytes, by a 128-bit BLAKE2b
+digest of them, need no sorting either. What is left, runs with an anchor in common that differ
+somewhere, is sorted suffix by suffix.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,15 @@ LENGTH = 200
 ANCHOR = 50
 #: Strings are hashed in blocks of so many starts, so that a very long text needs no more memory.
 BLOCK = 1 << 19
-#: Anchors with more distinct runs are compared by the hashes of their strings, which are dealt out.
-MOST_RUNS = 4096
+#: The strings of anchors with more distinct runs are dealt out by their digests, so that no task sorts more for an anchor.
+MOST_RUNS = 1024
 #: Rows of one anchor that are held before it counts as such.
 MOST_ROWS = 1 << 20
 #: Bytes of runs that are sorted at once.
 SORT_BYTES = 1 << 20
 
-#: The base of the polynomial hashes, modulo 2**64, and its inverse.
+#: The base of the polynomial hashes, modulo 2**64, and its inverse. The texts for which this modulus is
+#: known to fail have 1,024 bytes or more, and strings have LENGTH.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 POSITION = np.uint64((1 << 24) - 1)
@@ -66,13 +69,19 @@ class Prefixes:
         return (self.sums[starts + lengths] - self.sums[starts]) * self.up[starts]
 
 
-def runs_of(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """The runs of a text, block by block: anchor hash, run hash, first start, strings, distance of the anchor from the first start."""
+def digests(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The 128-bit digests of substrings as two rows of numbers."""
+    found = [blake2b(data[a : a + n], digest_size=16).digest() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2).T
+
+
+def runs_of(data: np.ndarray, size: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
+    """The runs of a text, by blocks of `size` starts: anchor hash, digest (2), first start, strings, distance of the anchor from the first start."""
     width = LENGTH - ANCHOR + 1
-    for at in range(0, len(data) - LENGTH + 1, BLOCK):
-        block = data[at : at + BLOCK + LENGTH - 1]
+    for at in range(0, len(data) - LENGTH + 1, size):
+        block = data[at : at + size + LENGTH - 1]
         n = len(block) - LENGTH + 1
-        prefixes = Prefixes(block, BLOCK + LENGTH)
+        prefixes = Prefixes(block, size + LENGTH)
         hashes = mixed((prefixes.sums[ANCHOR:] - prefixes.sums[:-ANCHOR]) * prefixes.up[: len(block) - ANCHOR + 1])
         # the smallest hash in each window of `width`, the leftmost of equal ones: minima of the parts
         # before and after the edges of blocks of that width
@@ -84,9 +93,8 @@ def runs_of(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         count = np.diff(np.r_[first, n])
         anchor = owner[first]
-        span = prefixes.hashes(first, count + LENGTH - 1)
-        shape = (anchor - first).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + count.astype(np.uint64)
-        yield hashes[anchor], mixed(span + shape), first + at, count, anchor - first
+        # equal bytes have equal anchors at equal distances, so the bytes are all that the digest needs
+        yield hashes[anchor], *digests(block.tobytes(), first, count + LENGTH - 1), first + at, count, anchor - first
 
 
 def packed(start: np.ndarray, count: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -102,8 +110,12 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
 
 
-def text_runs(docs: DataFrame) -> DataFrame:
-    """A row per run of (row, data), equal runs of a batch apart from their first: anchor, run, row, place, tag.
+RUN_SCHEMA = "anchor long, run long, run_2 long, row long, place long, tag int"
+MARK_NAMES = ["row", "place", "anchor", "state"]
+
+
+def text_runs(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row per run of (row, data), equal runs of a batch apart from their first: anchor, run and run_2 (digest), row, place, tag.
 
     tag: 0 for the only such run of its batch, 1 for the first of several, 2 for the others. What
     is known to be a copy is dealt anywhere, so that a hot passage sends one row per batch.
@@ -113,18 +125,19 @@ def text_runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for row, data in zip(batch.column(0), batch.column(1), strict=True):
-                for anchor, hash_, start, count, distance in runs_of(np.frombuffer(data.as_buffer(), np.uint8)) if data.is_valid else ():
-                    found.append((anchor, hash_, np.full(len(anchor), row.as_py(), np.int64).view(np.uint64), packed(start, count, distance).view(np.uint64)))
+                for anchor, low, high, start, count, distance in runs_of(np.frombuffer(data.as_buffer(), np.uint8), block) if data.is_valid else ():
+                    place = packed(start, count, distance).view(np.uint64)
+                    found.append((anchor, low, high, np.full(len(anchor), row.as_py(), np.int64).view(np.uint64), place))
             if not found:
                 continue
             table_ = np.concatenate([np.stack(x) for x in found], axis=1)
-            table_ = table_[:, np.lexsort((table_[1], table_[0]))]
-            same = (table_[0, 1:] == table_[0, :-1]) & (table_[1, 1:] == table_[1, :-1])
+            table_ = table_[:, np.lexsort((table_[2], table_[1], table_[0]))]
+            same = (table_[:3, 1:] == table_[:3, :-1]).all(axis=0)
             tag = np.where(np.r_[False, same], 2, np.r_[same, False].astype(np.int64))
-            table_[0] = np.where(tag == 2, mixed(table_[2] + table_[3]), table_[0])
-            yield pa.RecordBatch.from_arrays([*_longs(*table_), pa.array(tag.astype(np.int32))], ["anchor", "run", "row", "place", "tag"])
+            table_[0] = np.where(tag == 2, mixed(table_[3] + table_[4]), table_[0])
+            yield pa.RecordBatch.from_arrays([*_longs(*table_), pa.array(tag.astype(np.int32))], ["anchor", "run", "run_2", "row", "place", "tag"])
 
-    return docs.mapInArrow(run, "anchor long, run long, row long, place long, tag int")
+    return docs.mapInArrow(run, RUN_SCHEMA)
 
 
 def marked(runs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
@@ -133,56 +146,60 @@ def marked(runs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
     FULL: all its strings are found elsewhere, as an equal run is. SORTED: no equal run, but others
     with its anchor. FULL_AND_SORTED: the one of the equal runs that those are compared with. DEALT
     is added where the anchor has more than most_runs distinct runs.
-    """
-    spark = runs.sparkSession
-    dealt = runs.repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "run")
 
-    def states(anchor: np.ndarray, hash_: np.ndarray, tag: np.ndarray, hot: int | None) -> np.ndarray:
-        """The state of each row, or -1, for rows sorted by anchor and run hash."""
-        new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-        new_run = new_anchor | np.r_[True, hash_[1:] != hash_[:-1]]
+    Rows are dealt by ranges of anchor and digest, so that a hot anchor is spread over tasks while
+    equal runs meet. Anchors at a task's edges may go on in the next one; all count as DEALT, which
+    needs no view of the whole anchor.
+    """
+    dealt = runs.repartitionByRange(shuffle_partitions(runs.sparkSession), "anchor", "run").sortWithinPartitions("anchor", "run", "run_2")
+
+    def states(rows: list[np.ndarray], edges: list[int]) -> np.ndarray:
+        """The state of each row, or -1, for rows sorted by anchor and digest."""
+        anchor, tag = rows[0], rows[5]
+        change = lambda x: np.r_[True, x[1:] != x[:-1]]
+        new_anchor = change(anchor)
+        new_run = new_anchor | change(rows[1]) | change(rows[2])
         run_id = np.cumsum(new_run) - 1
         anchor_id = np.cumsum(new_anchor) - 1
         members = np.bincount(run_id)[run_id]
         runs_ = np.bincount(anchor_id[new_run])[anchor_id]
         full = (members > 1) | (tag == 1)
-        is_hot = anchor == hot if hot is not None else np.zeros(len(anchor), bool)
-        shared = (runs_ > 1) | is_hot
+        at_edge = np.isin(anchor, edges)
+        shared = (runs_ > 1) | at_edge
         state = np.where(full, np.where(shared & new_run, FULL_AND_SORTED, FULL), np.where(shared, SORTED, -1))
-        return np.where((state > FULL) & ((runs_ > most_runs) | is_hot), state | DEALT, state)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(5)]
-        hot: int | None = None
+        return np.where((state > FULL) & ((runs_ > most_runs) | at_edge), state | DEALT, state)
 
-        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-            state = states(rows[0], rows[1], rows[4], hot)
-            keep = state >= 0
-            return pa.RecordBatch.from_arrays([*_longs(rows[2][keep], rows[3][keep], rows[0][keep]), pa.array(state[keep].astype(np.int32))], ["row", "place", "anchor", "state"])
+    def marks(rows: list[np.ndarray], state: np.ndarray) -> pa.RecordBatch:
+        keep = state >= 0
+        return pa.RecordBatch.from_arrays([*_longs(rows[3][keep], rows[4][keep], rows[0][keep]), pa.array(state[keep].astype(np.int32))], MARK_NAMES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(6)]
+        edges: list[int] = []
         for batch in batches:
             rows = [c.to_numpy().astype(np.int64) for c in batch.columns]
-            copies = rows[4] == 2
+            copies = rows[5] == 2
             if copies.any():
-                n = int(copies.sum())
-                yield pa.RecordBatch.from_arrays([*_longs(rows[2][copies], rows[3][copies], rows[0][copies]), pa.array(np.full(n, FULL, np.int32))], ["row", "place", "anchor", "state"])
+                yield marks([r[copies] for r in rows], np.full(int(copies.sum()), FULL))
             held = [np.concatenate([h, r[~copies]]) for h, r in zip(held, rows, strict=True)]
+            if not edges and len(held[0]):
+                edges.append(int(held[0][0]))
             if len(held[0]) < 1 << 17:
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
             if not cut and len(held[0]) >= MOST_ROWS:
-                hot = int(held[0][-1])
+                edges.append(int(held[0][-1]))
                 cut = int(np.searchsorted(held[1], held[1][-1]))  # the last run of the hot anchor may go on
                 if not cut:  # one run with very many members: two of them will do for the others
-                    extra = [h[2:] for h in held]
-                    yield pa.RecordBatch.from_arrays([*_longs(extra[2], extra[3], extra[0]), pa.array(np.full(len(extra[0]), FULL, np.int32))], ["row", "place", "anchor", "state"])
+                    yield marks([h[2:] for h in held], np.full(len(held[0]) - 2, FULL))
                     held = [h[:2] for h in held]
                     continue
             if cut:
-                yield out([h[:cut] for h in held])
+                done = [h[:cut] for h in held]
+                yield marks(done, states(done, edges))
                 held = [h[cut:] for h in held]
         if len(held[0]):
-            yield out(held)
+            yield marks(held, states(held, [*edges, int(held[0][-1])]))
 
     return dealt.mapInArrow(run, "row long, place long, anchor long, state int")
 
@@ -315,9 +332,27 @@ def sorted_ranges(contexts: DataFrame) -> DataFrame:
 
 
 def dealt_ranges(strings: DataFrame) -> DataFrame:
-    """The same for single strings (hash, row, start, known) of anchors with too many runs: dealt by their hashes."""
-    twice = strings.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    return strings.filter("known = 0").join(twice, "hash").select("row", "start", F.lit(1).cast("long").alias("count"))
+    """The same for single strings (low, high, row, start, known) of anchors with too many runs: dealt by their digests."""
+    spark = strings.sparkSession
+    dealt = strings.select("low", "high", "row", "start", "known").repartition(shuffle_partitions(spark), "low").sortWithinPartitions("low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: list[np.ndarray], equal: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(equal & (rows[4] == 0))
+            return pa.RecordBatch.from_arrays(_longs(rows[2][at], rows[3][at], np.ones(len(at), np.int64)), ["row", "start", "count"])
+
+        # the last string waits for the one after it; before: whether it's equal to the one before
+        last, before = [np.zeros(0, np.int64) for _ in range(5)], False
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(last, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+            yield found([r[:-1] for r in rows], np.r_[before, same][:-1] | same)
+            last, before = [r[-1:] for r in rows], bool(np.r_[before, same][-1])
+        yield found(last, np.full(len(last[0]), before))
+
+    return dealt.mapInArrow(run, "row long, start long, count long")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -334,11 +369,11 @@ def compressed(docs: DataFrame) -> DataFrame:
 def run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the runs wanted (row, list of anchor, place, state), from the texts that have any.
 
-    Runs to sort come with their bytes; DEALT ones as one row per string, with its hash.
+    Runs to sort come with their bytes; DEALT ones as one row per string, with its digest in anchor and high.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "row", "place", "state", "data"]
+        names = ["anchor", "row", "place", "state", "data", "high"]
         for batch in batches:
             for k in range(batch.num_rows):
                 data = zstandard.ZstdDecompressor().decompress(batch.column(1)[k].as_py())
@@ -349,16 +384,16 @@ def run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 row = batch.column(0)[k].as_py()
                 pieces = [data[s : s + c + LENGTH - 1] for s, c in zip(start[cool].tolist(), count[cool].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*_longs(anchor[cool], np.full(len(pieces), row, np.int64), place[cool]), pa.array(state[cool].astype(np.int32)), pa.array(pieces, pa.binary())], names
+                    [*_longs(anchor[cool], np.full(len(pieces), row, np.int64), place[cool]), pa.array(state[cool].astype(np.int32)), pa.array(pieces, pa.binary()), pa.nulls(len(pieces), pa.int64())], names
                 )
                 for s, c, known in zip(start[~cool].tolist(), count[~cool].tolist(), (state[~cool] & 3 == FULL_AND_SORTED).tolist(), strict=True):
-                    piece = np.frombuffer(data[s : s + c + LENGTH - 1], np.uint8)
-                    hashes = mixed(Prefixes(piece, 512).hashes(np.arange(c), LENGTH))
-                    state_ = pa.array(np.full(c, DEALT + int(known), np.int32))
-                    yield pa.RecordBatch.from_arrays([*_longs(hashes, np.full(c, row, np.int64), s + np.arange(c)), state_, pa.nulls(c, pa.binary())], names)
+                    low, high = digests(data, np.arange(s, s + c), np.full(c, LENGTH))
+                    yield pa.RecordBatch.from_arrays(
+                        [*_longs(low, np.full(c, row, np.int64), s + np.arange(c)), pa.array(np.full(c, DEALT + int(known), np.int32)), pa.nulls(c, pa.binary()), *_longs(high)], names
+                    )
 
     joined = compressed(docs).join(wanted, "row").select("row", "data", "wanted")
-    return joined.mapInArrow(run, "anchor long, row long, place long, state int, data binary")
+    return joined.mapInArrow(run, "anchor long, row long, place long, state int, data binary, high long")
 
 
 def without_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -391,7 +426,7 @@ def without_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, block: int = BLOCK) -> DataFrame:
     """Remove each byte covered by a string of LENGTH bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes and matches never cross texts; strings are judged on the input. Null
@@ -412,14 +447,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         numbered = written(whole.withColumn("row", F.monotonically_increasing_id()), "numbered")
     texts = numbered.select("row", "data")
-    marks = written(marked(text_runs(texts), most_runs), "marks")
+    marks = written(marked(written(text_runs(texts, block), "runs"), most_runs), "marks")
     wanted = marks.filter(F.col("state") != FULL).groupBy("row").agg(F.collect_list(F.struct("anchor", "place", F.col("state").cast("long").alias("state"))).alias("wanted"))
     contexts = run_bytes(texts, wanted)
     if marks.filter(F.col("state") >= DEALT).limit(1).count():
         contexts = written(contexts, "contexts")
-        strings = contexts.filter(F.col("state") >= DEALT).select(F.col("anchor").alias("hash"), "row", F.col("place").alias("start"), (F.col("state") - DEALT).alias("known"))
-        more = dealt_ranges(strings)
-        found = sorted_ranges(contexts.filter(F.col("state") < DEALT)).unionByName(more)
+        strings = contexts.filter(F.col("state") >= DEALT).select(
+            F.col("anchor").alias("low"), "high", "row", F.col("place").alias("start"), (F.col("state") - DEALT).alias("known")
+        )
+        found = sorted_ranges(contexts.filter(F.col("state") < DEALT)).unionByName(dealt_ranges(strings))
     else:
         found = sorted_ranges(contexts)
     known = marks.filter(~F.col("state").isin(SORTED, SORTED | DEALT)).select(

@@ -3,8 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from foliospark.llm.suffix_dedup import LENGTH, Prefixes, common_extension, remove_repeats, suffix_sort
+from foliospark.llm.suffix_dedup import LENGTH, Prefixes, common_extension, found_twice, remove_repeats, runs_of, suffix_sort
 
 
 def brute(texts):
@@ -53,7 +54,7 @@ def test_brute_force_on_all_paths(docs_of):
     want = sorted(((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows]), strict=True)), key=str)
     assert any(w[2] for w in want)
     assert result(remove_repeats(docs_of(rows))) == want  # sorted suffix by suffix
-    assert result(remove_repeats(docs_of(rows), most_runs=1)) == want  # dealt by the strings' hashes
+    assert result(remove_repeats(docs_of(rows), most_runs=1, block=300)) == want  # dealt by the strings' digests; texts in many blocks
     again = [*rows, rows[8], (None, "z" * 300)]  # repeated and null ids: rows are numbered
     want = sorted(((i, *b) for (i, _), b in zip(again, brute([t for _, t in again]), strict=True)), key=str)
     assert result(remove_repeats(docs_of(again))) == want
@@ -74,5 +75,31 @@ def test_suffix_sort_orders_strings():
     assert common_extension(prefixes, a, b).tolist() == slow
 
 
+def test_blocks_give_the_same_strings():
+    data = np.frombuffer(texts()[8].encode() + b"z" * 900, np.uint8)
+    for size in (1 << 19, 1000, 7):
+        found = list(runs_of(data, size))
+        start, count, distance = (np.concatenate([f[k] for f in found]) for k in (3, 4, 5))
+        assert np.array_equal(np.repeat(start, count) + np.concatenate([np.arange(c) for c in count]), np.arange(len(data) - LENGTH + 1))
+        assert ((distance - count + 1 >= 0) & (distance <= LENGTH - 50)).all()
+
+
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_colliding_hashes_remove_nothing_wrong(monkeypatch, bits):
+    """With hashes of few bits the sort goes astray, but whatever it finds twice is there twice."""
+    whole = Prefixes.hashes
+    monkeypatch.setattr(Prefixes, "hashes", lambda self, a, n: whole(self, a, n) & np.uint64((1 << bits) - 1))
+    rng = random.Random(3)
+    run = "".join(rng.choice("abc") for _ in range(260))
+    runs = [run, "x" + run[1:], run[:-1] + "y", "".join(rng.choice("abc") for _ in range(260)), run]
+    data, n = np.frombuffer("".join(runs).encode(), np.uint8), 260 - LENGTH + 1
+    found = found_twice(data, np.arange(5) * 260, np.full(5, n), np.full(5, n), np.zeros(5, np.int64))
+    strings = [r[k : k + LENGTH] for r in runs for k in range(n)]
+    times = Counter(strings)
+    assert all(times[s] > 1 for s, f in zip(strings, found, strict=True) if f)
+    if bits == 64:
+        assert all(f == (times[s] > 1) for s, f in zip(strings, found, strict=True))
+
+
 def test_empty_table(docs_of):
     assert remove_repeats(docs_of([])).count() == 0
