@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -18,17 +20,12 @@ from foliospark.llm.shared import table, written
 
 #: Labelled rows that the lexicon and the curve are learned from: about this many, by a hash of the id.
 SAMPLE_ROWS = 12_000
-#: Entries are word beginnings of these lengths, in folded characters, or whole words of them.
+#: Entries are word beginnings of these lengths, in folded characters, and whole words of any.
 SHORTEST, LONGEST = 4, 12
-#: Candidates that are brought to the driver, the most telling first.
-CANDIDATES = 5_000
-MAX_ENTRIES = 1_000
 #: An entry is found in so many toxic documents at least; the log of how much more often than in
 #: others. Its log-likelihood ratio must be above what the best of all entries reaches by chance.
 LEAST_FOUND = 4
 LEAST_WEIGHT = 1.4
-#: How often one entry counts in a text at most.
-MOST_COUNTED = 8
 THRESHOLD = 0.3
 
 # Characters that look like a Latin letter, after compatibility decomposition.
@@ -56,7 +53,8 @@ FOLDING = _folding()
 def folded(text: str) -> str:
     """Lower case without marks, with homoglyphs and digits as letters and punctuation as spaces."""
     low = text.lower()
-    return (low if low.isascii() else unicodedata.normalize("NFKD", low)).translate(FOLDING)
+    # decomposing makes capitals again, of mathematical letters for one
+    return (low if low.isascii() else unicodedata.normalize("NFKD", low).lower()).translate(FOLDING)
 
 
 @dataclass(frozen=True)
@@ -81,7 +79,7 @@ class Lexicon:
 def total_weight(text: str, automaton: ahocorasick.Automaton) -> tuple[float, int]:
     """The weight of the entries found in a folded text, and its number of words.
 
-    Entries inside a phrase of the exceptions don't count. An entry counts MOST_COUNTED times at most.
+    Entries inside a phrase of the exceptions don't count. The time goes with the text's length.
     """
     words = text.split()
     text = f" {' '.join(words)} "
@@ -90,16 +88,12 @@ def total_weight(text: str, automaton: ahocorasick.Automaton) -> tuple[float, in
     hits, excused = [], []
     for end, (n, w) in automaton.iter(text):
         (excused if w is None else hits).append((end - n + 1, end, w))
-    found: Counter = Counter()
-    weight = 0.0
-    for start, end, w in hits:
-        if any(a <= start and end <= b + 1 for a, b, _ in excused):
-            continue
-        key = text[start : end + 1]
-        found[key] += 1
-        if found[key] <= MOST_COUNTED:
-            weight += w
-    return weight, len(words)
+    if excused:
+        excused.sort(key=lambda x: x[0])
+        starts = [a for a, _, _ in excused]
+        reach = list(accumulate((b for _, b, _ in excused), max))  # how far the phrases that start up to here go
+        hits = [h for h in hits if (k := bisect_right(starts, h[0])) == 0 or h[1] > reach[k - 1] + 1]
+    return float(sum(w for _, _, w in hits)), len(words)
 
 
 def features(weight: float, words: int) -> tuple[float, float]:
@@ -108,7 +102,11 @@ def features(weight: float, words: int) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """About `rows` labelled documents outside the held-out quarter: (text, label), written once."""
+    """About `rows` labelled documents outside the held-out quarter: (text, label), written once.
+
+    Null ids, null labels and ids without a label are left out; a null text is empty; an id with
+    several labels is toxic if one of them is; equal texts are one row.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     share = min(1.0, rows / max(known.count(), 1))
     picked = known.filter(F.pmod(F.xxhash64(id_col, F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -133,8 +131,8 @@ def candidate_counts(rows: DataFrame) -> DataFrame:
         counts = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                words = {w for w in folded(text.as_py()).split() if len(w) >= SHORTEST}
-                entries = {f" {w[:n]}" for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f" {w} " for w in words if len(w) <= LONGEST}
+                words = set(folded(text.as_py()).split())
+                entries = {f" {w[:n]}" for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f" {w} " for w in words}
                 counts[int(label.as_py() == 1)].update(entries)
                 if len(counts[0]) + len(counts[1]) > 500_000:
                     yield out(counts)
@@ -144,31 +142,28 @@ def candidate_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def evidence(a: int, b: int, toxic: int, other: int) -> float:
-    """The log-likelihood ratio that an entry found in a toxic and b other documents favours the toxic ones; 0 if it doesn't."""
-    rates = a / toxic, b / other
-    if rates[0] <= rates[1]:
-        return 0.0
+def evidence(toxic: int, other: int) -> Column:
+    """The log-likelihood ratio that an entry found in a of the toxic and b of the other documents favours the toxic ones; 0 if it doesn't."""
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
     whole = (a + b) / (toxic + other)
-    term = lambda k, n, p: (k * np.log(p) if k else 0.0) + ((n - k) * np.log(1 - p) if n > k else 0.0)
-    return float(2 * (term(a, toxic, rates[0]) + term(b, other, rates[1]) - term(a, toxic, whole) - term(b, other, whole)))
 
+    def term(k: Column, n: int, p: Column) -> Column:
+        return F.when(k > 0, k * F.ln(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.ln(1 - p)).otherwise(0.0)
+
+    found = 2 * (term(a, toxic, a / toxic) + term(b, other, b / other) - term(a, toxic, whole) - term(b, other, whole))
+    return F.when(a / toxic > b / other, found).otherwise(0.0)
 
-def choose_entries(candidates: list[tuple[str, int, int]], toxic: int, other: int, tried: int) -> dict[str, float]:
-    """Weights of the entries to use: the log of the ratio of their shares of toxic and other documents.
 
-    Entries are taken by their evidence, down to 2 ln(tried): of so many entries without a
-    meaning, about one is beyond that. One that begins a taken entry, or begins with one, tells
+def choose_entries(candidates: list[tuple[str, float, float]]) -> dict[str, float]:
+    """Weights of the entries to use, from (entry, evidence, weight).
+
+    Entries are taken by their evidence. One that begins a taken entry, or begins with one, tells
     the same and is left out.
     """
-    told = {e: (evidence(a, b, toxic, other), float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1)))) for e, a, b in candidates}
     chosen: dict[str, float] = {}
     beginnings: set[str] = set()
-    for entry in sorted(told, key=lambda e: (-told[e][0], -len(e), e)):
-        g, weight = told[entry]
-        if g < 2 * np.log(tried) or len(chosen) == MAX_ENTRIES:
-            break
-        if weight < LEAST_WEIGHT or entry in beginnings or any(entry[:n] in chosen for n in range(1, len(entry))):
+    for entry, _, weight in sorted(candidates, key=lambda c: (-c[1], -len(c[0]), c[0])):
+        if entry in beginnings or any(entry[:n] in chosen for n in range(1, len(entry))):
             continue
         chosen[entry] = weight
         beginnings |= {entry[:n] for n in range(1, len(entry))}
@@ -191,16 +186,23 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 def learn_lexicon(rows: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Lexicon, exception phrases and curve from a bounded sample of labelled rows (text, label)."""
+    """Lexicon, exception phrases and curve from a bounded sample of labelled rows (text, label).
+
+    A row is toxic if its label is 1, null texts aren't expected (training_rows makes them empty).
+    Weights are the log of the ratio of an entry's shares of toxic and other documents. Used are
+    entries whose evidence is over 2 ln(tried): of so many entries without a meaning, about one is
+    beyond that. Without toxic or other rows the lexicon is empty and every score the same.
+    """
     total = rows.agg(F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
     toxic, other = total["toxic"], total["n"] - total["toxic"]
     if not toxic or not other:
         return Lexicon()
     counted = written(candidate_counts(rows), "entries")
-    counts = counted.filter((F.col("a") >= LEAST_FOUND) & (F.col("a") * other > 2 * F.col("b") * toxic))
-    telling = F.col("a") * F.ln((F.col("a") + 0.5) * other / ((F.col("b") + 0.5) * toxic))
-    best = counts.orderBy(telling.desc(), "entry").limit(CANDIDATES).collect()
-    weights = choose_entries([(r["entry"], r["a"], r["b"]) for r in best], toxic, other, counted.count())
+    weight = F.ln((F.col("a") + 0.5) / (toxic + 1)) - F.ln((F.col("b") + 0.5) / (other + 1))
+    told = counted.filter(F.col("a") >= LEAST_FOUND).select("entry", evidence(toxic, other).alias("g"), weight.alias("w"))
+    told = told.filter((F.col("g") > 2 * float(np.log(max(counted.count(), 2)))) & (F.col("w") >= LEAST_WEIGHT))
+    # words of the sample that are telling beyond chance: the sample bounds them
+    weights = choose_entries([(r["entry"], r["g"], r["w"]) for r in told.collect()])
     given = tuple(f" {' '.join(folded(p).split())} " for p in exceptions)
     lexicon = Lexicon(weights, given)
     if not exceptions:
@@ -234,8 +236,8 @@ def learn_exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
     counted = rows.select("text", "label").mapInArrow(run, "phrase string, label int").groupBy("phrase").agg(
         F.sum((F.col("label") == 1).cast("long")).alias("a"), F.sum((F.col("label") != 1).cast("long")).alias("b")
     )
-    found = counted.filter((F.col("b") >= LEAST_FOUND) & (F.col("a") * 20 <= F.col("b"))).orderBy(F.desc("b"), "phrase").limit(MAX_ENTRIES)
-    return tuple(r["phrase"] for r in found.collect())
+    found = counted.filter((F.col("b") >= LEAST_FOUND) & (F.col("a") * 20 <= F.col("b")))
+    return tuple(sorted(r["phrase"] for r in found.collect()))
 
 
 def feature_batches(lexicon: Lexicon):
