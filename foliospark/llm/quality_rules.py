@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from itertools import pairwise
 from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,6 @@ from foliospark.llm.shared import SPACE, table, text_of, words_of, written
 SAMPLE_ROWS = 20_000
 #: Thresholds tried for each statistic lie between so many quantiles of the labelled sample.
 QUANTILES = 40
-MAX_RULES = 10
-MAX_CONDITIONS = 3
 #: A rule must be right on this share of the held-back rows that it covers, or it isn't used.
 MIN_PRECISION = 0.97
 #: And cover this many of them at least.
@@ -138,7 +137,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     )
     # the sample has a bound by construction, so it may be broadcast to the scan of the texts
     joined = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
-    stats = with_ratios(text_statistics(joined.select("_doc", "_text", "label"), "_doc", "_text"))
+    one = joined.groupBy("_doc").agg(F.min("_text").alias("_text"))  # an id with several texts counts once
+    stats = with_ratios(text_statistics(one, "_doc", "_text"))
     # the label is joined again rather than carried through the statistics
     return stats.join(F.broadcast(picked), stats["doc_id"] == picked["_id"]).select(
         *[F.col(f"_{name}") for name in RATIOS], (F.col("label") == 0).cast("int").alias("bad"),
@@ -156,10 +156,12 @@ def _gain(p0: float, n0: float, p: float, n: float) -> float:
 def learn_rules(sample: DataFrame) -> list[Rule]:
     """Sequential covering over a bounded sample of labelled statistics.
 
-    A rule grows on two thirds of the rows: each step counts bad and good rows per statistic and
-    quantile bin (a small table whatever the rows) and adds the condition of the largest gain. It
-    is pruned on the other third to the prefix with the best (bad - good) / (bad + good), and is
-    used if that reaches MIN_PRECISION there. The rows that it covers then leave both parts.
+    Spark finds the thresholds and the sample's bins; the driver counts them (one small number per
+    row and statistic, of SAMPLE_ROWS rows). A rule grows on two thirds of the rows: each step
+    counts bad and good rows per statistic and bin and adds the condition of the largest gain,
+    until no good row is covered or no condition gains. It is pruned on the other third to the
+    prefix with the best (bad - good) / (bad + good), and is used if that reaches MIN_PRECISION
+    there. The rows that it covers then leave both parts; covering ends when a rule isn't used.
     Without labels, or without bad rows, there are no rules.
     """
     names = list(RATIOS)
@@ -175,62 +177,45 @@ def learn_rules(sample: DataFrame) -> list[Rule]:
         cut = F.array(*[F.lit(float(t)) for t in thresholds[name]])
         return F.size(F.filter(cut, lambda t: F.col(f"_{name}") > t))
 
-    bins = F.array(*map(bin_of, names))
-    left = written(sample.select("bad", "held", bins.alias("bins")), "binned")
-    rules: list[Rule] = []
-
-    def met(stat: str, at: int, above: bool) -> Column:
-        found = F.get("bins", F.lit(names.index(stat)))
-        return found > at if above else found <= at
-
-    def all_met(chosen: list) -> Column:
-        found = F.lit(True)
-        for c in chosen:
-            found = found & met(*c)
-        return found
-
-    while len(rules) < MAX_RULES:
-        chosen: list[tuple[str, int, bool]] = []
-        counts = None
-        while len(chosen) < MAX_CONDITIONS:
-            table_ = (
-                left.filter(~F.col("held") & all_met(chosen))
-                .select("bad", F.posexplode("bins").alias("stat", "bin"))
-                .groupBy("stat", "bin").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n"))
-                .collect()  # statistics x bins rows at most
-            )
-            if not table_:
-                break
-            p0, n0 = (sum(r[k] for r in table_ if r["stat"] == 0) for k in ("p", "n"))
-            counts = counts or (p0, n0)
-            best = (1e-9, None)
-            if n0 and p0:
-                for j, name in enumerate(names):
-                    rows = {r["bin"]: (r["p"], r["n"]) for r in table_ if r["stat"] == j}
-                    p = n = 0
-                    for at in range(len(thresholds[name])):
-                        dp, dn = rows.get(at, (0, 0))
-                        p, n = p + dp, n + dn
-                        best = max(best, (_gain(p0, n0, p, n), (name, at, False)), (_gain(p0, n0, p0 - p, n0 - n), (name, at, True)), key=lambda x: x[0])
-            if best[1] is None:
-                break
-            chosen.append(best[1])
+    rows = sample.select("bad", F.col("held").cast("int").alias("held"), *[bin_of(n).alias(n) for n in names]).collect()  # the bounded sample
+    bad, held, *bins = np.array([tuple(r) for r in rows], np.int64).T
+    bins = np.array(bins)
+    open_, rules = np.ones(len(bad), bool), []
+
+    def met(condition: tuple[int, int, bool]) -> np.ndarray:
+        stat, at, above = condition
+        return bins[stat] > at if above else bins[stat] <= at
+
+    def best_condition(covered: np.ndarray) -> tuple[int, int, bool] | None:
+        p0, n0 = int(bad[covered].sum()), int((1 - bad[covered]).sum())
+        best = (1e-9, None)
+        for j, name in enumerate(names):
+            size = len(thresholds[name]) + 1
+            low = [np.cumsum(np.bincount(bins[j][covered], weights=w[covered], minlength=size)) for w in (bad, 1 - bad)]
+            for at in range(size - 1):
+                p, n = int(low[0][at]), int(low[1][at])
+                best = max(best, (_gain(p0, n0, p, n), (j, at, False)), (_gain(p0, n0, p0 - p, n0 - n), (j, at, True)), key=lambda x: x[0])
+        return best[1]
+
+    while True:
+        chosen: list[tuple[int, int, bool]] = []
+        covered = open_ & (held == 0)
+        while bad[covered].any() and not bad[covered].all() and (found := best_condition(covered)):
+            chosen.append(found)
+            covered &= met(found)
         if not chosen:
-            break
-        prefixes = [all_met(chosen[: k + 1]) for k in range(len(chosen))]
-        held = left.filter("held").agg(
-            *[F.coalesce(F.sum(F.when(c, F.col("bad")).otherwise(0)), F.lit(0)).alias(f"p{k}") for k, c in enumerate(prefixes)],
-            *[F.coalesce(F.sum(F.when(c, 1 - F.col("bad")).otherwise(0)), F.lit(0)).alias(f"n{k}") for k, c in enumerate(prefixes)],
-        ).first()
-        worth = [((held[f"p{k}"] - held[f"n{k}"]) / max(1, held[f"p{k}"] + held[f"n{k}"]), -k) for k in range(len(chosen))]
-        k = -max(worth)[1]
-        p, n = held[f"p{k}"], held[f"n{k}"]
+            return rules
+        prefix, worth = open_ & (held == 1), []
+        for k, condition in enumerate(chosen):
+            prefix = prefix & met(condition)
+            p, n = int(bad[prefix].sum()), int((1 - bad[prefix]).sum())
+            worth.append(((p - n) / max(1, p + n), -k, p, n))
+        _, k, p, n = max(worth)
         if p + n < MIN_COVERED or p < MIN_PRECISION * (p + n):
-            break
-        chosen = chosen[: k + 1]
-        rules.append(Rule(tuple(Condition(f"_{s}", float(thresholds[s][at]), above) for s, at, above in chosen)))
-        left = left.filter(~all_met(chosen))
-    return rules
+            return rules
+        chosen = chosen[: 1 - k]
+        rules.append(Rule(tuple(Condition(f"_{names[j]}", float(thresholds[names[j]][at]), above) for j, at, above in chosen)))
+        open_ &= ~np.all([met(c) for c in chosen], axis=0)
 
 
 def verdict(rules: list[Rule]) -> Column:

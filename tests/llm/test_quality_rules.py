@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from foliospark.llm.quality_rules import score_quality, without_rejects
+from foliospark.llm.quality_rules import labelled_sample, learn_rules, score_quality, without_rejects
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,3 +69,24 @@ def test_rules_are_learned_and_take_effect(spark, docs_of, junk):
 
 def test_empty_table(spark, docs_of):
     assert score_quality(docs_of([]), labels(spark, [(1, 0, 0), (1, 1, None), (None, 0, 0)])).count() == 0
+    assert without_rejects(docs_of([]), labels(spark, [])).count() == 0
+
+
+def test_as_many_rules_as_there_are_kinds_of_junk(spark, docs_of):
+    """Kinds of junk that no single condition tells from good texts; ids with several texts and labels count once."""
+    rng = random.Random(8)
+    marks = ["#", "!", "7", "Q"]
+    rows, told = [], []
+    for k in range(1500):
+        kind = k % 5
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(60, 120))]
+        rows.append((k, " ".join(w + marks[kind] * 2 if kind < 4 and rng.random() < 0.6 else w for w in words)))
+        told.append((k, int(kind == 4), 0))
+    docs, known = docs_of([*rows, (4, rows[4][1] + " more")]), labels(spark, [*told, told[4]])
+    sample = labelled_sample(docs, known, "doc_id", "text", "quality", 10_000)
+    assert sample.count() == 1500
+    rules = learn_rules(sample)
+    assert len(rules) >= 4 and all(r.conditions for r in rules)
+    got = {r["doc_id"]: (r["kept"], r["rule"]) for r in score_quality(docs, known).collect()}
+    assert sum(got[k][0] != bool(quality) for k, quality, _ in told) <= 15
+    assert {r for _, r in got.values()} == set(range(len(rules) + 1))
