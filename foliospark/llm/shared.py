@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.sources.workspace import written  # noqa: F401  for the operators
+from foliospark.sources.workspace import workspace, written  # noqa: F401  for the operators
 
 #: The characters that separate words in every contract, as a regular expression's class.
 SPACE = r"[\x20\x09-\x0D]"

@@ -1,4 +1,4 @@
-"""WARC records in ZIP packages, read by ranges from the central directory."""
+"""WARC records in ZIP packages on the shared store, read by ranges from the central directory."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import table, written
+from foliospark.llm.shared import shuffle_partitions, table, workspace, written
 
 #: Payloads below this are never revisits.
 LEAST_REVISIT = 100
@@ -33,10 +35,31 @@ CENTRAL_SIG, CENTRAL_SIZE = b"PK\x01\x02", 46
 LOCAL_SIG, LOCAL_SIZE = b"PK\x03\x04", 30
 MAX32, MAX16 = 0xFFFFFFFF, 0xFFFF
 
+#: Members that are archives and indexes, by the ends of their names.
+ARCHIVES, INDEXES = (".warc", ".warc.gz"), (".jsonl",)
+#: Indexes are read in slices of about so many bytes, each in a row of its own that Spark deals out.
+SLICE_BYTES = 1 << 20
+
 #: Reads bytes from a package: (start, length) -> bytes.
 RangeReader = Callable[[int, int], bytes]
 
 
+def opened(path: str):
+    """A file of the shared store, to be read by ranges: read_at(length, start) and size()."""
+    store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
+
+def put(folder: str, data: bytes) -> str:
+    """Write data as a new file in a folder of the shared store; its path. A task that runs twice leaves two files, one of which is read."""
+    store, place = fs.FileSystem.from_uri(folder)
+    store.create_dir(place, recursive=True)
+    name = f"{uuid.uuid4().hex}.zip"
+    with store.open_output_stream(f"{place}/{name}") as out:
+        out.write(data)
+    return f"{folder}/{name}"
+
+
 def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzipped WARC/1.1 record: a response with its payload, or a revisit without it."""
     kind = "response" if refers_to is None else "revisit"
@@ -55,11 +78,11 @@ def package(records: list[tuple[int, bytes]], zip64: bool = False) -> bytes:
     """A ZIP with the gzipped records in one stored member and their offsets in another."""
     index, at = [], 0
     for page_id, data in records:
-        index.append(json.dumps({"page_id": page_id, "offset": at, "length": len(data)}))
+        index.append(json.dumps({"page_id": page_id, "filename": DATA_MEMBER.rpartition("/")[2], "offset": at, "length": len(data)}))
         at += len(data)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, data in ((DATA_MEMBER, b"".join(x for _, x in records)), (INDEX_MEMBER, "\n".join(index).encode())):
+        for name, data in ((DATA_MEMBER, b"".join(x for _, x in records)), (INDEX_MEMBER, "".join(f"{x}\n" for x in index).encode("utf-8"))):
             with z.open(zipfile.ZipInfo(name), "w", force_zip64=zip64) as f:
                 f.write(data)
     return out.getvalue()
@@ -150,14 +173,17 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str, html_col: str) -
     return found.select("page_id", "url", "html", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
-def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Pack a WARC record per page into ZIP packages: rows (package, content).
+def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Pack a WARC record per page into ZIP files in a folder of the shared store: rows (path, size).
 
     The payload is the html in UTF-8; null html and url count as empty. Of equal payloads of
     LEAST_REVISIT bytes or more, the record with the smallest id is a response and the others
     revisit it. Packages close at package_bytes, so memory is bounded by that and one page. Ids
     are integers; rows with a repeated id or payload all get records, those with the smallest id
-    as responses; an empty table gives no packages; other columns are not read.
+    as responses; a null id makes a record that reads back as a row with an error; an empty table
+    gives no packages; other columns are not read. The folder is a path or URI that Arrow's file
+    systems open on driver and executors. Rows are lazy: write them, as each time that they are
+    computed the files are written anew.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +191,7 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
         def out() -> pa.RecordBatch:
             data = package(records)
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data], pa.binary())], ["package", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([put(folder, data)]), pa.array([len(data)], pa.int64())], ["path", "size"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -178,55 +204,115 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if records:
             yield out()
 
-    return with_originals(pages, id_col, url_col, html_col).mapInArrow(run, "package string, content binary")
+    return with_originals(pages, id_col, url_col, html_col).mapInArrow(run, "path string, size long")
 
 
-def read_packages(packages: DataFrame, content_col: str = "content") -> DataFrame:
-    """Every record of ZIP packages, found through directory and index, each by its own range.
+def index_slices(packages: DataFrame, path_col: str = "path") -> DataFrame:
+    """What there is to read: a row per slice of an index, with the places of the package's archives.
 
-    packages has the archives in a binary column, as write_packages or Spark's binaryFile reader
-    give them. Returns page_id, payload_bytes, payload_digest, record_type, refers_to, and error:
-    a package or record that can't be read gives a row with the reason instead of a failure. A
-    response's digest and length are computed from the payload read; a revisit's are those that it
-    states for the payload it refers to. Null content gives a row with an error.
+    Reads each package's directory and local headers by ranges. A package whose directory can't be
+    read, or which has no index or archive, is a row with an error.
     """
+
+    def slices_of(path: str | None) -> Iterator[tuple]:
+        try:
+            if path is None:
+                raise ValueError("no path")
+            with opened(path) as file:
+                places = members(lambda start, n: file.read_at(n, start), file.size())
+            archives = {name.rpartition("/")[2]: [*place] for name, place in places.items() if name.endswith(ARCHIVES)}
+            indexes = [place for name, place in places.items() if name.endswith(INDEXES)]
+            if not archives or not indexes:
+                raise ValueError("no stored archive or index")
+            for start, n in indexes:
+                for at in range(0, max(n, 1), SLICE_BYTES):
+                    yield path, json.dumps(archives), start, n, at, None
+        except (ValueError, struct.error, OSError) as e:
+            yield path, None, None, None, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            for path in batch.column(0):
+                rows = list(zip(*slices_of(path.as_py()), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["path", "archives", "start", "length", "at", "error"])
+
+    return packages.select(path_col).mapInArrow(run, "path string, archives string, start long, length long, at long, error string")
+
+
+def lines_of(read: RangeReader, start: int, length: int, at: int) -> list[bytes]:
+    """The lines that begin in the slice of an index from `at` on; the last one may go on behind it."""
+    low = at - 1 if at else 0
+    data = read(start + low, min(SLICE_BYTES + (1 if at else 0), length - low))
+    end = low + len(data)
+    while data and not data.endswith(b"\n") and end < length:
+        more = read(start + end, min(1 << 16, length - end))
+        cut = more.find(b"\n") + 1
+        data, end = data + (more[:cut] if cut else more), end + (cut or len(more))
+    if at:  # the line that the slice before began is its own
+        data = data.partition(b"\n")[2]
+    return [x for x in data.split(b"\n") if x.strip()]
+
+
+def read_packages(packages: DataFrame, path_col: str = "path") -> DataFrame:
+    """Every record of ZIP packages, found through directories and indexes, each read by its own range.
+
+    packages has the paths of files in the shared store, as write_packages gives them. Directories
+    are read first; slices of indexes are then dealt out, so that a large package is read by many
+    tasks, none of which holds more than a slice and a record. An index has a JSON object per line,
+    with offset and length and, where the package has several archives, the archive's filename.
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, and error: a package
+    or record that can't be read, or a record without a number as its id, gives a row with the reason
+    instead of a failure. A response's digest and length are computed from the payload read; a
+    revisit's are those that it states for the payload it refers to.
+    """
+    spark = packages.sparkSession
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def rows_of(content: bytes) -> Iterator[tuple]:
-        read: RangeReader = lambda start, length: content[start : start + length]
-        places = members(read, len(content))
-        (data_at, _), (index_at, index_n) = places[DATA_MEMBER], places[INDEX_MEMBER]
-        for line in read(index_at, index_n).decode().splitlines():
+    def row_of(read: RangeReader, archives: dict[str, list[int]], line: bytes) -> tuple:
+        page_id = None
+        try:
             entry = json.loads(line)
-            try:
-                fields = parse_record(read(data_at + entry["offset"], entry["length"]))
-                refers = fields.get("WARC-Refers-To")
-                payload = fields["payload"]
-                if refers is None:
-                    n, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                    wrong = None if digest == fields["WARC-Payload-Digest"].removeprefix("sha256:") else "digest differs"
-                else:
-                    n, digest, wrong = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), None
-                yield (int(fields["WARC-Record-ID"][10:-1]), n, digest, fields["WARC-Type"], int(refers[10:-1]) if refers else None, wrong)
-            except (ValueError, KeyError, OSError, EOFError, zlib.error) as e:
-                yield (entry.get("page_id"), None, None, None, None, str(e))
+            page_id = entry.get("page_id")
+            only = next(iter(archives.values())) if len(archives) == 1 else None
+            start, n = archives.get(entry.get("filename", "").rpartition("/")[2]) or only or [0, -1]
+            if not 0 <= entry["offset"] <= entry["offset"] + entry["length"] <= n:
+                raise ValueError("no such range in an archive")
+            fields = parse_record(read(start + entry["offset"], entry["length"]))
+            refers = fields.get("WARC-Refers-To")
+            payload = fields["payload"]
+            if refers is None:
+                n, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                wrong = None if digest == fields["WARC-Payload-Digest"].removeprefix("sha256:") else "digest differs"
+            else:
+                n, digest, wrong = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), None
+            return (int(fields["WARC-Record-ID"][10:-1]), n, digest, fields["WARC-Type"], int(refers[10:-1]) if refers else None, wrong)
+        except (ValueError, KeyError, OSError, EOFError, AttributeError, TypeError, zlib.error) as e:
+            return (page_id if isinstance(page_id, int) else None, None, None, None, None, str(e))
+
+    def rows_of(path: str, archives: str | None, start: int, length: int, at: int, error: str | None) -> Iterator[tuple]:
+        if error is not None:
+            yield (None, None, None, None, None, error)
+            return
+        with opened(path) as file:
+            read: RangeReader = lambda a, n: file.read_at(n, a)
+            for line in lines_of(read, start, length, at):
+                yield row_of(read, json.loads(archives), line)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
-            for content in batch.column(0):
-                try:
-                    rows = list(rows_of(content.as_py() or b""))
-                except (ValueError, KeyError, struct.error) as e:
-                    rows = [(None, None, None, None, None, str(e))]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
+            for k in range(batch.num_rows):
+                rows = list(rows_of(*(c[k].as_py() for c in batch.columns)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds], names)
 
-    return packages.select(content_col).mapInArrow(run, schema)
+    dealt = index_slices(packages, path_col).repartition(shuffle_partitions(spark), "path", "start", "at")
+    return dealt.mapInArrow(run, schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = written(write_packages(table(spark, sf_dir, "pages")), "packages")
+    packages = written(write_packages(table(spark, sf_dir, "pages"), f"{workspace(spark)}/foliospark/warc-{uuid.uuid4().hex}"), "packages")
     return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
