@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import SPACE, shuffle_partitions, table, text_of, written
+from foliospark.llm.shared import SPACE, table, text_of, written
 
-#: Runs are halved this many times in a round: 2 bits make each merge four-way.
-ROUND_BITS = 2
+#: Runs are halved this many times in a round: 4 bits make each merge sixteen-way.
+ROUND_BITS = 4
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,20 +28,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merge_runs(runs: DataFrame, rounds: int) -> DataFrame:
-    """Merge runs of (run, digest, n_bytes, best, members) until one run is left.
+def merge_round(runs: DataFrame, best: Column, members: Column) -> DataFrame:
+    """Merge 2**ROUND_BITS neighbouring runs: the best row and the members of each digest.
 
-    Each round merges 2**ROUND_BITS neighbouring runs. A key is a run and a digest, so its rows
-    are at most one from each run merged: no task gathers a hot digest, at any level. Digests of
-    texts with different lengths never merge.
+    A key is a run and a digest, and tasks reduce their own rows first, so a key's rows are at most
+    one from each task that holds the runs merged: no task gathers a hot digest, at any level.
+    Digests of texts with different lengths never merge.
     """
-    for _ in range(rounds):
-        runs = (
-            runs.withColumn("run", F.shiftright("run", ROUND_BITS))
-            .groupBy("run", "digest", "n_bytes")
-            .agg(F.min("best").alias("best"), F.sum("members").alias("members"))
-        )
-    return runs
+    merged = runs.withColumn("run", F.shiftright("run", ROUND_BITS))
+    return merged.groupBy("run", "digest", "n_bytes").agg(F.min(best).alias("best"), F.sum(members).alias("members"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,26 +49,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text_key (hash of the original text). An empty table gives an empty result; other columns are
     not read.
 
-    Rows are dealt to runs by a hash, each run keeps its best row of each digest, and runs merge
-    in rounds. The result then flows back in two joins: to the runs (as many rows of a digest as
-    there are runs at most) and to the rows (a run's share of a digest at most).
+    A run is what one task wrote. Each task sorts and reduces its own run, and neighbouring runs
+    merge in rounds until one is left. The result then flows back in two joins: to the runs of the
+    first round (as many rows of a digest as there are such runs at most) and to the rows (such a
+    run's share of a digest at most). Equal texts are known by SHA-256 and length.
     """
-    spark = docs.sparkSession
-    rounds = 1
-    while 1 << (ROUND_BITS * rounds) < 4 * shuffle_partitions(spark):
-        rounds += 1
-    rows = written(digests(docs, id_col, text_col), "digests").withColumn(
-        "run", F.pmod(F.xxhash64("row"), F.lit(1 << (ROUND_BITS * rounds))).cast("int")
-    )
-    best = F.struct(
-        (-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row")
-    )
-    runs = rows.groupBy("run", "digest", "n_bytes").agg(F.min(best).alias("best"), F.count("*").alias("members"))
-    final = merge_runs(runs, rounds).select(
+    rows = written(digests(docs, id_col, text_col).withColumn("run", F.spark_partition_id()), "digests")
+    last = rows.agg(F.max("run")).first()[0] or 0
+    best = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
+    runs = merged = merge_round(rows, best, F.lit(1))
+    while last := last >> ROUND_BITS:
+        merged = merge_round(merged, F.col("best"), F.col("members"))
+    final = merged.select(
         "digest", "n_bytes", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("members").alias("group_size")
     )
     back = runs.select("run", "digest", "n_bytes").join(final, ["digest", "n_bytes"])
-    return rows.join(back, ["run", "digest", "n_bytes"]).select(
+    return rows.withColumn("run", F.shiftright("run", ROUND_BITS)).join(back, ["run", "digest", "n_bytes"]).select(
         "doc_id", "keep_id", "group_size",
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -86,7 +77,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows are found again by id and text; where several rows agree in both, one of them stays.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    # written, so that Spark knows its size and needn't shuffle the texts where it's small
+    kept = written(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "kept")
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_doc_id"), F.xxhash64(text_of(text_col)).alias("_doc_key"))
     found = keyed.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_key") == F.col("_key")), "left_semi")
     again = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()

@@ -69,6 +69,7 @@ def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     weights: dict | None = None,
     epochs: float = EPOCHS,
     temperature: float = TEMPERATURE,
@@ -80,7 +81,8 @@ def mix_sources(
     distribution at a uniform number hashed from seed and id. Rows with equal ids get equal
     counts; a null source is a source of its own; a null id counts as the id "null". Returns the
     columns of docs plus copy (from 0), n_copies and mix_key; the order is that of mix_key within
-    a partition, and the partition is a hash of mix_key, so that the whole is shuffled. Columns
+    a partition, and the partition is a hash of mix_key and the text (so that many rows with a null
+    or repeated id are dealt out too), so that the whole is shuffled. Columns
     of docs with these three names are replaced. An empty table gives an empty result.
 
     The rates are broadcast up to BROADCAST_SOURCES sources. Beyond that they're joined by source
@@ -99,7 +101,7 @@ def mix_sources(
         rated = keyed.join(F.broadcast(rates), "_source")
     else:
         salts = F.explode(F.array(*[F.lit(i) for i in range(64)]))
-        rated = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(64)).cast("int")).join(rates.withColumn("_salt", salts), ["_source", "_salt"])
+        rated = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id", *([f"_doc.{text_col}"] if text_col in out else [])), F.lit(64)).cast("int")).join(rates.withColumn("_salt", salts), ["_source", "_salt"])
 
     def invert(draw: Column) -> Column:
         u = uniform(seed, F.col("_id"), draw)
@@ -112,7 +114,7 @@ def mix_sources(
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     return (
         copies.select("_doc.*", "copy", "n_copies", key.alias("mix_key"))
-        .repartition(shuffle_partitions(spark), "mix_key")
+        .repartition(shuffle_partitions(spark), "mix_key", *([F.xxhash64(text_col)] if text_col in out else []))
         .sortWithinPartitions("mix_key")
     )
 

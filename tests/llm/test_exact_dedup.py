@@ -29,6 +29,15 @@ def test_brute_force(docs_of):
     assert len(kept) == len(set(kept)) == len({SPACE.sub("", t or "") for _, t in ROWS})
 
 
+def test_many_runs_merge_in_rounds(docs_of):
+    """Runs of many tasks, with very long texts and one text in all of them."""
+    rows = [*ROWS, *((1000 + k, "hot text") for k in range(300)), (2000, "long " * 400_000), (2001, "long" * 400_000)]
+    got = exact_dedup(docs_of(rows).repartition(40)).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == brute(rows)
+    kept = [r["text_sha256"] for r in got if r["kept"]]
+    assert len(kept) == len(set(kept))
+
+
 def test_survivors_keep_columns(docs_of):
     docs = docs_of(ROWS)
     got = without_copies(docs)

@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import mixing
 from foliospark.llm.mixing import mix_sources, target_rates
@@ -63,3 +64,11 @@ def test_order_is_a_shuffle_and_repeatable(docs_of):
 
 def test_empty_table(docs_of):
     assert mix_sources(docs_of([])).count() == 0
+
+
+def test_rows_without_ids_are_dealt_out(docs_of):
+    docs = docs_of([(None, f"text {k}", "s") for k in range(200)])
+    mixed = mix_sources(docs, weights={"s": 1}, epochs=3)
+    parts = mixed.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    counts = {r["n_copies"] for r in mixed.collect()}
+    assert len(counts) <= 1 and (not counts or len(parts) > 1)

@@ -45,3 +45,12 @@ def test_stages(spark, docs_of, tmp_path):
     assert kept[1] == (ids - {0}) | {100, 104}  # the longer copy stays
     assert kept[2] == (ids - {0}) | {100}  # equal but for capitals: one fingerprint
     assert kept[3] <= kept[2] and kept[4] == kept[3]
+
+
+def test_stages_on_an_empty_table(spark, docs_of, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs_of([])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
