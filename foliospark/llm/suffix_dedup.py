@@ -28,8 +28,9 @@ LENGTH = 200
 ANCHOR = 50
 #: Strings are hashed in blocks of so many starts, so that a very long text needs no more memory.
 BLOCK = 1 << 19
-#: The strings of anchors with more distinct runs are dealt out by their digests, so that no task sorts more for an anchor.
-MOST_RUNS = 1024
+#: The strings of anchors with more distinct runs are dealt out by their digests, so that no task sorts more for an anchor
+#: (about 1 MB). Either way gives the same result; dealing moves a row per string, which costs more than sorting here.
+MOST_RUNS = 4096
 #: Rows of one anchor that are held before it counts as such.
 MOST_ROWS = 1 << 20
 #: Bytes of runs that are sorted at once.
@@ -40,7 +41,7 @@ SORT_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 POSITION = np.uint64((1 << 24) - 1)
-FULL, FULL_AND_SORTED, SORTED, DEALT = 0, 1, 2, 4
+FULL, FULL_AND_SORTED, SORTED, DEALT, EDGE = 0, 1, 2, 4, 8
 
 
 @cache
@@ -111,7 +112,7 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
 
 
 RUN_SCHEMA = "anchor long, run long, run_2 long, row long, place long, tag int"
-MARK_NAMES = ["row", "place", "anchor", "state"]
+MARK_NAMES = ["row", "place", "anchor", "state", "n"]
 
 
 def text_runs(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -148,13 +149,21 @@ def marked(runs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
     is added where the anchor has more than most_runs distinct runs.
 
     Rows are dealt by ranges of anchor and digest, so that a hot anchor is spread over tasks while
-    equal runs meet. Anchors at a task's edges may go on in the next one; all count as DEALT, which
-    needs no view of the whole anchor.
+    equal runs meet. The anchors at a task's two edges may go on in the next ones: their distinct runs
+    are counted per task, and the sums (two anchors per task at most, hence the broadcast) tell.
     """
-    dealt = runs.repartitionByRange(shuffle_partitions(runs.sparkSession), "anchor", "run").sortWithinPartitions("anchor", "run", "run_2")
+    spark = runs.sparkSession
+    dealt = runs.repartitionByRange(shuffle_partitions(spark), "anchor", "run").sortWithinPartitions("anchor", "run", "run_2")
 
-    def states(rows: list[np.ndarray], edges: list[int]) -> np.ndarray:
-        """The state of each row, or -1, for rows sorted by anchor and digest."""
+    def marks(rows: list[np.ndarray], state: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        keep = state >= 0
+        return pa.RecordBatch.from_arrays([*_longs(rows[3][keep], rows[4][keep], rows[0][keep]), pa.array(state[keep].astype(np.int32)), *_longs(n[keep])], MARK_NAMES)
+
+    def copies_marked(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return marks(rows, np.full(len(rows[0]), FULL), np.zeros(len(rows[0]), np.int64))
+
+    def compared(rows: list[np.ndarray], edges: list[int]) -> pa.RecordBatch:
+        """The marks of rows sorted by anchor and digest."""
         anchor, tag = rows[0], rows[5]
         change = lambda x: np.r_[True, x[1:] != x[:-1]]
         new_anchor = change(anchor)
@@ -167,11 +176,8 @@ def marked(runs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
         at_edge = np.isin(anchor, edges)
         shared = (runs_ > 1) | at_edge
         state = np.where(full, np.where(shared & new_run, FULL_AND_SORTED, FULL), np.where(shared, SORTED, -1))
-        return np.where((state > FULL) & ((runs_ > most_runs) | at_edge), state | DEALT, state)
-
-    def marks(rows: list[np.ndarray], state: np.ndarray) -> pa.RecordBatch:
-        keep = state >= 0
-        return pa.RecordBatch.from_arrays([*_longs(rows[3][keep], rows[4][keep], rows[0][keep]), pa.array(state[keep].astype(np.int32))], MARK_NAMES)
+        state = np.where((state > FULL) & (runs_ > most_runs) & ~at_edge, state | DEALT, state)
+        return marks(rows, np.where((state > FULL) & at_edge, state | EDGE, state), np.where(at_edge & new_run, 1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(6)]
@@ -180,7 +186,7 @@ def marked(runs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
             rows = [c.to_numpy().astype(np.int64) for c in batch.columns]
             copies = rows[5] == 2
             if copies.any():
-                yield marks([r[copies] for r in rows], np.full(int(copies.sum()), FULL))
+                yield copies_marked([r[copies] for r in rows])
             held = [np.concatenate([h, r[~copies]]) for h, r in zip(held, rows, strict=True)]
             if not edges and len(held[0]):
                 edges.append(int(held[0][0]))
@@ -191,17 +197,26 @@ def marked(runs: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
                 edges.append(int(held[0][-1]))
                 cut = int(np.searchsorted(held[1], held[1][-1]))  # the last run of the hot anchor may go on
                 if not cut:  # one run with very many members: two of them will do for the others
-                    yield marks([h[2:] for h in held], np.full(len(held[0]) - 2, FULL))
+                    yield copies_marked([h[2:] for h in held])
                     held = [h[:2] for h in held]
                     continue
             if cut:
-                done = [h[:cut] for h in held]
-                yield marks(done, states(done, edges))
+                yield compared([h[:cut] for h in held], edges)
                 held = [h[cut:] for h in held]
         if len(held[0]):
-            yield marks(held, states(held, [*edges, int(held[0][-1])]))
-
-    return dealt.mapInArrow(run, "row long, place long, anchor long, state int")
+            yield compared(held, [*edges, int(held[0][-1])])
+
+    found = written(dealt.mapInArrow(run, "row long, place long, anchor long, state int, n long"), "marks")
+    totals = found.filter(F.col("state") >= EDGE).groupBy("anchor").agg(F.sum("n").alias("total"))
+    base = F.col("state") - EDGE
+    resolved = (
+        F.when(F.col("total").isNull() | (F.col("state") < EDGE), F.col("state"))
+        .when((F.col("total") == 1) & (base == FULL_AND_SORTED), FULL)
+        .when(F.col("total") > most_runs, base + DEALT)
+        .otherwise(base)
+    )
+    told = found.join(F.broadcast(totals), "anchor", "left")
+    return told.filter(F.col("total").isNull() | (F.col("total") > 1) | (F.col("state") != SORTED + EDGE)).select("row", "place", "anchor", resolved.cast("int").alias("state"))
 
 
 def common_extension(prefixes: Prefixes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -447,7 +462,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         numbered = written(whole.withColumn("row", F.monotonically_increasing_id()), "numbered")
     texts = numbered.select("row", "data")
-    marks = written(marked(written(text_runs(texts, block), "runs"), most_runs), "marks")
+    marks = marked(written(text_runs(texts, block), "runs"), most_runs)
     wanted = marks.filter(F.col("state") != FULL).groupBy("row").agg(F.collect_list(F.struct("anchor", "place", F.col("state").cast("long").alias("state"))).alias("wanted"))
     contexts = run_bytes(texts, wanted)
     if marks.filter(F.col("state") >= DEALT).limit(1).count():
