@@ -28,9 +28,9 @@ MAX_DIFFERENT, SEGMENTS = 20, 8
 ORDER_DOCS = 20_000
 #: Shingles that as many of those documents share are common, up to MOST_COMMON of them.
 COMMON, MOST_COMMON = 3, 100_000
-#: Buckets up to this size give all their pairs at once; larger ones go by rounds of pivots.
+#: Buckets up to this size give all their open pairs at once; larger ones go by rounds of pivots.
 SMALL_BUCKET = 48
-PIVOTS, MORE_PIVOTS = 16, 8
+PIVOTS, MORE_PIVOTS = 8, 8
 _SEED = 42
 
 
@@ -142,29 +142,42 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Links (a < b) between nodes that connect what all pairs of near copies connect.
 
     Nodes meet in the buckets of their prefixes' shingles, of which most hold one node and are left
-    at once. Those that pass the pigeonring are confirmed. Pairs of small buckets are all held
-    against it. Large ones go by rounds of ever more pivots, each with the members that its
-    component does not hold yet, until every member has been a pivot or all are connected.
+    at once. Those that pass the pigeonring are confirmed. First each bucket's members are held
+    against one of them, which connects most groups of near copies with as many pairs as there are
+    members. Then only members that aren't connected yet are: all pairs of small buckets; in large
+    ones rounds of ever more pivots, until every member has been a pivot or all are connected.
     """
     keys = classes.select("node", F.explode("prefix").alias("h"))
     shared = keys.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1")
-    met = written(shared.join(classes.select("node", "n", "fp"), "node"), "near-buckets")
-    small = met.filter(F.col("m") <= SMALL_BUCKET)
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & _may_be_near("x", "y"))
-    links = _confirmed(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), classes, docs, words)
-    large = met.filter(F.col("m") > SMALL_BUCKET).withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30))
-    most = large.agg(F.max("m")).first()[0]
+    met = written(shared.join(classes.select("node", "n", "fp"), "node").withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)), "near-buckets")
+    links = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = _confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), classes, docs, words)
+        return found if links is None else links.union(found)
+
+    def still_open() -> DataFrame:
+        """Members, with their roots, of buckets that hold several components."""
+        at = met.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = at.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("h")
+        return written(at.join(several, "h", "left_semi"), "near-open")
+
+    first = met.groupBy("h").agg(F.min(F.struct("u", "node", "n", "fp")).alias("p")).select("h", "p.node", "p.n", "p.fp")
+    links = linked(met.alias("x").join(first.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") != F.col("y.node")) & _may_be_near("x", "y")))
+    at = still_open()
+    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y")
+    small = at.filter(F.col("m") <= SMALL_BUCKET)
+    if not small.isEmpty():
+        links = linked(small.alias("x").join(small.alias("y"), apart & (F.col("x.node") < F.col("y.node"))))
+    most = at.filter(F.col("m") > SMALL_BUCKET).agg(F.max("m")).first()[0]
     low, high = 0, PIVOTS
     while most:
-        roots = components(links)
-        at = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = at.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("h")
-        at = written(at.join(open_, "h", "left_semi"), "near-open")
+        at = still_open().filter(F.col("m") > SMALL_BUCKET)
+        if at.isEmpty():
+            break
         pivots = at.filter((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high))
-        pairs = pivots.alias("x").join(at.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y"))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        links = links.union(_confirmed(pairs, classes, docs, words))
-        if high >= most or at.isEmpty():
+        links = linked(pivots.alias("x").join(at.alias("y"), apart))
+        if high >= most:
             break
         low, high = high, high * MORE_PIVOTS
     return links
