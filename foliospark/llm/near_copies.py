@@ -28,9 +28,9 @@ MAX_DIFFERENT, SEGMENTS = 20, 8
 ORDER_DOCS = 20_000
 #: Shingles that as many of those documents share are common, up to MOST_COMMON of them.
 COMMON, MOST_COMMON = 3, 100_000
-#: Buckets up to this size give all their open pairs at once; larger ones go by rounds of pivots.
-SMALL_BUCKET = 48
-PIVOTS, MORE_PIVOTS = 8, 8
+#: Buckets up to this size give all their open pairs at once; larger ones go by rounds with so many
+#: times more pivots each.
+SMALL_BUCKET, MORE_PIVOTS = 48, 64
 _SEED = 42
 
 
@@ -145,7 +145,8 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     at once. Those that pass the pigeonring are confirmed. First each bucket's members are held
     against one of them, which connects most groups of near copies with as many pairs as there are
     members. Then only members that aren't connected yet are: all pairs of small buckets; in large
-    ones rounds of ever more pivots, until every member has been a pivot or all are connected.
+    ones rounds of ever more pivots, until every member has been a pivot or all are connected. A large
+    bucket of texts that share a shingle without being similar is compared in pairs, but gives none.
     """
     keys = classes.select("node", F.explode("prefix").alias("h"))
     shared = keys.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1")
@@ -164,18 +165,14 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     first = met.groupBy("h").agg(F.min(F.struct("u", "node", "n", "fp")).alias("p")).select("h", "p.node", "p.n", "p.fp")
     links = linked(met.alias("x").join(first.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") != F.col("y.node")) & _may_be_near("x", "y")))
-    at = still_open()
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y")
-    small = at.filter(F.col("m") <= SMALL_BUCKET)
-    if not small.isEmpty():
-        links = linked(small.alias("x").join(small.alias("y"), apart & (F.col("x.node") < F.col("y.node"))))
-    most = at.filter(F.col("m") > SMALL_BUCKET).agg(F.max("m")).first()[0]
-    low, high = 0, PIVOTS
-    while most:
-        at = still_open().filter(F.col("m") > SMALL_BUCKET)
-        if at.isEmpty():
+    low, high = 0, SMALL_BUCKET  # of a small bucket every member is a pivot of the first round
+    while True:
+        at = still_open().filter(F.col("m") > low)
+        most = at.agg(F.max("m")).first()[0]
+        if not most:
             break
-        pivots = at.filter((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high))
+        pivots = at.filter((F.col("m") <= SMALL_BUCKET) | ((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high)))
         links = linked(pivots.alias("x").join(at.alias("y"), apart))
         if high >= most:
             break

@@ -45,7 +45,7 @@ def edited(rng, words, places):
 def test_stage_by_brute_force(spark, docs_of, monkeypatch, small):
     """Copies on both sides of a similarity of 0.8, in groups and chains, with a line that all share; also by rounds of pivots."""
     monkeypatch.setattr(near_copies, "SMALL_BUCKET", small)
-    monkeypatch.setattr(near_copies, "PIVOTS", 2)
+    monkeypatch.setattr(near_copies, "MORE_PIVOTS", 4)
     rng = random.Random(5)
     line = "this very common line stands in nearly every document of the table".split()
     rows = []
