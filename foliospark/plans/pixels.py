@@ -83,7 +83,7 @@ def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of the score maps on pages of 80 by 40, with limits for maps of 8 by 8."""
-    found = boxes(maps(spark, sf_dir), 8, 8, threshold=0.1, box_threshold=0.05, max_candidates=5, least_side=1.0, least_grown=1.5)
+    found = boxes(maps(spark, sf_dir), 8, 8, threshold=0.1, box_threshold=0.05, max_candidates=0, least_side=1.0, least_grown=1.5)
     names = [f"{axis}{k}" for k in range(4) for axis in ("x", "y")]
     cells = [F.get("quad", F.lit(k // 2))["xy"[k % 2]].alias(n) for k, n in enumerate(names)]
     return on_page(found, 10.0, 5.0, 80, 40).select("image", "region", *cells, rounded("score", 5).alias("score"))
@@ -91,7 +91,7 @@ def detect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warp_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes' contents made upright: sizes and mean values."""
-    found = boxes(maps(spark, sf_dir), 8, 8, threshold=0.1, box_threshold=0.05, max_candidates=5, least_side=1.0, least_grown=1.5)
+    found = boxes(maps(spark, sf_dir), 8, 8, threshold=0.1, box_threshold=0.05, max_candidates=0, least_side=1.0, least_grown=1.5)
     images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("values"))
     mean = F.aggregate("values", F.lit(0.0), lambda s, v: s + v) / F.size("values")
     return perspective_crops(images, found.select("image", "region", "quad")).select("image", "region", "height", "width", rounded(mean, 4).alias("mean"), "error")

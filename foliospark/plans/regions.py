@@ -10,6 +10,7 @@ from foliospark.functions.numbers import rounded
 from foliospark.functions.sizes import detection_size, recognition_width, valid_steps
 from foliospark.operators.quads import hulls, smallest_rectangles
 from foliospark.operators.regions import first_candidates, largest_candidates, paired, plan_batches, region_error
+from foliospark.operators.sinks import text_report
 from foliospark.plans.tables import table
 
 #: The line items' key repeats, so an order over them needs all columns.
@@ -154,12 +155,14 @@ def missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered text lines of the first four regions per page: region, confidence in per cent and box."""
-    return _report(first_candidates(table(spark, sf_dir, "lineitem"), "l_orderkey", ALL, 4))
+    """The text report of each page: every region's text, confidence and polygon."""
+    x, y, side = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
+    ring = g.ring((x, y), (x + side, y), (x + side, y + 10), (x, y + 10), (x, y))
+    return text_report(table(spark, sf_dir, "lineitem").withColumn("ring", ring), "l_orderkey", ALL, "l_returnflag", "l_discount", "ring")
 
 
 def report_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As report_lines, with every region of a page."""
+    """A line per region: number, text, confidence in per cent and box."""
     return _report(table(spark, sf_dir, "lineitem"))
 
 
@@ -211,8 +214,8 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's first three regions as one JSON document."""
-    return _json(first_candidates(table(spark, sf_dir, "lineitem"), "l_orderkey", ALL, 3))
+    """Each page's regions as one JSON document."""
+    return _json(table(spark, sf_dir, "lineitem"))
 
 
 def results_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,9 +342,11 @@ ORACLE_SQL = {
     "missing_pairs": """WITH l AS (SELECT DISTINCT l_orderkey AS key FROM lineitem)
       SELECT o_orderkey IS NOT NULL AND key IS NOT NULL AS matched, o_orderkey IS NULL AS no_box, count(*) AS pages
       FROM orders FULL JOIN l ON o_orderkey = key GROUP BY ALL""",
-    "report_lines": f"""WITH f AS (SELECT l_orderkey, format('[{{}}] {{}} ({{:.1f}}%) at {{:.2f}}', l_linenumber, l_returnflag, floor(l_discount * 100), l_extendedprice) AS line
-      FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ALL}) <= 4)
-      SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) AS report FROM f GROUP BY l_orderkey""",
+    "report_lines": f"""WITH f AS (SELECT l_orderkey, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n,
+        format('--- Region {{}} ---\nText: {{}}\nConfidence: {{:.3f}}\nPolygon: ({{:.1f}}, {{:.1f}}) -> ({{:.1f}}, {{:.1f}}) -> ({{:.1f}}, {{:.1f}}) -> ({{:.1f}}, {{:.1f}})', row_number() OVER w,
+          l_returnflag, l_discount, {", ".join(f"({e})::DOUBLE" for e in ("l_partkey", "l_suppkey", "l_partkey + l_quantity", "l_suppkey", "l_partkey + l_quantity", "l_suppkey + 10", "l_partkey", "l_suppkey + 10"))}) AS line
+      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ALL}))
+      SELECT l_orderkey, 'Detected ' || any_value(n) || ' text regions:' || chr(10) || string_agg(line, chr(10) ORDER BY k) AS report FROM f GROUP BY l_orderkey""",
     "report_lines_all": """WITH f AS (SELECT l_orderkey, format('[{}] {} ({:.1f}%) at {:.2f}', l_linenumber, l_returnflag, floor(l_discount * 100), l_extendedprice) AS line FROM lineitem)
       SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) AS report FROM f GROUP BY l_orderkey""",
     "results_json_all": """SELECT l_orderkey, '[' || string_agg('{"region":' || l_linenumber || ',"text":"' || l_returnflag || '","x":' || l_partkey || ',"y":' || l_suppkey || '}',
@@ -361,9 +366,8 @@ ORACLE_SQL = {
       b AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS text2, max(l_quantity) AS box2 FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1, 2)
       SELECT l_linenumber, count(*) FILTER (text = text2) AS same_text, count(*) FILTER (box = box2) AS same_box, count(*) FILTER (text IS NULL OR text2 IS NULL) AS missing, count(*) AS n
       FROM a FULL JOIN b USING (l_orderkey, l_linenumber) GROUP BY l_linenumber""",
-    "results_json": f"""WITH f AS (SELECT l_orderkey, l_linenumber AS region, l_returnflag AS text, l_partkey AS x, l_suppkey AS y FROM lineitem
-      QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ALL}) <= 3)
-      SELECT l_orderkey, '[' || string_agg('{{"region":' || region || ',"text":"' || text || '","x":' || x || ',"y":' || y || '}}', ',' ORDER BY region, text, x, y) || ']' AS json FROM f GROUP BY l_orderkey""",
+    "results_json": """SELECT l_orderkey, '[' || string_agg('{"region":' || l_linenumber || ',"text":"' || l_returnflag || '","x":' || l_partkey || ',"y":' || l_suppkey || '}',
+      ',' ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey) || ']' AS json FROM lineitem GROUP BY l_orderkey""",
     "benchmark_lines": """SELECT event_type, format('[INFO] benchmark.{}={:.6f}', event_type, sum(trunc(value * 1000)::BIGINT) / 1000.0::DOUBLE) AS line FROM events GROUP BY event_type""",
     "rec_target_width": f"""SELECT DISTINCT l_partkey AS w, l_quantity AS h, {_REC_WIDTH.format(w="l_partkey", h="l_quantity")} AS width FROM lineitem""",
 }

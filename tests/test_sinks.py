@@ -1,5 +1,6 @@
 import json
 
+from foliospark.operators.sinks import text_report
 from foliospark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -7,5 +8,18 @@ SF = "/root/testdata/sf0.001"
 
 def test_sinks_write_every_region(spark):
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    assert sum(len(json.loads(r["json"])) for r in registry.queries()["results_json_all"](spark, SF).collect()) == n
+    for name in ("results_json", "results_json_all"):
+        assert sum(len(json.loads(r["json"])) for r in registry.queries()[name](spark, SF).collect()) == n
+    assert sum(r["report"].count("--- Region ") for r in registry.queries()["report_lines"](spark, SF).collect()) == n
     assert sum(len(r["report"].split("\n")) for r in registry.queries()["report_lines_all"](spark, SF).collect()) == n
+
+
+def test_text_report(spark):
+    ring = [(0.0, 1.0), (2.5, 1.0), (2.5, 3.0), (0.0, 1.0)]
+    rows = [(1, 2, "b", 0.5, ring[:3]), (1, 10, None, 0.98765, ring), (1, 1, "a", 1.0, ring), (2, 1, None, None, None)]
+    df = spark.createDataFrame(rows, "page long, k int, words string, sure double, ring array<struct<x: double, y: double>>")
+    got = {r["page"]: r["report"] for r in text_report(df, "page", ["k"], "words", "sure", "ring").collect()}
+    shown = "(0.0, 1.0) -> (2.5, 1.0) -> (2.5, 3.0)"
+    told = [f"--- Region {i} ---\nText: {t}\nConfidence: {c}\nPolygon: {shown}" for i, t, c in ((1, "a", "1.000"), (2, "b", "0.500"), (3, "", "0.988"))]
+    assert got == {1: "\n".join(["Detected 3 text regions:", *told]), 2: "No text regions detected."}
+    assert text_report(df.limit(0), "page", ["k"], "words", "sure", "ring").count() == 0
