@@ -24,8 +24,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 CAPACITY = 1024
 
-#: A unit of a text: white space and what follows it up to the next white space.
-UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: A unit of a text: white space and what follows it up to the next white space, or up to a stop after a plain letter.
+UNIT = re.compile(r"[ \t\n\r]*+[^ \t\n\r.,;:!?]*[A-Za-z](?=[.,;:!?])|[ \t\n\r]*+[^ \t\n\r]++|[ \t\n\r]++")
 #: White space other than that, in any library's view.
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 #: Where a text may be cut.
@@ -38,9 +38,9 @@ REMEMBERED_CHARS, REMEMBERED, CHARS_AT_ONCE = 24, 1 << 19, 1 << 21
 class Ids:
     """The ids of texts by the tokenizer file at path, as little-endian unsigned 32-bit numbers; one per Python worker.
 
-    No token of the file's pattern holds white space after another character, so a text may be cut
-    between any character and a space, tab or line end after it, and its ids are those of its units
-    one after the other. Units come again and again, so most are looked up. A text with other white
+    No token of the file's pattern holds white space after another character, or a stop after a
+    letter, so a text may be cut between any character and a space, tab or line end after it, and
+    between a letter and a stop, and its ids are those of its units one after the other. Units come again and again, so most are looked up. A text with other white
     space, on which libraries differ, is a single unit.
     """
 
