@@ -32,7 +32,7 @@ OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 BORDER = re.compile(r"(?<=[^ \t\n\r])(?=[ \t\n\r])")
 #: Units up to this length are remembered, so many at once, and about so many characters are cut
 #: into units at once; the three bound memory and change no id.
-REMEMBERED_CHARS, REMEMBERED, CHARS_AT_ONCE = 24, 1 << 19, 1 << 21
+REMEMBERED_CHARS, REMEMBERED, CHARS_AT_ONCE = 24, 1 << 20, 1 << 21
 
 
 class Ids:
