@@ -28,9 +28,9 @@ MAX_DIFFERENT, SEGMENTS = 20, 8
 ORDER_DOCS = 20_000
 #: Shingles that as many of those documents share are common, up to MOST_COMMON of them.
 COMMON, MOST_COMMON = 3, 100_000
-#: Buckets up to this size give all their open pairs at once; larger ones go by rounds with so many
-#: times more pivots each.
-SMALL_BUCKET, MORE_PIVOTS = 48, 64
+#: Buckets up to this size give all their pairs at once; larger ones go by rounds with so many times
+#: more pivots each.
+SMALL_BUCKET, MORE_PIVOTS = 8, 64
 _SEED = 42
 
 
@@ -108,10 +108,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def _may_be_near(a: str, b: str):
-    """Whether sizes leave room for the similarity, and the fingerprints pass the pigeonring and the full Hamming check."""
+    """Whether sizes and places leave room for the similarity, and the fingerprints pass the pigeonring and the full Hamming check.
+
+    Where the bucket's shingle is the first that both share, all before it in either set is not
+    shared, so no more than what follows can be. Similar pairs pass in that bucket at least.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     sizes = 5 * F.least(n, m) >= FIFTHS * F.greatest(n, m)
-    return sizes & chain_passed(F.col(f"{a}.fp"), F.col(f"{b}.fp"), MAX_DIFFERENT, SEGMENTS)
+    most = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    room = (5 + FIFTHS) * most >= FIFTHS * (n + m)
+    return sizes & room & chain_passed(F.col(f"{a}.fp"), F.col(f"{b}.fp"), MAX_DIFFERENT, SEGMENTS)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -142,38 +148,44 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Links (a < b) between nodes that connect what all pairs of near copies connect.
 
     Nodes meet in the buckets of their prefixes' shingles, of which most hold one node and are left
-    at once. Those that pass the pigeonring are confirmed. First each bucket's members are held
-    against one of them, which connects most groups of near copies with as many pairs as there are
-    members. Then only members that aren't connected yet are: all pairs of small buckets; in large
-    ones rounds of ever more pivots, until every member has been a pivot or all are connected. A large
-    bucket of texts that share a shingle without being similar is compared in pairs, but gives none.
+    at once. Those that pass the pigeonring are confirmed. Small buckets give all their pairs. Of a
+    larger one the members are first held against the one with the fewest shingles before the
+    bucket's own, the least edited of a group of near copies, which connects most groups with as many
+    pairs as there are members. Then only members that aren't connected yet are compared, in rounds of
+    ever more pivots, until every member that can be one has been a pivot or all are connected. The
+    smaller set of a similar pair has a ninth of its shingles at most before the bucket's own: only
+    such members are pivots.
     """
-    keys = classes.select("node", F.explode("prefix").alias("h"))
+    keys = classes.select("node", F.posexplode("prefix").alias("at", "h"))
     shared = keys.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1")
     met = written(shared.join(classes.select("node", "n", "fp"), "node").withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)), "near-buckets")
-    links = None
+    small, large = met.filter(F.col("m") <= SMALL_BUCKET), met.filter(F.col("m") > SMALL_BUCKET)
+
+    early = (5 + FIFTHS) * F.col("at") <= (5 - FIFTHS) * F.col("n")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        found = _confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), classes, docs, words)
-        return found if links is None else links.union(found)
+    def pairs(found: DataFrame) -> DataFrame:
+        return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
-    def still_open() -> DataFrame:
-        """Members, with their roots, of buckets that hold several components."""
-        at = met.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = at.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("h")
-        return written(at.join(several, "h", "left_semi"), "near-open")
+    def still_open(links: DataFrame) -> DataFrame:
+        """Members, with their roots, of large buckets that hold several components."""
+        at = large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = at.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.when(early, F.col("n"))).alias("least")).filter("r <> s")
+        with_room = 5 * F.col("n") - (5 + FIFTHS) * F.col("at") >= FIFTHS * F.col("least")  # even for the smallest pivot
+        return written(at.join(several.select("h", "least"), "h").filter(with_room).drop("least"), "near-open")
 
-    first = met.groupBy("h").agg(F.min(F.struct("u", "node", "n", "fp")).alias("p")).select("h", "p.node", "p.n", "p.fp")
-    links = linked(met.alias("x").join(first.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") != F.col("y.node")) & _may_be_near("x", "y")))
+    first = large.groupBy("h").agg(F.min(F.struct("at", "u", "node", "n", "fp")).alias("p")).select("h", "p.*")
+    all_pairs = small.alias("x").join(small.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & _may_be_near("x", "y"))
+    to_first = large.alias("x").join(first.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") != F.col("y.node")) & _may_be_near("x", "y"))
+    links = _confirmed(pairs(all_pairs).union(pairs(to_first)), classes, docs, words)
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y")
-    low, high = 0, SMALL_BUCKET  # of a small bucket every member is a pivot of the first round
+    low, high = 0, MORE_PIVOTS
     while True:
-        at = still_open().filter(F.col("m") > low)
-        most = at.agg(F.max("m")).first()[0]
+        open_ = still_open(links).filter(F.col("m") > low)
+        most = open_.agg(F.max("m")).first()[0]
         if not most:
             break
-        pivots = at.filter((F.col("m") <= SMALL_BUCKET) | ((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high)))
-        links = linked(pivots.alias("x").join(at.alias("y"), apart))
+        pivots = open_.filter(early & (F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high))
+        links = links.union(_confirmed(pairs(pivots.alias("x").join(open_.alias("y"), apart)), classes, docs, words))
         if high >= most:
             break
         low, high = high, high * MORE_PIVOTS
