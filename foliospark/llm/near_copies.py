@@ -154,7 +154,8 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     pairs as there are members. Then only members that aren't connected yet are compared, in rounds of
     ever more pivots, until every member that can be one has been a pivot or all are connected. The
     smaller set of a similar pair has a ninth of its shingles at most before the bucket's own: only
-    such members are pivots.
+    such members are pivots. Two members that came from the same open bucket before this one are held
+    against each other there, in this round or another, and not here again.
     """
     keys = classes.select("node", F.posexplode("prefix").alias("at", "h"))
     shared = keys.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1")
@@ -171,13 +172,15 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
         at = large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = at.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.when(early, F.col("n"))).alias("least")).filter("r <> s")
         with_room = 5 * F.col("n") - (5 + FIFTHS) * F.col("at") >= FIFTHS * F.col("least")  # even for the smallest pivot
-        return written(at.join(several.select("h", "least"), "h").filter(with_room).drop("least"), "near-open")
+        open_ = at.join(several.select("h", "least"), "h").filter(with_room).drop("least")
+        return written(open_.withColumn("before", F.lag("h").over(Window.partitionBy("node").orderBy("at"))), "near-open")
 
     first = large.groupBy("h").agg(F.min(F.struct("at", "u", "node", "n", "fp")).alias("p")).select("h", "p.*")
     all_pairs = small.alias("x").join(small.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & _may_be_near("x", "y"))
     to_first = large.alias("x").join(first.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") != F.col("y.node")) & _may_be_near("x", "y"))
     links = _confirmed(pairs(all_pairs).union(pairs(to_first)), classes, docs, words)
-    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y")
+    met_before = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & ~met_before & _may_be_near("x", "y")
     low, high = 0, MORE_PIVOTS
     while True:
         open_ = still_open(links).filter(F.col("m") > low)
