@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, license_scan, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from foliospark.llm import chat_format, exact_dedup, fill_middle, filter_audit, lattice_score, license_scan, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, warc
 
-MODULES = (quality_rules, toxicity, exact_dedup, license_scan, packing, suffix_dedup, warc, simhash, chat_format, mixing)
+MODULES = (quality_rules, toxicity, exact_dedup, license_scan, packing, suffix_dedup, warc, simhash, chat_format, mixing, filter_audit, lattice_score, fill_middle)
 
 
 def queries() -> dict:
