@@ -27,13 +27,22 @@ class PageConfig:
     rec_width_alignment: int = 32
     rec_batch_size: int = 1
     rec_use_space_char: bool = True
+    rec_crop_mode: str = "rotated"
     channel_order: str = "bgr"
+    det_mean: tuple[float, ...] = (0.485, 0.456, 0.406)
+    det_std: tuple[float, ...] = (0.229, 0.224, 0.225)
+    rec_mean: tuple[float, ...] = (0.5, 0.5, 0.5)
+    rec_std: tuple[float, ...] = (0.5, 0.5, 0.5)
 
     def __post_init__(self) -> None:
         if self.det_limit_type not in ("max", "min"):
             raise ConfigError(f"det_limit_type is {self.det_limit_type!r}, not max or min")
         if self.channel_order not in ("bgr", "rgb"):
             raise ConfigError(f"channel_order is {self.channel_order!r}, not bgr or rgb")
+        if self.rec_crop_mode not in ("rotated", "axis_aligned"):
+            raise ConfigError(f"rec_crop_mode is {self.rec_crop_mode!r}, not rotated or axis_aligned")
+        if min(self.rec_height, self.rec_min_width) < 1:
+            raise ConfigError("lines need a height and a width")
         if self.rec_batch_size < 1:
             raise ConfigError("rec_batch_size is below 1")
         for name in ("det_threshold", "det_box_threshold"):

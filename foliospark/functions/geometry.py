@@ -70,6 +70,44 @@ def ordered_corners(quad: Column) -> Column:
     return F.array(tl, tr, br, bl)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def smallest_rectangle(hull: Column) -> Column:
+    """The rectangle of least area around a convex hull in turning order: a struct of area and quad (tl, tr, br, bl).
+
+    One side lies along an edge of the hull; of equal areas the first edge's rectangle is taken.
+    Hulls of one or two points give the upright rectangle around them.
+    """
+    n = F.size(hull)
+
+    def measured(a: Column, k: Column) -> Column:
+        b = F.get(hull, F.pmod(k + 1, n))
+        length = distance(a, b)
+        ux, uy = F.when(n < 3, 1.0).otherwise(F.try_divide(b["x"] - a["x"], length)), F.when(n < 3, 0.0).otherwise(F.try_divide(b["y"] - a["y"], length))
+
+        def sides(d: Column) -> Column:
+            du = F.transform(hull, lambda p: (p["x"] - a["x"]) * d["x"] + (p["y"] - a["y"]) * d["y"])
+            dv = F.transform(hull, lambda p: (p["y"] - a["y"]) * d["x"] - (p["x"] - a["x"]) * d["y"])
+            ends = F.struct(F.array_min(du).alias("u0"), F.array_max(du).alias("u1"), F.array_min(dv).alias("v0"), F.array_max(dv).alias("v1"))
+            return let(ends, lambda e: F.struct(
+                ((e["u1"] - e["u0"]) * (e["v1"] - e["v0"])).alias("area"), k.alias("k"), e.alias("e"), d.alias("d"), point(a["x"], a["y"]).alias("a")
+            ))
+
+        return let(point(ux, uy), sides)
+
+    def quad(r: Column) -> Column:
+        corner = lambda u, v: point(
+            r["a"]["x"] + r["d"]["x"] * r["e"][u] - r["d"]["y"] * r["e"][v], r["a"]["y"] + r["d"]["y"] * r["e"][u] + r["d"]["x"] * r["e"][v]
+        )
+        corners = F.array(corner("u0", "v0"), corner("u1", "v0"), corner("u1", "v1"), corner("u0", "v1"))
+        return F.struct(r["area"].alias("area"), let(corners, ordered_corners).alias("quad"))
+
+    return let(F.array_min(F.filter(F.transform(hull, measured), lambda r: r["area"].isNotNull())), quad)
+
+
 def crosses(px: Column, py: Column, corners: list[tuple[Column, Column]]) -> list[Column]:
     """The cross products of a point with the edges of a closed list of corners."""
     found = []
@@ -116,6 +154,11 @@ def unrotated(x: Column, y: Column, angle: Column, width: Column, height: Column
     return pick(width - y, width - x, y, x), pick(x, height - y, height - x, y)
 
 
+def unrotated_ring(points: Column, angle: Column, width: Column, height: Column) -> Column:
+    """A ring of a page turned counter-clockwise by angle, on the page as it was (width x height)."""
+    return F.transform(points, lambda p: point(*unrotated(p["x"], p["y"], angle, width, height)))
+
+
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection over union of two boxes (x1, y1, x2, y2); 0 where both are empty."""
     w = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
