@@ -6,12 +6,14 @@ them is Spark.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators.decode import decode
@@ -46,23 +48,32 @@ class ColumnBackend:
         return np.eye(self.classes)[level] * 5.0
 
 
+#: Sessions of this Python worker, by the path or the digest of their model.
+SESSIONS: dict[str, object] = {}
+
+
 class OnnxBackend:
-    """An ONNX model by path, loaded once per Python worker, with one thread per Spark task."""
+    """An ONNX model by path, or by its bytes, loaded once per Python worker, with one thread per Spark task.
+
+    Bytes are sent to each executor once, as a broadcast, and not with every task.
+    """
+
+    def __init__(self, path: str | None = None, data: Broadcast | None = None, digest: str | None = None):
+        self.path, self.data, self.key = path, data, digest or path
 
-    def __init__(self, path: str):
-        self.path, self.session = path, None
+    @classmethod
+    def of_bytes(cls, spark: SparkSession, model: bytes) -> OnnxBackend:
+        return cls(data=spark.sparkContext.broadcast(model), digest=hashlib.sha256(model).hexdigest())
 
     def __call__(self, images: np.ndarray) -> np.ndarray:
-        if self.session is None:
+        if self.key not in SESSIONS:
             import onnxruntime as ort
 
             options = ort.SessionOptions()
             options.intra_op_num_threads = options.inter_op_num_threads = 1
-            self.session = ort.InferenceSession(self.path, options, providers=["CPUExecutionProvider"])
-        return self.session.run(None, {self.session.get_inputs()[0].name: images.astype(np.float32)})[0]
-
-    def __getstate__(self) -> dict:
-        return {"path": self.path, "session": None}
+            SESSIONS[self.key] = ort.InferenceSession(self.path if self.data is None else self.data.value, options, providers=["CPUExecutionProvider"])
+        session = SESSIONS[self.key]
+        return session.run(None, {session.get_inputs()[0].name: images.astype(np.float32)})[0]
 
 
 def infer(rows: DataFrame, backend: Backend, keys: list[str], height: str, width: str, values: str) -> DataFrame:

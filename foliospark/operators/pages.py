@@ -15,14 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from foliospark.config import ConfigError, PageConfig
+from foliospark.config import ConfigError, PageConfig, model_config
 from foliospark.functions.geometry import let, point, rescaled, short_side, smallest_rectangle, unclip_distance, unrotated_ring
 from foliospark.functions.sizes import batch_width, detection_size, recognition_width
 from foliospark.operators.borders import traced
 from foliospark.operators.decode import UNKNOWN, token_text
 from foliospark.operators.detect import grown
-from foliospark.operators.raster import ClassifierInput, cut_out, line_batch, quad_mean, scaled_channels, unpacked
+from foliospark.operators.raster import ClassifierInput, bilinear, cut_out, line_batch, quad_mean, scaled_channels, unpacked
 from foliospark.sources.workspace import written
 
 IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
@@ -51,6 +53,16 @@ class Classifier:
     def __post_init__(self) -> None:
         self.angles  # noqa: B018  fails on labels without an angle
 
+    @classmethod
+    def of(cls, model: Model, settings: str) -> Classifier:
+        """A classifier whose sizes, labels and normalisation are those of its model's file."""
+        m = model_config(settings)
+        if m.labels is None:
+            raise ConfigError("the classifier's file has no PostProcess.Topk.label_list")
+        if m.cls_size is None and m.cls_short is None:
+            raise ConfigError("the classifier's file has no PreProcess ResizeImage")
+        return cls(model, m.labels, ClassifierInput(m.cls_size, m.cls_short, m.cls_crop), m.mean or IMAGENET[0], m.std or IMAGENET[1])
+
     @property
     def angles(self) -> list[int]:
         found = []
@@ -77,9 +89,6 @@ def _stage(rows: DataFrame, added: str, work, replaced: tuple[str, ...] = ()) ->
     """
     names, more = rows.columns, [x.strip().split(" ", 1)[0] for x in added.split(";")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(x.strip() for x in added.split(";"))])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +143,6 @@ def scored(pages: DataFrame, detector: Model, config: PageConfig) -> DataFrame:
     def work(row: dict) -> dict:
         began = perf_counter()
         h, w = row["map_height"].as_py(), row["map_width"].as_py()
-        from foliospark.operators.raster import bilinear
-
         batch = scaled_channels(bilinear(_image(row), h, w), config.channel_order, config.det_mean, config.det_std)[None]
         made = perf_counter()
         out = np.asarray(detector(batch))
@@ -237,7 +244,7 @@ def read_batches(batches: DataFrame, recogniser: Model, config: PageConfig) -> D
         crops = [unpacked(x["pixels"], x["height"], x["width"]) for x in lines]
         if any(c is None for c in crops):
             raise ValueError("pixels don't fit the size")
-        tensor = line_batch(crops, own, width, config.rec_height, config.channel_order, config.rec_mean, config.rec_std)
+        tensor = line_batch(crops, own, width, config.rec_height, config.rec_channel_order, config.rec_mean, config.rec_std)
         made = perf_counter()
         out = np.asarray(recogniser(tensor))
         read = perf_counter()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.config import ConfigError, dictionary_tokens
 from foliospark.operators.dictionary import clean_token
 
 
@@ -44,6 +45,20 @@ def dictionary_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def dictionary_model(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary's tokens from the settings file of a recognition model: line and idx are its place in the list; repeated tokens are kept."""
+    (text,) = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]  # a model's settings file
+    tokens = dictionary_tokens(text)
+    if not tokens:
+        raise ConfigError(f"no PostProcess.character_dict in {path}")
+    return spark.createDataFrame([(k, t, k) for k, t in enumerate(tokens, 1)], "line int, token string, idx int")
+
+
+def dictionary_path(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary by the kind of its file: .yml and .yaml, in any case, are a model's settings, all others a token a line."""
+    return dictionary_model(spark, path) if path.lower().endswith((".yml", ".yaml")) else dictionary_file(spark, path)
+
+
 def reference_results(spark: SparkSession, path: str) -> DataFrame:
     """Golden results, a JSON object a file: image, region, text, score and quad, a row per region."""
     region = "struct<text:string,score:double,quad:array<array<double>>>"
