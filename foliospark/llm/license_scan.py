@@ -51,8 +51,11 @@ SENTENCES = {
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software"
         " foundation either version 2 of the license or at your option any later version",
     ],
-    "lgpl-notice": ["licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3", "spdx license identifier lgpl 3 0 only"],
-    "agpl-notice": ["licensed under the gnu affero general public license version 3", "gnu affero general public license version 3", "spdx license identifier agpl 3 0 only"],
+    "lgpl-notice": ["licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3", "spdx license identifier lgpl 3 0 only", "spdx license identifier lgpl 3 0 or later"],
+    "agpl-notice": ["licensed under the gnu affero general public license version 3", "gnu affero general public license version 3", "spdx license identifier agpl 3 0 only", "spdx license identifier agpl 3 0 or later"],
+    "bsd3-notice": ["licensed under the bsd 3 clause license", "bsd 3 clause license", "spdx license identifier bsd 3 clause"],
+    "bsd2-notice": ["licensed under the bsd 2 clause license", "bsd 2 clause license", "spdx license identifier bsd 2 clause"],
+    "isc-notice": ["isc license", "licensed under the isc license", "spdx license identifier isc"],
     "bsd-forms": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     ],
@@ -76,9 +79,9 @@ SENTENCES = {
         " that the above copyright notice and this permission notice appear in all copies",
     ],
     "unlicense": ["this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"],
-    "ccbync4-notice": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "ccbysa4-notice": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "ccby4-notice": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "ccbync4-notice": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "ccbysa4-notice": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "licensed under a creative commons attribution sharealike 4 0 international license"],
+    "ccby4-notice": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license", "licensed under a creative commons attribution 4 0 international license"],
     "cc0-notice": ["licensed under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0", "spdx license identifier cc0 1 0"],
     "reserved": ["all rights reserved"],
 }
@@ -104,26 +107,55 @@ RULES = [
     ("CC-BY-4.0", ["ccby4-notice"]),
     ("CC0-1.0", ["cc0-notice"]),
     ("Unlicense", ["unlicense"]),
+    ("BSD-3-Clause", ["bsd3-notice"]),
+    ("BSD-2-Clause", ["bsd2-notice"]),
+    ("ISC", ["isc-notice"]),
     ("Apache-2.0", ["apache2-notice"]),
     ("MIT", ["mit-notice"]),
     ("Proprietary", ["reserved"]),
 ]
 
 
-def rule_pattern(ids: list[str]) -> str:
-    """A regular expression for identifiers in this order in a string that ends each with a space."""
-    return "(^| )" + " (.* )?".join(ids) + " "
+def rule_met(found: Column, ids: list[str]) -> Column:
+    """Whether the identifiers come in this order, others between them or not: one pass that counts how many have come."""
+    if len(ids) == 1:
+        return F.array_contains(found, ids[0])
+    rule = F.array(*map(F.lit, ids))
+    return F.aggregate(found, F.lit(0), lambda n, x: n + F.when(x == F.get(rule, n), 1).otherwise(0)) == len(ids)
 
 
 #: Sentence ends that white space follows; not the colon of an SPDX tag and the point of "v. 2.0", which only cut softly.
 SENTENCE_END = r"(?i)([!?;]|(?<!spdx-license-identifier):|(?<!\bv)\.|\.(?!" + SPACE + "+[^a-z0-9]{0,20}[0-9]))" + SPACE + "+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pieces_of(text: Column) -> Column:
     """The normalised pieces (lines, cut after . ! ? ; and : that white space follows), each with a bar, or two at a sentence's end."""
     cut = F.split(F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "$1\u0001\n"), r"([.!?;:])" + SPACE + "+", "$1\n"), "\n")
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    return F.transform(cut, lambda s: F.concat(plain(s), F.when(s.endswith("\u0001"), "||").otherwise("|")))
+    plain = lambda s: bare_notice(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    made = F.transform(cut, lambda s: F.struct(plain(s).alias("p"), F.when(s.endswith("\u0001"), "||").otherwise("|").alias("end")))
+    # a tag's colon cuts it from its licences
+    return let(made, lambda all_: F.transform(all_, lambda x, i: F.concat(F.when(F.get(all_, i - 1)["p"] == TAG, each_tagged(x["p"])).otherwise(x["p"]), x["end"])))
+
+
+#: What may stand before a notice in its piece, and after it.
+SUBJECT, TAIL = "^[a-z0-9 ]{1,80} (licensed|released|distributed) under ", " see (the )?(license|licence|copying)( file)?( for (more )?(details|information))?$"
+TAG = "spdx license identifier"
+
+
+def bare_notice(piece: Column) -> Column:
+    """A normalised piece without a notice's subject and reference to a file."""
+    return F.regexp_replace(F.regexp_replace(piece, SUBJECT, "$1 under "), TAIL, "")
+
+
+def each_tagged(piece: Column) -> Column:
+    """The licences of a tag, each with a tag of its own, with bars between."""
+    kept = F.replace(piece, F.lit(" or later"), F.lit(" or_later"))
+    return F.replace(F.regexp_replace(kept, " (or|and) ", f"|{TAG}|"), F.lit(" or_later"), F.lit(" or later"))
 
 
 def known_pattern(sentences: list[str]) -> str:
@@ -139,7 +171,8 @@ def scan_licenses(
 
     Known sentences are found in the whole text, on one line or wrapped over the lines of a
     paragraph (also in comments, whose markers aren't letters); where two begin at the same
-    place, the longer one counts. n_sentences counts lines and what sentence ends cut them into.
+    place, the longer one counts. A notice may have a subject before it ("Foo is licensed under ...") and
+    a reference to a file after it, on its line; a tag may name several licences. n_sentences counts lines and what sentence ends cut them into.
     The identifiers found, in order of the text, are held against the rules in
     order. Returns one row per document: doc_id, n_sentences, n_known, known (identifiers in
     order), license (of the first rule that matches, else null) and licenses (of every rule that
@@ -157,8 +190,7 @@ def scan_licenses(
         "doc_id", F.size(F.filter("pieces", lambda s: ~s.startswith("|"))).cast("long").alias("n_sentences"),
         F.transform(met, lambda s: F.element_at(known, F.translate(s, "|", " "))).alias("ids"),
     )
-    text = F.concat(F.array_join("ids", " "), F.lit(" "))
-    match = F.array_compact(F.array(*[F.when(text.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules]))
+    match = F.array_compact(F.array(*[F.when(rule_met(F.col("ids"), ids), F.lit(name)) for name, ids in rules]))
     return found.withColumn("matched", F.array_distinct(match)).select(
         "doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", " ").alias("known"),
         F.get("matched", F.lit(0)).alias("license"), F.array_join("matched", " ").alias("licenses"),
@@ -172,7 +204,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op4_license_scan": op4_license_scan}
 
 _KNOWN = ", ".join(f"'{t}': '{name}'" for name, texts in SENTENCES.items() for t in texts)
-_MATCHED = ", ".join(f"CASE WHEN regexp_matches(seq, '{rule_pattern(ids)}') THEN '{name}' END" for name, ids in RULES)
+_PATTERN = lambda ids: "(^| )" + " (.* )?".join(ids) + " "
+_MATCHED = ", ".join(f"CASE WHEN regexp_matches(seq, '{_PATTERN(ids)}') THEN '{name}' END" for name, ids in RULES)
 _DISTINCT = "list_filter(matched, lambda x, i: x IS NOT NULL AND list_position(matched, x) = i)"
 
 ORACLE_SQL = {
@@ -181,8 +214,10 @@ WITH cut AS (
   SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
 ), sentences AS (
   SELECT doc_id, list_filter(list_transform(parts, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s FROM cut
+), bare AS (
+  SELECT doc_id, len(s) AS n_sentences, list_transform(s, lambda x: regexp_replace(regexp_replace(x, '{SUBJECT}', '\1 under '), '{TAIL}', '')) AS s FROM sentences
 ), found AS (
-  SELECT doc_id, len(s) AS n_sentences, list_filter(list_transform(s, lambda x: (MAP {{{_KNOWN}}})[x]), lambda x: x IS NOT NULL) AS ids FROM sentences
+  SELECT doc_id, n_sentences, list_filter(list_transform(s, lambda x: (MAP {{{_KNOWN}}})[x]), lambda x: x IS NOT NULL) AS ids FROM bare
 ), ruled AS (
   SELECT *, coalesce(array_to_string(ids, ' '), '') || ' ' AS seq FROM found
 ), named AS (

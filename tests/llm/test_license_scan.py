@@ -1,6 +1,10 @@
+import random
 import textwrap
+import time
 
-from foliospark.llm.license_scan import RULES, SENTENCES, scan_licenses
+from pyspark.sql import functions as F
+
+from foliospark.llm.license_scan import RULES, SENTENCES, rule_met, scan_licenses
 
 MIT = (
     "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the"
@@ -65,3 +69,37 @@ def test_wrapped_texts(docs_of):
             (6, "MIT License\n" + "\n".join(textwrap.fill(p, 70) for p in MIT.splitlines()[2:]))]
     got = {r["doc_id"]: (r["license"], r["n_known"]) for r in scan_licenses(docs_of(rows)).collect()}
     assert got == {1: ("MIT", 4), 2: ("GPL-3.0-or-later", 2), 3: ("MIT", 1), 4: (None, 0), 5: (None, 0), 6: ("MIT", 4)}
+
+
+def test_notices_in_longer_sentences_and_tags(docs_of):
+    rows = [
+        (1, "This project is licensed under the MIT License - see the LICENSE file for details."), (2, "Foo is licensed under the MIT License."), (3, "SPDX-License-Identifier: BSD-3-Clause"),
+        (4, "# SPDX-License-Identifier: (MIT OR Apache-2.0)"), (5, "SPDX-License-Identifier: GPL-3.0-or-later OR ISC"), (6, "Our code, 2019, is released under the Apache License, Version 2.0; see LICENSE"),
+        (7, "It isn't licensed under the MIT License any more."), (8, "under the MIT License"),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs_of(rows)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "Apache-2.0 MIT", 5: "GPL-3.0 ISC", 6: "Apache-2.0", 7: "", 8: ""}
+
+
+def test_very_long_repeated_notices_are_linear(docs_of):
+    """A megabyte of two-clause notices, each of which lacks what a three-clause one ends with."""
+    notice = "\n".join(". ".join(x.capitalize() for x in SENTENCES[name]) + "." for name in ("bsd-forms", "bsd-source", "bsd-binary"))
+    rows = [(1, (notice + "\n\n") * 2500), (1, (notice + "\n\n") * 2500), (2, "|" * 500_000), (3, "spdx license identifier " * 20_000)]
+    assert len(rows[0][1]) > 1_000_000
+    began = time.perf_counter()
+    got = sorted((r["doc_id"], r["license"], r["n_known"]) for r in scan_licenses(docs_of(rows)).collect())
+    assert got == [(1, "BSD-2-Clause", 7500), (1, "BSD-2-Clause", 7500), (2, None, 0), (3, None, 0)]
+    assert time.perf_counter() - began < 60
+
+
+def test_rules_by_brute_force(spark):
+    rng = random.Random(4)
+    rules = [[rng.choice("abcd") for _ in range(rng.randint(1, 4))] for _ in range(20)]
+    rows = [(k, [rng.choice("abcde") for _ in range(rng.randint(0, 9))]) for k in range(200)]
+    found = spark.createDataFrame(rows, "k int, ids array<string>").select("k", F.array(*[rule_met(F.col("ids"), r) for r in rules]).alias("met")).collect()
+
+    def in_order(rule, ids):
+        left = iter(ids)
+        return all(x in left for x in rule)
+
+    assert {r["k"]: r["met"] for r in found} == {k: [in_order(r, ids) for r in rules] for k, ids in rows}
