@@ -44,7 +44,7 @@ def iou_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def char_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names against the name of the next part of the same brand and size."""
-    part = table(spark, sf_dir, "part").filter(F.col("p_name").rlike("^[ -~]*$"))
+    part = table(spark, sf_dir, "part")
     pairs = part.alias("a").join(part.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("b.p_partkey") == F.col("a.p_partkey") + F.col("a.p_size")))
     return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), rounded(similarity(F.col("a.p_name"), F.col("b.p_name")), 5).alias("similarity"))
 
@@ -143,13 +143,21 @@ _F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
 
 ORACLE_SQL = {
     "iou_match_candidates": f"WITH {_PAIRS} SELECT image, l, r, {_r('iou', 5)} AS iou FROM pairs",
+    # the best pairs first, page by page, with the boxes taken so far
+    "iou_greedy_match": f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY iou DESC, l, r) AS k FROM pairs),
+      g(image, k, l, r, iou, taken, left_ids, right_ids) AS (
+        SELECT image, k, l, r, iou, true, [l], [r] FROM k WHERE k = 1
+        UNION ALL SELECT k.image, k.k, k.l, k.r, k.iou, NOT list_contains(left_ids, k.l) AND NOT list_contains(right_ids, k.r),
+          CASE WHEN list_contains(left_ids, k.l) OR list_contains(right_ids, k.r) THEN left_ids ELSE list_append(left_ids, k.l) END,
+          CASE WHEN list_contains(left_ids, k.l) OR list_contains(right_ids, k.r) THEN right_ids ELSE list_append(right_ids, k.r) END
+        FROM g JOIN k ON k.image = g.image AND k.k = g.k + 1)
+      SELECT image, l, r, {_r('iou', 5)} AS iou FROM g WHERE taken""",
     "iou_report": f"""WITH {_PAIRS}, n AS (SELECT page // 100 AS block, count(*) AS n FROM l GROUP BY 1),
       h AS (SELECT image // 100 AS block, count(DISTINCT l) AS hit, count(DISTINCT r) AS "right" FROM pairs GROUP BY 1),
       s AS (SELECT block, n, coalesce(hit, 0) AS hit, coalesce("right", 0) AS "right", coalesce(hit, 0)::DOUBLE / n AS p, coalesce(hit, 0)::DOUBLE / n AS r FROM n LEFT JOIN h USING (block))
       SELECT block, n, hit, "right", {_r('p', 5)} AS precision, {_r('r', 5)} AS recall, {_r(_F1, 5)} AS f1 FROM s""",
     "char_similarity": f"""SELECT a.p_partkey AS a, b.p_partkey AS b, {_r("1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name))", 5)} AS similarity
-      FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey = a.p_partkey + a.p_size
-      WHERE regexp_matches(a.p_name, '^[ -~]*$') AND regexp_matches(b.p_name, '^[ -~]*$')""",
+      FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey = a.p_partkey + a.p_size""",
     "parity_report": f"""WITH c AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 1) AS matched, count(*) FILTER (toxic = 1) AS predicted,
         count(*) FILTER (quality = 1) AS reference, count(*) FILTER (quality = toxic) AS exact, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source),
       s AS (SELECT *, matched::DOUBLE / greatest(predicted, 1) AS p, matched::DOUBLE / greatest(reference, 1) AS r FROM c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as g
@@ -10,7 +10,7 @@ from foliospark.functions.numbers import rounded
 from foliospark.functions.sizes import detection_size, recognition_width, valid_steps
 from foliospark.operators.quads import hulls, smallest_rectangles
 from foliospark.operators.regions import first_candidates, largest_candidates, paired, plan_batches, region_error
-from foliospark.operators.sinks import text_report
+from foliospark.operators.sinks import json_report, text_report
 from foliospark.plans.tables import table
 
 #: The line items' key repeats, so an order over them needs all columns.
@@ -86,7 +86,7 @@ def region_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygon_to_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").distinct()
+    lines = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_extendedprice") / 20 - 30, F.col("l_quantity") * 11.5 - 20
     region = g.text_region(x, y, x + F.col("l_discount") * 900, y + F.col("l_tax") * 700, F.lit(2500), F.lit(500))
     return lines.select("l_orderkey", *ALL, region.alias("r")).select("l_orderkey", *ALL, "r.x", "r.y", "r.width", "r.height")
@@ -114,7 +114,7 @@ def _quad() -> list[tuple]:
 
 
 def corner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").distinct()
+    lines = table(spark, sf_dir, "lineitem")
     (a, b, c, d) = _quad()
     ordered = lines.select("l_orderkey", *ALL, g.ordered_corners(g.ring(c, a, d, b)).alias("q"))
     cells = [rounded(F.get("q", F.lit(k))[axis], 3).alias(f"{name}_{axis}") for k, name in enumerate(("tl", "tr", "br", "bl")) for axis in ("x", "y")]
@@ -122,7 +122,7 @@ def corner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quad_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").distinct()
+    lines = table(spark, sf_dir, "lineitem")
     q = lines.select("l_orderkey", *ALL, g.ring(*_quad()).alias("q"))
     return q.select(
         "l_orderkey", *ALL, F.round(g.signed_area(F.col("q")), 3).alias("signed_area"), F.round(g.perimeter(F.col("q")), 3).alias("perimeter"),
@@ -132,7 +132,7 @@ def quad_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unclip_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upright rectangle grown by its unclip distance on every side, where both sides reach 3 before and 5 after."""
-    lines = table(spark, sf_dir, "lineitem").distinct()
+    lines = table(spark, sf_dir, "lineitem")
     w, h = F.col("l_extendedprice") / 1000, F.col("l_quantity") / 2
     zero = F.lit(0.0)
     sized = lines.select("l_orderkey", *ALL, w.alias("w"), h.alias("h"), g.ring((zero, zero), (w, zero), (w, h), (zero, h)).alias("q"))
@@ -154,11 +154,14 @@ def missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired(orders, lines, ["key"]).groupBy("matched", F.col("cust").isNull().alias("no_box")).agg(F.count("*").alias("pages"))
 
 
+def _ring() -> Column:
+    x, y, side = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
+    return g.ring((x, y), (x + side, y), (x + side, y + 10), (x, y + 10), (x, y))
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text report of each page: every region's text, confidence and polygon."""
-    x, y, side = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
-    ring = g.ring((x, y), (x + side, y), (x + side, y + 10), (x, y + 10), (x, y))
-    return text_report(table(spark, sf_dir, "lineitem").withColumn("ring", ring), "l_orderkey", ALL, "l_returnflag", "l_discount", "ring")
+    return text_report(table(spark, sf_dir, "lineitem").withColumn("ring", _ring()), "l_orderkey", ALL, "l_returnflag", "l_discount", "ring")
 
 
 def report_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,12 +171,13 @@ def report_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report(lines: DataFrame) -> DataFrame:
     line = F.format_string("[%d] %s (%.1f%%) at %.2f", "l_linenumber", "l_returnflag", F.floor(F.col("l_discount") * 100).cast("double"), "l_extendedprice")
-    return lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"))
+    told = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), line.alias("line"))))
+    return lines.groupBy("l_orderkey").agg(F.array_join(F.transform(told, lambda x: x["line"]), "\n").alias("report"))
 
 
 def polygon_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings at half scale, doubled, kept inside 2,048 by 256 and rounded."""
-    q = table(spark, sf_dir, "lineitem").distinct().select("l_orderkey", *ALL, g.scaled_ring(g.ring(*_quad()), 0.5, 2048, 256).alias("q"))
+    q = table(spark, sf_dir, "lineitem").select("l_orderkey", *ALL, g.scaled_ring(g.ring(*_quad()), 0.5, 2048, 256).alias("q"))
     cells = [F.get("q", F.lit(k))[axis].alias(f"{axis}{k}") for k in (0, 2) for axis in ("x", "y")]
     return q.select("l_orderkey", *ALL, *cells)
 
@@ -182,7 +186,7 @@ def ring_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings that turn either way, closed and set to turn counter-clockwise: where they begin, and how they turned."""
     (a, b, c, d) = _quad()
     back = F.col("l_linenumber") % 2 == 0
-    lines = table(spark, sf_dir, "lineitem").distinct().select("l_orderkey", *ALL, F.when(back, g.ring(d, c, b, a)).otherwise(g.ring(a, b, c, d)).alias("r"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *ALL, F.when(back, g.ring(d, c, b, a)).otherwise(g.ring(a, b, c, d)).alias("r"))
     whole = lines.select("l_orderkey", *ALL, (g.signed_area(F.col("r")) < 0).alias("clockwise"), g.closed(g.turned(F.col("r"))).alias("q"))
     return whole.select(
         "l_orderkey", *ALL, "clockwise", rounded(F.get("q", F.lit(1))["x"], 3).alias("second_x"), rounded(F.element_at("q", -1)["y"], 3).alias("last_y"), F.size("q").alias("points")
@@ -219,8 +223,8 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every region of each page as one JSON document."""
-    return _json(table(spark, sf_dir, "lineitem"))
+    """Every region of each page with its text, confidence, smallest box and polygon, as one JSON document."""
+    return json_report(table(spark, sf_dir, "lineitem").withColumn("ring", _ring()), "l_orderkey", ALL, "l_returnflag", "l_discount", "ring")
 
 
 def _json(lines: DataFrame) -> DataFrame:
@@ -279,23 +283,40 @@ planned AS (
   SELECT *, (ceil(least(greatest(max(width) OVER (PARTITION BY l_orderkey, batch), 320), 3200) / 32.0) * 32)::INT AS batch_width FROM batched
 )"""
 _QUAD = """
-c AS (SELECT DISTINCT l_orderkey, {all}, l_extendedprice / 100 AS x, l_quantity * 4 AS y, l_discount * 200 + 5 AS ux, l_tax * 300 AS uy FROM lineitem),
+c AS (SELECT l_orderkey, {all}, l_extendedprice / 100 AS x, l_quantity * 4 AS y, l_discount * 200 + 5 AS ux, l_tax * 300 AS uy FROM lineitem),
 v AS (SELECT *, -uy * 0.5 AS vx, ux * 0.5 AS vy FROM c)""".format(all=_ALL)
 _CORNERS = "[{i: %d, x: %s, y: %s}, {i: %d, x: %s, y: %s}, {i: %d, x: %s, y: %s}, {i: %d, x: %s, y: %s}]" % (
     0, "x + ux + vx", "y + uy + vy", 1, "x", "y", 2, "x + vx", "y + vy", 3, "x + ux", "y + uy",
 )
 
-ORACLE_SQL = {
-    # a point is a corner unless it lies in a triangle or on a line of others: of the highest and lowest
-    # of each x, those that no pair of points around them is level with or beyond
-    "hull_corners": """WITH e AS (SELECT l_suppkey AS key, l_quantity AS x, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY ALL),
+#: Hulls of line items by a key, as hull (key, i, x, y).
+_HULL = """e AS (SELECT {key} AS key, l_quantity AS x, min({y}) AS low, max({y}) AS high FROM lineitem GROUP BY ALL),
       under AS (SELECT key, x, low AS y FROM e WHERE NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.key = b.key AND a.key = e.key AND a.x < e.x AND b.x > e.x
         WHERE (b.x - a.x) * (e.low - a.low) - (b.low - a.low) * (e.x - a.x) >= 0)),
       over AS (SELECT key, x, high AS y FROM e WHERE NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.key = b.key AND a.key = e.key AND a.x < e.x AND b.x > e.x
         WHERE (b.x - a.x) * (e.high - a.high) - (b.high - a.high) * (e.x - a.x) <= 0)),
       turn AS (SELECT key, x, y, 0 AS side, x AS along, y AS up FROM under
-        UNION ALL SELECT key, x, y, 1, -x, -y FROM over o WHERE NOT EXISTS (SELECT 1 FROM under u WHERE u.key = o.key AND u.x = o.x AND u.y = o.y))
-      SELECT key, (row_number() OVER (PARTITION BY key ORDER BY side, along, up) - 1)::INT AS i, x, y FROM turn""",
+        UNION ALL SELECT key, x, y, 1, -x, -y FROM over o WHERE NOT EXISTS (SELECT 1 FROM under u WHERE u.key = o.key AND u.x = o.x AND u.y = o.y)),
+      hull AS (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY side, along, up) - 1)::INT AS i, x, y FROM turn)"""
+
+ORACLE_SQL = {
+    # a point is a corner unless it lies in a triangle or on a line of others: of the highest and lowest
+    # of each x, those that no pair of points around them is level with or beyond
+    "hull_corners": f"WITH {_HULL.format(key='l_suppkey', y='l_extendedprice')} SELECT * FROM hull",
+    "convex_hull": f"""WITH {_HULL.format(key="l_partkey", y="l_extendedprice")}
+      SELECT key, count(*) AS corners, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM hull GROUP BY key""",
+    # every edge's rectangle, with the same operations in the same order as equal areas are common
+    "min_area_quad": f"""WITH {_HULL.format(key="l_partkey", y="(l_extendedprice / 1000)")},
+      n AS (SELECT key, count(*) AS n FROM hull GROUP BY key),
+      g AS (SELECT a.key, a.i, n, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM hull a JOIN n ON n.key = a.key JOIN hull b ON b.key = a.key AND b.i = (a.i + 1) % n),
+      d AS (SELECT *, CASE WHEN n < 3 THEN 1.0 ELSE dx / sqrt(dx * dx + dy * dy) END AS ux, CASE WHEN n < 3 THEN 0.0 ELSE dy / sqrt(dx * dx + dy * dy) END AS uy FROM g WHERE n >= 3 OR i = 0),
+      m AS (SELECT d.key, d.i, ax, ay, ux, uy, min((p.x - ax) * ux + (p.y - ay) * uy) AS u0, max((p.x - ax) * ux + (p.y - ay) * uy) AS u1,
+        min((p.y - ay) * ux - (p.x - ax) * uy) AS v0, max((p.y - ay) * ux - (p.x - ax) * uy) AS v1 FROM d JOIN hull p ON p.key = d.key GROUP BY ALL),
+      r AS (SELECT *, (u1 - u0) * (v1 - v0) AS area FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY (u1 - u0) * (v1 - v0), i) = 1),
+      l AS (SELECT key, area, list_sort([{", ".join(f"{{x: ax + ux * {u} - uy * {v}, i: {k}, y: ay + uy * {u} + ux * {v}}}" for k, (u, v) in enumerate((("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1"))))}]) AS q FROM r)
+      SELECT key, round_even(area * 1000, 0) / 1000 AS area, {", ".join(
+        f"round_even(CASE WHEN q[{b}].y > q[{a}].y THEN q[{a if up else b}].{axis} ELSE q[{b if up else a}].{axis} END * 1000, 0) / 1000 AS {name}_{axis}"
+        for name, a, b, up in (("tl", 1, 2, True), ("tr", 3, 4, True), ("br", 3, 4, False), ("bl", 1, 2, False)) for axis in ("x", "y"))} FROM l""",
     "det_resize_dims_max": _sizes_sql(960, "max", 4000),
     "det_resize_dims_min": _sizes_sql(64, "min", 1200),
     "rec_width_and_batch_plan": f"""WITH {_PLANNED.format(size=3)}
@@ -311,7 +332,7 @@ ORACLE_SQL = {
       SELECT CASE WHEN width <= 0 THEN 'empty_image' WHEN w = 0 OR h = 0 THEN 'empty_region'
         WHEN x >= width OR y >= 40 OR x + w > width OR y + h > 40 THEN 'out_of_bounds' ELSE 'ok' END AS status,
       count(*) AS regions, count(DISTINCT l_orderkey) AS pages FROM r GROUP BY 1""",
-    "polygon_to_region": f"""WITH c AS (SELECT DISTINCT l_orderkey, {_ALL}, l_extendedprice / 20 - 30 AS x, l_quantity * 11.5 - 20 AS y FROM lineitem),
+    "polygon_to_region": f"""WITH c AS (SELECT l_orderkey, {_ALL}, l_extendedprice / 20 - 30 AS x, l_quantity * 11.5 - 20 AS y FROM lineitem),
       a AS (SELECT *, greatest(floor(x), 0) AS x1, greatest(floor(y), 0) AS y1, least(ceil(x + l_discount * 900), 2500) AS x2,
         least(ceil(y + l_tax * 700), 500) AS y2 FROM c),
       b AS (SELECT *, CASE WHEN x2 <= x1 THEN least(x1 + 1, 2500) ELSE x2 END AS x3, CASE WHEN y2 <= y1 THEN least(y1 + 1, 500) ELSE y2 END AS y3 FROM a),
@@ -334,7 +355,7 @@ ORACLE_SQL = {
         list_transform([1, 2, 3, 4], lambda i: sqrt((px[i % 4 + 1] - px[i]) ** 2 + (py[i % 4 + 1] - py[i]) ** 2)) AS d FROM s)
       SELECT l_orderkey, {_ALL}, round((c[1] + c[2] + c[3] + c[4]) / 2, 3) AS signed_area, round(d[1] + d[2] + d[3] + d[4], 3) AS perimeter,
         round(least(d[1], d[2]), 3) AS short_side FROM e""",
-    "unclip_rect": f"""WITH s AS (SELECT DISTINCT l_orderkey, {_ALL}, l_extendedprice / 1000 AS w, l_quantity / 2 AS h FROM lineitem),
+    "unclip_rect": f"""WITH s AS (SELECT l_orderkey, {_ALL}, l_extendedprice / 1000 AS w, l_quantity / 2 AS h FROM lineitem),
       g AS (SELECT *, w * h / (2 * w + 2 * h) * 1.5 AS d FROM s WHERE least(w, h) >= 3)
       SELECT l_orderkey, {_ALL}, round(d, 4) AS d, round(w + 2 * d, 4) AS gw, round(h + 2 * d, 4) AS gh FROM g WHERE least(w + 2 * d, h + 2 * d) >= 5""",
     "zip_assemble": """WITH l AS (SELECT l_orderkey AS key, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1)
@@ -347,10 +368,13 @@ ORACLE_SQL = {
           l_returnflag, l_discount, {", ".join(f"({e})::DOUBLE" for e in ("l_partkey", "l_suppkey", "l_partkey + l_quantity", "l_suppkey", "l_partkey + l_quantity", "l_suppkey + 10", "l_partkey", "l_suppkey + 10"))}) AS line
       FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ALL}))
       SELECT l_orderkey, 'Detected ' || any_value(n) || ' text regions:' || chr(10) || string_agg(line, chr(10) ORDER BY k) AS report FROM f GROUP BY l_orderkey""",
-    "report_lines_all": """WITH f AS (SELECT l_orderkey, format('[{}] {} ({:.1f}%) at {:.2f}', l_linenumber, l_returnflag, floor(l_discount * 100), l_extendedprice) AS line FROM lineitem)
-      SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) AS report FROM f GROUP BY l_orderkey""",
-    "results_json_all": """SELECT l_orderkey, '[' || string_agg('{"region":' || l_linenumber || ',"text":"' || l_returnflag || '","x":' || l_partkey || ',"y":' || l_suppkey || '}',
-      ',' ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey) || ']' AS json FROM lineitem GROUP BY l_orderkey""",
+    "report_lines_all": """WITH f AS (SELECT l_orderkey, l_linenumber, format('[{}] {} ({:.1f}%) at {:.2f}', l_linenumber, l_returnflag, floor(l_discount * 100), l_extendedprice) AS line FROM lineitem)
+      SELECT l_orderkey, string_agg(line, chr(10) ORDER BY l_linenumber, line) AS report FROM f GROUP BY l_orderkey""",
+    "results_json_all": f"""WITH f AS (SELECT l_orderkey, row_number() OVER w AS k, to_json({{text: l_returnflag, confidence: l_discount,
+        box: [[l_partkey::DOUBLE, l_suppkey::DOUBLE], [l_partkey + l_quantity, l_suppkey::DOUBLE], [l_partkey + l_quantity, l_suppkey + 10.0::DOUBLE], [l_partkey::DOUBLE, l_suppkey + 10.0::DOUBLE]],
+        polygon: [[l_partkey::DOUBLE, l_suppkey::DOUBLE], [l_partkey + l_quantity, l_suppkey::DOUBLE], [l_partkey + l_quantity, l_suppkey + 10.0::DOUBLE], [l_partkey::DOUBLE, l_suppkey + 10.0::DOUBLE]]}})::VARCHAR AS line
+      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ALL}))
+      SELECT l_orderkey, '[' || string_agg(line, ',' ORDER BY k) || ']' AS json FROM f GROUP BY l_orderkey""",
     "polygon_scale": f"""WITH {_QUAD}, s AS (SELECT *, x + ux + vx AS x2, y + uy + vy AS y2 FROM v)
       SELECT l_orderkey, {_ALL}, {", ".join(f"round_even(least(greatest({e} / 0.5::DOUBLE, 0), {m}) * 100, 0) / 100 AS {n}" for n, e, m in (("x0", "x", 2048), ("y0", "y", 256), ("x2", "x2", 2048), ("y2", "y2", 256)))} FROM s""",
     "ring_orientation": f"""WITH {_QUAD}, s AS (SELECT *, l_linenumber % 2 = 0 AS back, ux * vy - uy * vx AS turn FROM v),

@@ -1,6 +1,9 @@
 import json
 
-from foliospark.operators.sinks import text_report
+from pyspark.sql import functions as F
+
+from foliospark.operators.evaluate import similarity
+from foliospark.operators.sinks import json_report, text_report
 from foliospark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +26,28 @@ def test_text_report(spark):
     told = [f"--- Region {i} ---\nText: {t}\nConfidence: {c}\nPolygon: {shown}" for i, t, c in ((1, "a", "1.000"), (2, "b", "0.500"), (3, "", "0.988"))]
     assert got == {1: "\n".join(["Detected 3 text regions:", *told]), 2: "No text regions detected."}
     assert text_report(df.limit(0), "page", ["k"], "words", "sure", "ring").count() == 0
+
+
+def test_json_report(spark):
+    ring = [(2.0, 5.0), (0.0, 5.0), (0.0, 1.0), (2.0, 1.0), (2.0, 5.0)]
+    rows = [(1, 2, "b", 0.5, ring[:4]), (1, 10, None, 0.25, ring), (1, 1, "a", 1.0, ring), (2, 1, None, None, None)]
+    df = spark.createDataFrame(rows, "page long, k int, words string, sure double, ring array<struct<x: double, y: double>>")
+    got = {r["page"]: json.loads(r["json"]) for r in json_report(df, "page", ["k"], "words", "sure", "ring").collect()}
+    shape = {"box": [[0.0, 1.0], [2.0, 1.0], [2.0, 5.0], [0.0, 5.0]], "polygon": [list(p) for p in ring[:4]]}
+    assert got == {1: [{"text": "a", "confidence": 1.0, **shape}, {"text": "b", "confidence": 0.5, **shape}, {"text": "", "confidence": 0.25, **shape}], 2: []}
+    assert json_report(df.limit(0), "page", ["k"], "words", "sure", "ring").count() == 0
+
+
+def test_similarity_of_texts_beyond_ascii(spark):
+    pairs = [("", ""), ("é", "e"), ("日本語", "日本"), ("\U0001f600a", "a"), ("straße", "strasse"), ("same", "same")]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert {(r["a"], r["b"]): round(r["s"], 9) for r in got} == {(a, b): round(1 - edits(a, b) / max(len(a), len(b)), 9) if a or b else 1.0 for a, b in pairs}
