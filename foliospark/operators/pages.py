@@ -117,6 +117,12 @@ def _image(row: dict) -> np.ndarray:
     return image
 
 
+def classifier_images(images: DataFrame, image: ClassifierInput) -> DataFrame:
+    """images (image, height, width, pixels) as a classifier sees them: image, made (the first channel, row-major), error."""
+    given = images.select("image", "height", "width", "pixels", F.lit(None).cast("string").alias("error"))
+    return _stage(given, "made array<int>", lambda row: {"made": image(_image(row))[..., 0].ravel().astype(int)}).select("image", "made", "error")
+
+
 def upright(pages: DataFrame, classifier: Classifier | None) -> DataFrame:
     """pages (image, height, width, pixels, error) plus page_height, page_width, angle and orientation: each page turned counter-clockwise by the angle of its class."""
     pages = pages.select("image", "height", "width", "pixels", "error", F.col("height").alias("page_height"), F.col("width").alias("page_width"))

@@ -49,7 +49,7 @@ def antialiased(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Resize by triangle filters along the columns and then the rows; what classifiers see."""
     rows = np.tensordot(triangle_weights(image.shape[0], height), image.astype(float), 1)
     both = np.einsum("hwc,vw->hvc", rows, triangle_weights(image.shape[1], width))
-    return np.clip(np.floor(both + 0.5), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(np.round(both, 6) + 0.5), 0, 255).astype(np.uint8)  # halves are common, and sums differ in their last bits
 
 
 @dataclass(frozen=True)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from foliospark.plans import contours, decoding, dictionaries, evaluation, pixels, regions
+    from foliospark.plans import contours, decoding, dictionaries, evaluation, pages, pixels, regions
 
-    return decoding, regions, pixels, contours, dictionaries, evaluation
+    return decoding, regions, pixels, contours, pages, dictionaries, evaluation
 
 
 def queries() -> dict:
