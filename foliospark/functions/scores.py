@@ -29,3 +29,9 @@ def best_probability(scores: Column) -> Column:
     weight = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
     soft = F.when((weight > 0) & (weight < float("inf")), 1 / weight).otherwise(0.0)
     return F.when(is_distribution(scores), F.least(F.greatest(top, F.lit(0.0)), F.lit(1.0))).otherwise(soft)
+
+
+def label_angle(label: Column) -> Column:
+    """The angle of an orientation's label such as 90 or 180_degree: its leading digits, if they're a quarter turn; else null."""
+    angle = F.regexp_extract(label, "^([0-9]*)", 1).try_cast("int")
+    return F.when(angle.isin(0, 90, 180, 270), angle)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.groups import running_totals
+
 BLANK = "[blank]"
 
 
 def build(tokens: DataFrame, token: str, order: list[str], space: bool = True) -> DataFrame:
     """Tokens in order from index 1, the blank before them and, if asked, the space after them.
 
-    The order needs one sequence over all tokens: a dictionary is a vocabulary of thousands, not
-    a table that grows with the corpus.
+    Tokens are numbered by ranges of the order, so that no task sees them all.
     """
-    numbered = tokens.select(F.row_number().over(Window.orderBy(*order)).alias("idx"), F.col(token).alias("token"))
+    counted = running_totals(tokens.select(F.col(token).alias("token"), *[F.col(c).alias(f"_order_{c}") for c in order]), [f"_order_{c}" for c in order], tokens=F.lit(1))
+    numbered = counted.select((F.col("before_tokens") + 1).cast("int").alias("idx"), "token")
     spark = tokens.sparkSession
     rows = numbered.unionByName(spark.createDataFrame([(0, BLANK)], "idx int, token string"))
     if space:

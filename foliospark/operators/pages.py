@@ -13,7 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -25,6 +25,7 @@ from foliospark.operators.borders import traced
 from foliospark.operators.decode import UNKNOWN, token_text
 from foliospark.operators.detect import grown
 from foliospark.operators.raster import ClassifierInput, bilinear, cut_out, line_batch, quad_mean, scaled_channels, unpacked
+from foliospark.sources.images import decoded_images, image_files, three_channels
 from foliospark.sources.workspace import written
 
 IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
@@ -327,4 +328,15 @@ def read_images(
     )
 
 
-__all__ = ["Classifier", "ClassifierInput", "Model", "UNKNOWN", "boxed", "line_batches", "lined", "read_batches", "read_images", "scored", "texts", "upright"]
+def read_files(spark: SparkSession, path: str, *args, **settings) -> DataFrame:
+    """read_images over the image files under a path; image is the file's path. Files that can't be decoded keep a row with an error."""
+    files = image_files(spark, path)
+    return read_images(three_channels(files.withColumn("image", F.col("origin"))), *args, **settings)
+
+
+def read_encoded(rows: DataFrame, key: str, content: str, *args, **settings) -> DataFrame:
+    """read_images over encoded images in a binary column; image is the row's key."""
+    return read_images(three_channels(decoded_images(rows, key, content).withColumnRenamed(key, "image")), *args, **settings)
+
+
+__all__ = ["Classifier", "ClassifierInput", "Model", "UNKNOWN", "boxed", "line_batches", "lined", "read_batches", "read_encoded", "read_files", "read_images", "scored", "texts", "upright"]

@@ -50,11 +50,25 @@ def normalised(v: Column, mean: float, std: float) -> Column:
     return v.cast("double") * (1.0 / (255.0 * std)) - mean / std
 
 
+def padded_line(values: Column, width: int, mean: float, std: float) -> Column:
+    """A line of pixels padded with black to a width, each less the mean by the deviation; a deviation of 0 gives 0."""
+    padded = F.concat(values, F.array_repeat(F.lit(0).cast("long"), F.greatest(width - F.size(values), F.lit(0))))
+    return F.transform(padded, lambda v: F.lit(0.0) if std == 0 else (v / 255.0 - mean) / std)
+
+
 def channel(c: Column, order: str) -> Column:
     """The source channel of channel c in "rgb" or "bgr" order."""
     return 2 - c if order == "bgr" else c
 
 
+def hot_box(pixels: DataFrame, threshold: float) -> DataFrame:
+    """Per image of pixels (image, y, x, p) the box around those above the threshold, how many they are, and the mean and size of the whole box."""
+    hot = pixels.filter(above(F.col("p").cast("double"), threshold))
+    box = hot.groupBy("image").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")], F.count("*").alias("hot"))
+    inside = pixels.join(box, "image").filter(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y")))
+    return inside.groupBy("image", "min_x", "max_x", "min_y", "max_y", "hot").agg(F.avg(F.col("p").cast("double")).alias("score"), F.count("*").alias("area"))
+
+
 def quad_scores(pixels: DataFrame, quads: DataFrame, width: int, height: int) -> DataFrame:
     """The mean value of the pixels inside each quad (image, quad, x0..x3, y0..y3), 0.0 if there is none.
 

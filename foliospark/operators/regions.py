@@ -54,3 +54,9 @@ def paired(boxes: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.withColumn("_box", F.lit(True)).join(texts.withColumn("_text", F.lit(True)), keys, "full").withColumn(
         "matched", F.coalesce(F.col("_box") & F.col("_text"), F.lit(False))
     ).drop("_box", "_text")
+
+
+def largest_of(rows: DataFrame, key: str, area: str, order: list[str]) -> DataFrame:
+    """The row of the largest area of each key, the last of equal ones by `order`, and n, how many there were."""
+    best = F.max(F.struct(area, *order)).alias("_best")
+    return rows.groupBy(key).agg(best, F.count("*").alias("n")).select(key, "n", "_best.*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.geometry import smallest_rectangle
+from foliospark.functions.numbers import rounded
 
 
 def text_report(regions: DataFrame, page: str, order: list[str], text: str, confidence: str, ring: str) -> DataFrame:
@@ -44,3 +45,17 @@ def json_report(regions: DataFrame, page: str, order: list[str], text: str, conf
     whole = F.when(F.col(ring).isNotNull(), F.struct(*order, region.alias("_region")))
     found = regions.groupBy(page).agg(F.array_sort(F.collect_list(whole)).alias("_regions"))
     return found.select(page, F.to_json(F.transform("_regions", lambda r: r["_region"])).alias("json"))
+
+
+def golden_json(results: DataFrame, model: str, generator: str, settings: dict) -> DataFrame:
+    """Results of read_images as golden results: image and json, an object with generator, model, image, det_params and regions.
+
+    Scores have six digits and corners two. Pages with an error are left out.
+    """
+    two = lambda x: rounded(x, 2)
+    regions = F.transform("results", lambda r: F.struct(
+        r["text"].alias("text"), rounded(r["confidence"], 6).alias("score"), F.transform(r["quad"], lambda p: F.array(two(p["x"]), two(p["y"]))).alias("quad")
+    ))
+    given = F.struct(*[F.lit(v).alias(k) for k, v in settings.items()])
+    whole = F.struct(F.lit(generator).alias("generator"), F.lit(model).alias("model"), F.col("image").cast("string").alias("image"), given.alias("det_params"), regions.alias("regions"))
+    return results.filter("error IS NULL").select("image", F.to_json(whole).alias("json"))

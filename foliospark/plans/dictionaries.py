@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import fraction, rounded
+from foliospark.functions.scores import label_angle
 from foliospark.operators import dictionary as d
 from foliospark.plans.tables import table
 
@@ -18,7 +19,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.build(table(spark, sf_dir, "nation"), "n_name", ["n_nationkey"])
+    """A dictionary of all names of nations and parts, each once, in alphabetical order."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("token")).union(table(spark, sf_dir, "part").select("p_name"))
+    return d.build(names.filter("token IS NOT NULL").distinct(), "token", ["token"])
 
 
 def dictionary_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +36,7 @@ def label_to_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels such as 90_degree: the leading digits, if they're a quarter turn."""
     label = F.concat((F.pmod(F.col("o_orderkey"), F.lit(9)) * 45).cast("string"), F.when(F.col("o_custkey") % 2 == 0, "_degree").otherwise(""))
     label = F.when(F.col("o_orderkey") % 11 == 0, "upright").otherwise(label)
-    angle = F.regexp_extract(label, "^([0-9]*)", 1).try_cast("int")
-    return table(spark, sf_dir, "orders").select(label.alias("label"), angle.alias("a")).select("label", F.when(F.col("a").isin(0, 90, 180, 270), F.col("a")).alias("angle")).groupBy(
-        "label", "angle"
-    ).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "orders").select(label.alias("label")).select("label", label_angle(F.col("label")).alias("angle")).groupBy("label", "angle").agg(F.count("*").alias("n"))
 
 
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (dictionary_build, dictionary_reverse, dictionary_duplicates, label_to_angle, number_parse)}
 
 ORACLE_SQL = {
-    "dictionary_build": """WITH t AS (SELECT row_number() OVER (ORDER BY n_nationkey)::INT AS idx, n_name AS token FROM nation)
+    "dictionary_build": """WITH n AS (SELECT n_name AS token FROM nation UNION SELECT p_name FROM part), t AS (SELECT row_number() OVER (ORDER BY token)::INT AS idx, token FROM n WHERE token IS NOT NULL)
       SELECT * FROM t UNION ALL SELECT 0, '[blank]' UNION ALL SELECT max(idx) + 1, ' ' FROM t""",
     "dictionary_reverse": "SELECT trim(p_type, ' ' || chr(9)) AS token, min(p_partkey) AS idx FROM part GROUP BY 1",
     "dictionary_duplicates": """WITH l AS (SELECT p_type AS token, p_partkey AS line, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part)

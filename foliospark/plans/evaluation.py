@@ -11,6 +11,10 @@ from foliospark.operators.profile import breakdown, middle_samples
 from foliospark.plans.tables import table
 
 
+#: Parts that the rows of one line are dealt to.
+SALTS = 16
+
+
 def _boxes(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """Line items as boxes on a page of an hour's orders: reference boxes, and the same shifted and resized."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
@@ -68,7 +72,10 @@ def line_semi_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that other documents have too, by document: how many of its lines are known elsewhere."""
     lines = _lines(spark, sf_dir).filter("text <> ''")
     shared = lines.groupBy("text").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    return lines.join(shared, "text", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared_lines"))
+    # equal lines of a document go as one, and a line that very many documents share is dealt to several tasks
+    own = lines.groupBy("doc_id", "text").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salted = shared.select("text", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return own.join(salted, ["text", "salt"], "left_semi").groupBy("doc_id").agg(F.sum("n").alias("shared_lines"))
 
 
 def line_anti_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.numbers import rounded
 from foliospark.operators.detect import boxes, hot_runs, labelled_runs, on_page
 from foliospark.operators.ocr import BrightnessBackend, ColumnBackend, read_pages
-from foliospark.operators.pixels import above, as_pixels, channel, normalised, quad_scores, reaches, resize, turned_values
+from foliospark.operators.pixels import above, as_pixels, channel, hot_box, normalised, padded_line, quad_scores, reaches, resize, turned_values
 from foliospark.operators.warp import perspective_crops
 from foliospark.plans.tables import table
 
@@ -26,12 +26,7 @@ def binarize_score_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_bbox_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box around the pixels above the threshold, and the mean over the whole box."""
-    pixels = maps(spark, sf_dir)
-    hot = pixels.filter(above(F.col("p").cast("double"), 0.15))
-    box = hot.groupBy("image").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")], F.count("*").alias("hot"))
-    inside = pixels.join(box, "image").filter(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y")))
-    keys = ["image", "min_x", "max_x", "min_y", "max_y", "hot"]
-    return inside.groupBy(*keys).agg(rounded(F.avg(F.col("p").cast("double")), 5).alias("score"), F.count("*").alias("area"))
+    return hot_box(maps(spark, sf_dir), 0.15).withColumn("score", rounded("score", 5))
 
 
 def quad_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +55,8 @@ def normalize_pixels_bgr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line item's bytes as a row of pixels padded to 5: the padding is normalised like a pixel, and a deviation of 0 gives 0."""
     lines = table(spark, sf_dir, "lineitem").select("l_linenumber", F.array(*[F.pmod(F.col(c), F.lit(256)) for c in ("l_orderkey", "l_partkey", "l_suppkey")]).alias("px"))
-    padded = lines.select("l_linenumber", F.posexplode(F.concat("px", F.array_repeat(F.lit(0).cast("long"), 2))).alias("x", "v"))
-    value = F.when(F.col("x") == 4, 0.0).otherwise((F.col("v") / 255.0 - 0.5) / 0.5)
+    value = F.when(F.col("x") == 4, padded_line(F.array(F.lit(0).cast("long")), 1, 0.5, 0.0)[0]).otherwise(F.col("v"))
+    padded = lines.select("l_linenumber", F.posexplode(padded_line(F.col("px"), 5, 0.5, 0.5)).alias("x", "v"))
     return padded.groupBy("l_linenumber", "x").agg(rounded(F.sum(value), 3).alias("total"), rounded(F.min(value), 5).alias("least"), rounded(F.max(value), 5).alias("most"))
 
 

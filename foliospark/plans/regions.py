@@ -9,7 +9,7 @@ from foliospark.functions import geometry as g
 from foliospark.functions.numbers import rounded
 from foliospark.functions.sizes import detection_size, recognition_width, valid_steps
 from foliospark.operators.quads import hulls, smallest_rectangles
-from foliospark.operators.regions import first_candidates, largest_candidates, paired, plan_batches, region_error
+from foliospark.operators.regions import first_candidates, largest_candidates, largest_of, paired, plan_batches, region_error
 from foliospark.operators.sinks import json_report, text_report
 from foliospark.plans.tables import table
 
@@ -195,8 +195,8 @@ def ring_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def largest_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page, the region of the largest area, the last of equal ones: what a grown outline keeps."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct((F.col("l_quantity") * F.floor(F.col("l_discount") * 100)).alias("area"), *ALL).alias("r"))
-    return lines.groupBy("l_orderkey").agg(F.max("r").alias("r"), F.count("*").alias("n")).select("l_orderkey", "n", "r.*")
+    lines = table(spark, sf_dir, "lineitem").withColumn("area", F.col("l_quantity") * F.floor(F.col("l_discount") * 100))
+    return largest_of(lines, "l_orderkey", "area", ALL)
 
 
 def legacy_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
