@@ -81,7 +81,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = written(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "kept")
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_doc_id"), F.xxhash64(text_of(text_col)).alias("_doc_key"))
     found = keyed.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_key") == F.col("_key")), "left_semi")
-    again = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    again = docs.groupBy(id_col).agg(F.count("*").alias("_times")).filter("_times > 1").limit(1).count()
     return (found.dropDuplicates(["_doc_id", "_doc_key"]) if again else found).select("_doc.*")
 
 

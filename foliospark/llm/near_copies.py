@@ -214,5 +214,5 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = written(rooted.groupBy("root").agg(F.min("low").alias("_id")).select("_id"), "near-kept")
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_doc_id"))
     found = keyed.join(kept, F.col("_doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    again = docs.groupBy(id_col).agg(F.count("*").alias("_times")).filter("_times > 1").limit(1).count()
     return (found.dropDuplicates(["_doc_id"]) if again else found).select("_doc.*")

@@ -1,10 +1,13 @@
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
 
-from foliospark.llm.quality_rules import labelled_sample, learn_rules, score_quality, without_rejects
+from pyspark.sql import functions as F
+
+from foliospark.llm.quality_rules import QUANTILES, RATIOS, labelled_sample, learn_rules, score_quality, without_rejects
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -90,3 +93,58 @@ def test_as_many_rules_as_there_are_kinds_of_junk(spark, docs_of):
     got = {r["doc_id"]: (r["kept"], r["rule"]) for r in score_quality(docs, known).collect()}
     assert sum(got[k][0] != bool(quality) for k, quality, _ in told) <= 15
     assert {r for _, r in got.values()} == set(range(len(rules) + 1))
+
+
+def plain_covering(rows, names, points):
+    """Sequential covering by loops over rows: (bad, held, statistics by name) to rules as lists of (statistic, threshold, above)."""
+    cuts = {n: [(a + b) / 2 for a, b in zip(sorted(set(points[n])), sorted(set(points[n]))[1:])] for n in names}  # noqa: B905
+    meets = lambda r, c: r[2][c[0]] > c[1] if c[2] else r[2][c[0]] <= c[1]
+
+    def gain(before, after):
+        p0, n0, p, n = (sum(r[0] == bad for r in some) for some in (before, after) for bad in (1, 0))
+        return p * (math.log2((p + 1) / (p + n + 1)) - math.log2((p0 + 1) / (p0 + n0 + 1))) if p and p0 else 0.0
+
+    rules = []
+    while True:
+        covered, chosen = [r for r in rows if not r[1]], []
+        while any(r[0] for r in covered) and not all(r[0] for r in covered):
+            best, found = 1e-9, None
+            for name in names:
+                for t in cuts[name]:
+                    for above in (False, True):
+                        g = gain(covered, [r for r in covered if meets(r, (name, t, above))])
+                        if g > best:
+                            best, found = g, (name, t, above)
+            if not found:
+                break
+            chosen.append(found)
+            covered = [r for r in covered if meets(r, found)]
+        if not chosen:
+            return rules
+        worth = []
+        for k in range(1, len(chosen) + 1):
+            held = [r for r in rows if r[1] and all(meets(r, c) for c in chosen[:k])]
+            p = sum(r[0] for r in held)
+            worth.append(((2 * p - len(held)) / max(1, len(held)), -k, p, len(held)))
+        _, k, p, n = max(worth)
+        if n < 4 or p < 0.97 * n:
+            return rules
+        rules.append(chosen[:-k])
+        rows = [r for r in rows if not all(meets(r, c) for c in rules[-1])]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rules_by_a_plain_covering(spark, seed):
+    """On random statistics, where some kinds are bad, some labels are wrong and many conditions gain alike."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(700):
+        stats = {n: float(rng.randint(0, 12)) for n in RATIOS}
+        a, b, c = (stats[n] for n in list(RATIOS)[:3])
+        bad = (a > 8 and b <= 5) or c > 10
+        rows.append((int(bad if rng.random() < 0.998 else not bad), int(rng.random() < 0.34), stats))
+    sample = spark.createDataFrame([(*[r[2][n] for n in RATIOS], r[0], bool(r[1])) for r in rows], ", ".join([*(f"_{n} double" for n in RATIOS), "bad int", "held boolean"]))
+    points = sample.agg(*[F.percentile_approx(f"_{n}", [i / QUANTILES for i in range(1, QUANTILES)], 1000).alias(n) for n in RATIOS]).first()
+    got = [[(c.stat[1:], c.threshold, c.above) for c in r.conditions] for r in learn_rules(sample)]
+    assert got == plain_covering(rows, list(RATIOS), points)
+    assert got
