@@ -113,3 +113,15 @@ def synthetic_crops(spark: SparkSession, n: int, width: int = 320, height: int =
     y, x = F.floor(at / width), at % width
     dark = ((F.floor(x / 6) + F.floor(y / 8) + i) % 3 == 0) & (y >= 8) & (y < 40)
     return cells.select(i.cast("int").alias("image"), y.cast("int").alias("y"), x.cast("int").alias("x"), F.when(dark, 20).otherwise(240).alias("v"))
+
+
+def dummy_tensor(spark: SparkSession, kind: str) -> DataFrame:
+    """The input that a model is tried with: channel, y, x, v. Zeros of 3 by 320 by 320 for "detection"; slanted waves of 3 by 48 by 320 for "recognition"."""
+    if kind not in ("detection", "recognition"):
+        raise ValueError(f"kind is {kind!r}, not detection or recognition")
+    height, width = (320, 320) if kind == "detection" else (48, 320)
+    at = spark.range(3 * height * width).select(
+        F.floor(F.col("id") / (height * width)).cast("int").alias("channel"), F.floor(F.col("id") % (height * width) / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x")
+    )
+    wave = F.sin((F.col("y") * width + F.col("x")) / F.lit(float(height * width)) + F.col("channel") * 0.1)
+    return at.withColumn("v", (F.lit(0.0) if kind == "detection" else wave).cast("float"))

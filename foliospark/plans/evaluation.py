@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import rounded
 from foliospark.operators.evaluate import detection_report, greedy_matches, overlapping, similarity
-from foliospark.operators.profile import breakdown, middle_samples
+from foliospark.operators.profile import breakdown, middle_samples, stage_medians, throughput
 from foliospark.plans.tables import table
 
 
@@ -95,6 +95,23 @@ def latency_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs of three stages: the median of each by type and quarter, and the extremes of their sum."""
+    e = table(spark, sf_dir, "events").select(
+        "event_type", (F.col("event_id") % 4).alias("quarter"), F.col("value").alias("detection"), F.when(F.col("event_id") % 5 > 0, F.col("value") * 0.5).alias("recognition"),
+        F.floor(F.col("value")).cast("double").alias("decoding"), (F.col("value") * 2).alias("total"),
+    )
+    told = stage_medians(e, ["event_type", "quarter"], ["detection", "recognition", "decoding"], ["total"])
+    return told.select("event_type", "quarter", "n", *[rounded(c, 5).alias(c) for c in ("detection", "recognition", "decoding")], rounded("min_total", 5).alias("least"), rounded("max_total", 5).alias("most"))
+
+
+def throughput_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as passes over so many images: images per second and memory by return flag."""
+    passes = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("images"), (F.col("l_linenumber") * 0.25).alias("seconds"), F.floor("l_extendedprice").cast("double").alias("memory"))
+    told = throughput(passes, ["l_returnflag"], "images", "seconds", ["memory"])
+    return told.select("l_returnflag", "n", *[rounded(c, 5).alias(c) for c in ("per_second", "min_per_second", "max_per_second", "memory", "max_memory")])
+
+
 def profile_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time by event type and hour, the largest 40, with their share of all."""
     e = table(spark, sf_dir, "events").select("event_type", F.hour("ts").alias("hour"), (F.col("value") * 100).cast("long").alias("ms"))
@@ -128,7 +145,7 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        iou_match_candidates, iou_greedy_match, iou_report, char_similarity, parity_report, line_semi_match, line_anti_match, latency_medians, profile_breakdown,
+        iou_match_candidates, iou_greedy_match, iou_report, char_similarity, parity_report, line_semi_match, line_anti_match, latency_medians, stage_latency, throughput_report, profile_breakdown,
         profile_origin, error_isolation, error_counts,
     )
 }
@@ -169,6 +186,10 @@ ORACLE_SQL = {
         count(*) FILTER (quality = 1) AS reference, count(*) FILTER (quality = toxic) AS exact, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source),
       s AS (SELECT *, matched::DOUBLE / greatest(predicted, 1) AS p, matched::DOUBLE / greatest(reference, 1) AS r FROM c)
       SELECT source, matched, predicted, reference, {_r('p', 5)} AS precision, {_r('r', 5)} AS recall, {_r(_F1, 5)} AS f1, {_r('exact::DOUBLE / n', 5)} AS exact_rate FROM s""",
+    "stage_latency": f"""SELECT event_type, event_id % 4 AS quarter, count(*) AS n, {_r('median(value)', 5)} AS detection, {_r('median(CASE WHEN event_id % 5 > 0 THEN value * 0.5::DOUBLE END)', 5)} AS recognition,
+      {_r('median(floor(value))', 5)} AS decoding, {_r('min(value * 2)', 5)} AS least, {_r('max(value * 2)', 5)} AS most FROM events GROUP BY ALL""",
+    "throughput_report": f"""WITH p AS (SELECT l_returnflag, CASE WHEN l_linenumber > 0 THEN l_quantity / (l_linenumber * 0.25::DOUBLE) END AS r, floor(l_extendedprice) AS m FROM lineitem)
+      SELECT l_returnflag, count(*) AS n, {_r('median(r)', 5)} AS per_second, {_r('min(r)', 5)} AS min_per_second, {_r('max(r)', 5)} AS max_per_second, {_r('median(m)', 5)} AS memory, {_r('max(m)', 5)} AS max_memory FROM p GROUP BY 1""",
     "line_semi_match": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
       s AS (SELECT text FROM l WHERE text <> '' GROUP BY text HAVING count(DISTINCT doc_id) > 1)
       SELECT doc_id, count(*) AS shared_lines FROM l WHERE text IN (SELECT text FROM s) GROUP BY doc_id""",

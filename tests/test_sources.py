@@ -1,15 +1,19 @@
 """Encoded images to pixels, flows over files and bytes, golden results, labels."""
 
 import json
+import math
 import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.config import PageConfig
 from foliospark.functions.scores import label_angle
 from foliospark.operators.pages import read_encoded, read_files
+from foliospark.operators.pixels import dummy_tensor
+from foliospark.operators.profile import stage_medians
 from foliospark.operators.sinks import golden_json
 from foliospark.operators.standins import BrightDetector, ColumnReader
 from foliospark.sources.images import decoded_images, reference_results, three_channels
@@ -70,3 +74,18 @@ def test_labels(spark):
     labels = ["0_degree", "180_degree", "90", "270", "45", "upright", "", None, "90.5"]
     got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(labels)], "k int, label string").orderBy("k").select(label_angle(F.col("label"))).collect()]
     assert got == [0, 180, 90, 270, None, None, None, None, 90]
+
+
+def test_dummy_tensors(spark):
+    assert dummy_tensor(spark, "detection").agg(F.count("*"), F.sum(F.abs("v"))).first()[:] == (3 * 320 * 320, 0.0)
+    rows = dummy_tensor(spark, "recognition").collect()
+    assert len(rows) == 3 * 48 * 320 and len({(r["channel"], r["y"], r["x"]) for r in rows}) == len(rows)
+    assert all(abs(r["v"] - math.sin((r["y"] * 320 + r["x"]) / (48 * 320) + 0.1 * r["channel"])) < 1e-6 for r in rows)
+    with pytest.raises(ValueError):
+        dummy_tensor(spark, "other")
+
+
+def test_medians_by_stage_keep_null_keys_and_stages(spark):
+    rows = [("a", 1.0, None, 5.0), ("a", 3.0, None, 1.0), (None, 2.0, 7.0, 2.0), ("b", None, None, 9.0)]
+    told = {r["k"]: r[1:] for r in stage_medians(spark.createDataFrame(rows, "k string, s double, t double, total double"), ["k"], ["s", "t"], ["total"]).select("k", "n", "s", "t", "min_total", "max_total").collect()}
+    assert told == {"a": (2, 2.0, None, 1.0, 5.0), None: (1, 2.0, 7.0, 2.0, 2.0), "b": (1, None, None, 9.0, 9.0)}
