@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from foliospark.operators.decode import decode
 from foliospark.operators.pixels import above
 from foliospark.operators.regions import plan_batches
+from foliospark.sources.workspace import written
 
 
 class Backend(Protocol):
@@ -140,15 +141,18 @@ def read_pages(images: DataFrame, dictionary: DataFrame, detect: Backend, recogn
     pixels don't fit its size, has null regions and the error, if any. Rows come back by image and
     region, whatever the batches were.
     """
-    scores = infer(images, detect, ["image"], "height", "width", "values")
+    # written, as several branches read it and the model would run for each
+    scores = written(infer(images, detect, ["image"], "height", "width", "values"), "scores")
     found = text_rows(scores, threshold).filter(F.col("score") >= least_score)
     cut = crops(images, found)
     planned = plan_batches(cut, "image", ["region"], "width", "height", batch).select("image", "region", "batch")
-    read = infer(cut, recognise, ["image", "region"], "height", "width", "values").filter("error IS NULL")
+    read = written(infer(cut, recognise, ["image", "region"], "height", "width", "values"), "read")
     size = F.col("steps")
-    step = read.select(
+    step = read.filter("error IS NULL").select(
         F.struct("image", "region").alias("sample"), size.alias("n"), F.col("out"), F.explode(F.sequence(F.lit(0), size - 1)).alias("t")
     ).select("sample", "t", F.slice("out", (F.col("t") * (F.size("out") / F.col("n")) + 1).cast("int"), (F.size("out") / F.col("n")).cast("int")).cast("array<float>").alias("scores"))
     text = decode(step, dictionary).select("sample.image", "sample.region", "text", "confidence")
-    lines = cut.drop("height", "width", "values").join(text, ["image", "region"], "left").join(planned, ["image", "region"])
-    return scores.select("image", "error").join(lines, "image", "left")
+    failed = read.select("image", "region", F.col("error").alias("_line_error"))
+    lines = cut.drop("height", "width", "values").join(text, ["image", "region"], "left").join(planned, ["image", "region"]).join(failed, ["image", "region"], "left")
+    found = scores.select("image", "error").join(lines, "image", "left")
+    return found.withColumn("error", F.coalesce("error", "_line_error")).drop("_line_error")
