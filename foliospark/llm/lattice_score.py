@@ -11,7 +11,8 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from math import exp, inf, log, log10
+from itertools import chain, pairwise
+from math import log, log10
 
 import ahocorasick
 import numpy as np
@@ -29,6 +30,8 @@ VOCABULARY = "piece_bpe_32k.model"
 ROUNDS = 2
 #: So many of the most frequent words are sent to all tasks with their values; the others are joined. It changes no result.
 FREQUENT = 1 << 16
+#: Bytes of words whose lattices are worked on at once; a longer word is worked on alone. It changes no result.
+BYTES_AT_ONCE = 1 << 16
 #: A task hands on its counts at so many distinct words. It changes no result.
 WORDS_AT_ONCE = 1 << 19
 #: Words above this length are known by their digest among the frequent ones.
@@ -72,8 +75,9 @@ class Pieces:
         self.prior = found / found.sum()
         self.automaton = ahocorasick.Automaton()
         for k, s in enumerate(self.strings):
-            self.automaton.add_word(s, (len(s), k))
+            self.automaton.add_word(s, k)
         self.automaton.make_automaton()
+        self.lengths = np.array([len(s) for s in self.strings])
 
 
 @cache
@@ -82,54 +86,81 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def log_sum(terms: list[float]) -> float:
-    """log of the sum of exp(terms)."""
-    if len(terms) == 1:
-        return terms[0]
-    top = max(terms)
-    return top + log(sum([exp(t - top) for t in terms]))
-
-
-def lattice(word: bytes, automaton: ahocorasick.Automaton, weights: list[float]) -> tuple[list[float], list[tuple[int, int, int]]]:
-    """Forward log sums at each place of a word, and the edges (start, end, piece) in order of their ends."""
-    string = " " + word.decode("latin-1")
-    forward = [-inf] * (len(string) + 1)
-    forward[0] = 0.0
-    edges, terms, at = [], [], 0
-    for last, (length, k) in automaton.iter(string):
-        end = last + 1
-        start = end - length
-        if end != at:
-            if terms:
-                forward[at] = log_sum(terms)
-            terms, at = [], end
-        if forward[start] != -inf:
-            terms.append(forward[start] + weights[k])
-            edges.append((start, end, k))
-    if terms:
-        forward[at] = log_sum(terms)
-    return forward, edges
-
-
-def word_log(word: bytes, automaton: ahocorasick.Automaton, weights: list[float]) -> float:
-    """The natural log of a word's probability: the sum over all its segmentations."""
-    return lattice(word, automaton, weights)[0][-1]
-
-
-def expected(word: bytes, automaton: ahocorasick.Automaton, weights: list[float]) -> Iterator[tuple[int, float]]:
-    """How often each piece is expected in a word's segmentations, by forward and backward sums."""
-    forward, edges = lattice(word, automaton, weights)
-    total = forward[-1]
-    backward: list[list[float]] = [[] for _ in forward]
-    backward[-1] = [0.0]
-    done: dict[int, float] = {}
-    for start, end, k in reversed(edges):
-        if end not in done:
-            done[end] = log_sum(backward[end]) if backward[end] else -inf
-        if done[end] != -inf:
-            rest = weights[k] + done[end]
-            backward[start].append(rest)
-            yield k, exp(forward[start] + rest - total)
+class Lattices:
+    """The lattices of many words: every edge that a piece makes, and log sums over all of them at once.
+
+    A word's places are those before, between and after its bytes, with the blank that begins it. The
+    forward recursion takes the edges of all words that end at the first place, then those that end at
+    the second, and so on; the backward one does the same from the ends.
+    """
+
+    def __init__(self, words: list[bytes], pieces: Pieces, weights: np.ndarray):
+        string = b"".join([b" " + w for w in words]).decode("latin-1")
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        first = np.cumsum(sizes) - sizes
+        found = np.fromiter(chain.from_iterable(pieces.automaton.iter(string)), np.int64)
+        last, self.piece = found[::2], found[1::2]
+        self.word = np.repeat(np.arange(len(words)), sizes)[last]
+        # no piece has a blank but at its beginning, so none crosses words; a word has a place more than bytes
+        self.end = last + 1 + self.word
+        self.start = self.end - pieces.lengths[self.piece]
+        self.zero = first + np.arange(len(words))
+        self.one = self.zero + sizes
+        self.weight = weights[self.piece]
+        self.places = len(string) + len(words)
+
+    def _sums(self, at: np.ndarray, other: np.ndarray, step: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """Log sums at places: of the edges at each place, their weights and the sums at their other ends, which have smaller steps."""
+        sums = np.full(self.places, -np.inf)
+        sums[seeds] = 0.0
+        order = np.lexsort((at, step))
+        at, other, weight = at[order], other[order], self.weight[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(step[order]) != 0]), len(order)] if len(order) else []
+        for low, high in pairwise(cuts):
+            terms = sums[other[low:high]] + weight[low:high]
+            new = np.r_[True, np.diff(at[low:high]) != 0]
+            begin = np.flatnonzero(new)
+            top = np.maximum.reduceat(terms, begin)
+            total = np.add.reduceat(np.exp(terms - top[np.cumsum(new) - 1]), begin)
+            sums[at[low:high][begin]] = top + np.log(total)
+        return sums
+
+    def forward(self) -> np.ndarray:
+        return self._sums(self.end, self.start, self.end - self.zero[self.word], self.zero)
+
+    def logs(self) -> np.ndarray:
+        """The natural log of each word's probability: the sum over all its segmentations."""
+        return self.forward()[self.one]
+
+    def expected(self) -> np.ndarray:
+        """How often each edge's piece is expected in its word's segmentations, by forward and backward sums."""
+        forward = self.forward()
+        backward = self._sums(self.start, self.end, self.one[self.word] - self.start, self.one)
+        return np.exp(forward[self.start] + self.weight + backward[self.end] - forward[self.one][self.word])
+
+
+def parts_of(words: list[bytes]) -> Iterator[list[int]]:
+    """The numbers of words to work on at once: of similar lengths, and of BYTES_AT_ONCE together at most."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    part, size = [], 0
+    for k in order:
+        if part and size + len(words[k]) > BYTES_AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(k)
+        size += len(words[k]) + 1
+    if part:
+        yield part
+
+
+def word_logs(words: list[bytes], pieces: Pieces, weights: np.ndarray) -> np.ndarray:
+    """The natural log of each word's probability; END's is that of its own weight."""
+    found = np.full(len(words), weights[pieces.end])
+    for part in parts_of(words):
+        at = [k for k in part if words[k] != END]
+        if at:
+            found[at] = Lattices([words[k] for k in at], pieces, weights).logs()
+    return found
 
 
 def digest_of(words: Iterable[bytes]) -> np.ndarray:
@@ -199,17 +230,17 @@ def trained(words: DataFrame, path: str, rounds: int) -> np.ndarray:
         given = spark.sparkContext.broadcast(np.log(found))  # one number per piece of the file
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            own, weights = pieces_of(path), given.value.tolist()
-            sums = [0] * size
+            own, weights = pieces_of(path), given.value
+            sums = np.zeros(size, np.int64)
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    if word == END:
-                        sums[own.end] += UNIT
-                        continue
-                    for k, n in expected(word, own.automaton, weights):
-                        sums[k] += round(n * UNIT)
-            some = [k for k, n in enumerate(sums) if n]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([sums[k] for k in some], pa.int64())], ["piece", "n"])
+                words = batch.column(0).to_pylist()
+                for part in parts_of(words):
+                    some = Lattices([words[k] for k in part if words[k] != END], own, weights)
+                    counts = np.bincount(some.piece, np.rint(some.expected() * UNIT), size)  # whole numbers, far below 2 ** 53
+                    sums += counts.astype(np.int64)
+                sums[own.end] += UNIT * words.count(END)
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["piece", "n"])
 
         summed = train.select("word").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         counts = size * pieces.prior
@@ -220,12 +251,14 @@ def trained(words: DataFrame, path: str, rounds: int) -> np.ndarray:
     return found
 
 
-def with_count(log_p: float, c: int, totals: Totals) -> float:
-    """A word's log probability when the word itself is a piece, with its discounted count; the lattice has what was taken off."""
+def with_counts(logs: np.ndarray, counts: np.ndarray, totals: Totals) -> np.ndarray:
+    """Words' log probabilities when each word is a piece itself, with its discounted count; the lattice has what was taken off."""
     if not totals.tokens:
-        return log_p
-    rest = log(totals.discount * totals.distinct) + log_p
-    return (log_sum([log(c - totals.discount), rest]) if c else rest) - log(totals.tokens)
+        return logs
+    rest = log(totals.discount * totals.distinct) + logs
+    with np.errstate(divide="ignore"):
+        own = np.log(np.maximum(counts - totals.discount, 0.0))
+    return np.logaddexp(own, rest) - log(totals.tokens)
 
 
 def scored_words(words: DataFrame, path: str, probabilities: np.ndarray, totals: Totals) -> DataFrame:
@@ -233,14 +266,11 @@ def scored_words(words: DataFrame, path: str, probabilities: np.ndarray, totals:
     given = words.sparkSession.sparkContext.broadcast(np.log(probabilities))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weights, scale = pieces_of(path), given.value.tolist(), 1 / log(10)
+        own, scale = pieces_of(path), 1 / log(10)
         for batch in batches:
             found = batch.column(0).to_pylist()
             digest = digest_of(found)
-            logs = [
-                scale * with_count(word_log(w, own.automaton, weights) if w != END else weights[own.end], c, totals)
-                for w, c in zip(found, batch.column(1).to_pylist(), strict=True)
-            ]
+            logs = scale * with_counts(word_logs(found, own, given.value), batch.column(1).to_numpy(), totals)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(logs, pa.float64())], ["word", "c", "hi", "lo", "log_p"])
 
     return words.select("word", "c").mapInArrow(run, "word binary, c long, hi long, lo long, log_p double")
@@ -291,6 +321,18 @@ def text_parts(texts: DataFrame, frequent: dict[bytes, tuple[int, float]], id_ty
     return texts.select("text", "held", "id").mapInArrow(run, schema)
 
 
+def least_frequent(words: DataFrame, most: int) -> int:
+    """A count that as many words as can be reach, but at most `most`: from a histogram of counts, eight bars to a power of two."""
+    bars = words.filter("c > 0").groupBy(F.floor(F.log2("c") * 8).alias("bar")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()  # some hundreds
+    least, total = (1 << 63) - 1, 0
+    for bar in sorted(bars, key=lambda r: -r["bar"]):
+        total += bar["n"]
+        if total > most:
+            break
+        least = bar["least"]
+    return least
+
+
 def score_texts(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = ROUNDS, frequent: int = FREQUENT
 ) -> DataFrame:
@@ -312,7 +354,7 @@ def score_texts(
     words = written(word_counts(texts), "words")
     totals = totals_of(words)
     scored = written(scored_words(words, path, trained(words, path, rounds), totals), "scored-words")
-    common = scored.filter("c > 0").orderBy(F.desc("c"), "hi", "lo").limit(frequent)
+    common = scored.filter(F.col("c") >= least_frequent(scored, frequent))
     # long words come as their digests, so that an entry has a bound
     common = common.select(F.when(F.length("word") <= LONG_WORD, F.col("word")).alias("word"), "hi", "lo", "c", "log_p").collect()
     values = {r["word"] if r["word"] is not None else b" " + np.array([r["hi"], r["lo"]], "<i8").tobytes(): (r["c"], r["log_p"]) for r in common}

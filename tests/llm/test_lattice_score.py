@@ -37,28 +37,29 @@ def by_hand(word, index, p):
 WORDS = [b"a", b"the", b"there", "é".encode(), "日本".encode(), b"xq#9", "▁t".encode(), b"\xff\x00"]
 
 
-def test_lattice_is_the_sum_over_all_segmentations(pieces):
+def test_lattice_is_the_sum_over_all_segmentations(pieces, monkeypatch):
     index = {s: k for k, s in enumerate(pieces.strings)}
-    logs = np.log(pieces.prior).tolist()
+    logs = np.log(pieces.prior)
     assert abs(pieces.prior.sum() - 1) < 1e-12
-    for word in WORDS:
-        assert math.isclose(L.word_log(word, pieces.automaton, logs), math.log(by_hand(word, index, pieces.prior)), rel_tol=1e-12)
+    want = [math.log(by_hand(w, index, pieces.prior)) if w else logs[-1] for w in [*WORDS, b""]]
+    for bytes_ in (1, 12, 1 << 16):  # however many words are worked on at once
+        monkeypatch.setattr(L, "BYTES_AT_ONCE", bytes_)
+        assert np.allclose(L.word_logs([*WORDS, b""], pieces, logs), want, rtol=1e-12)
     # a literal mark of a word's beginning isn't a blank
-    assert L.word_log("▁t".encode(), pieces.automaton, logs) < L.word_log(b"t", pieces.automaton, logs)
+    marked, plain = L.word_logs(["▁t".encode(), b"t"], pieces, logs)
+    assert marked < plain
 
 
 def test_expected_counts(pieces):
     index = {s: k for k, s in enumerate(pieces.strings)}
-    logs = np.log(pieces.prior).tolist()
+    want = Counter()
     for word in WORDS:
-        want = Counter()
         for found in segmentations(" " + word.decode("latin-1"), index):
             for k in found:
                 want[k] += math.prod(pieces.prior[j] for j in found) / by_hand(word, index, pieces.prior)
-        got = Counter()
-        for k, n in L.expected(word, pieces.automaton, logs):
-            got[k] += n
-        assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-15) for k in got | want)
+    lattices = L.Lattices(WORDS, pieces, np.log(pieces.prior))
+    got = np.bincount(lattices.piece, lattices.expected(), len(pieces.prior))
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-15) for k in range(len(got)))
 
 
 def model_by_hand(rows, rounds):
