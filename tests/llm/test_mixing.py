@@ -72,3 +72,13 @@ def test_rows_without_ids_are_dealt_out(docs_of):
     parts = mixed.groupBy(F.spark_partition_id().alias("p")).count().collect()
     counts = {r["n_copies"] for r in mixed.collect()}
     assert len(counts) <= 1 and (not counts or len(parts) > 1)
+
+
+def test_very_long_texts_and_ties(docs_of):
+    rows = [(k, "long text " * 200_000, "s") for k in range(4)] + [(1, "long text " * 200_000, "s"), (9, None, "s")]
+    got = Counter(r["doc_id"] for r in mix_sources(docs_of(rows), weights={"s": 1}, epochs=2).select("doc_id").collect())
+    rate = 2.0
+    want = Counter()
+    for k, _, _ in rows:
+        want[k] += copies(k, rate)
+    assert got == +want

@@ -82,3 +82,12 @@ def test_repeated_ids_and_empty_table(spark, docs_of):
     rows = [(1, "a b c"), (1, "a b c"), (2, "A b c"), (3, "x y z")]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == [1, 3]
     assert corpus_pipeline.near_dedup(spark, docs_of([]), "").count() == 0
+
+
+def test_very_long_texts_and_an_id_named_n(docs_of):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited(rng, base, 3000))), (3, " ".join(edited(rng, base, 30_000))), (4, "word " * 400_000), (5, "word " * 300_000)]
+    docs = docs_of(rows).drop("_id").withColumnRenamed("doc_id", "n")
+    kept = near_copies.without_similar(docs, "n")
+    assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [1, 3, 4]

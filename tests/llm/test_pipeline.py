@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_queries_are_named():
-    assert [n.split("_")[0] for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_stages(spark, docs_of, tmp_path):
@@ -54,3 +54,22 @@ def test_stages_on_an_empty_table(spark, docs_of, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_on_repeated_ids_and_very_long_texts(spark, docs_of, tmp_path):
+    rng = random.Random(10)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    one, long = prose(90), prose(60_000)
+    rows = [(1, one), (1, one), (1, prose(90)), (2, long), (3, long), (None, prose(80)), (None, prose(80))]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    placed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in placed} <= {1, 2, None} and all(r["length"] <= 1024 for r in placed)
+    ends = {}
+    for r in placed:
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in ends.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
