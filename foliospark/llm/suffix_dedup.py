@@ -33,8 +33,8 @@ BLOCK = 1 << 19
 MOST_RUNS = 4096
 #: Rows of one anchor that are held before it counts as such.
 MOST_ROWS = 1 << 20
-#: Bytes of runs that are sorted at once.
-SORT_BYTES = 1 << 20
+#: Bytes of runs that are held, and strings that are sorted, at once.
+SORT_BYTES, STRINGS_AT_ONCE = 1 << 20, 1 << 17
 
 #: The base of the polynomial hashes, modulo 2**64, and its inverse. The texts for which this modulus is
 #: known to fail have 1,024 bytes or more, and strings have LENGTH.
@@ -273,29 +273,33 @@ def suffix_sort(data: np.ndarray, prefixes: Prefixes, starts: np.ndarray, group:
 
 def found_twice(data: np.ndarray, run_start: np.ndarray, count: np.ndarray, distance: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Whether each string of the runs is found twice or more; runs lie one after the other in data."""
-    total = int(count.sum())
-    run_of = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    starts = run_start[run_of] + offset
-    # equal strings have equal anchors at equal distances
-    order = np.lexsort((distance[run_of] - offset, anchor[run_of]))
-    a, d = anchor[run_of][order], (distance[run_of] - offset)[order]
-    group = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
-    sizes = np.bincount(group)[group]
-    several = sizes > 1
-    order, group = order[several], group[several]
-    found = np.zeros(total, bool)
-    if not len(order):
-        return found
+    found = np.zeros(int(count.sum()), bool)
+    first = np.cumsum(count) - count
+    _, kind, sizes = np.unique(anchor, return_inverse=True, return_counts=True)
+    runs = np.flatnonzero(sizes[kind] > 1)
     prefixes = Prefixes(data, 2 * SORT_BYTES if len(data) < 2 * SORT_BYTES else len(data) + 1)
-    sorted_ = suffix_sort(data, prefixes, starts[order], group)
-    at = starts[order][sorted_]
-    near = np.flatnonzero((group[1:] == group[:-1]) & (common_extension(prefixes, at[1:], at[:-1]) == LENGTH))
-    for k in range(0, len(near), 1 << 14):  # equal hashes are held against the bytes
-        pair = near[k : k + (1 << 14)]
-        span = np.arange(LENGTH)
-        pair = pair[(data[at[pair][:, None] + span] == data[at[pair + 1][:, None] + span]).all(axis=1)]
-        found[order[sorted_[pair]]] = found[order[sorted_[pair + 1]]] = True
+    # equal strings have equal anchors at equal distances, so some distances are sorted at a time
+    step = max(STRINGS_AT_ONCE // max(len(runs), 1), 1)
+    for low in range(0, LENGTH - ANCHOR + 1, step):
+        offset = distance[runs, None] - np.arange(low, min(low + step, LENGTH - ANCHOR + 1))
+        at_run, at_distance = np.nonzero((offset >= 0) & (offset < count[runs, None]))
+        offset, of = offset[at_run, at_distance], runs[at_run]
+        order = np.lexsort((at_distance, kind[of]))
+        of, offset, at_distance = of[order], offset[order], at_distance[order]
+        group = np.cumsum(np.r_[True, (kind[of[1:]] != kind[of[:-1]]) | (at_distance[1:] != at_distance[:-1])])[: len(of)]
+        several = np.bincount(group)[group] > 1
+        if not several.any():
+            continue
+        of, offset, group = of[several], offset[several], group[several]
+        starts, place = run_start[of] + offset, first[of] + offset
+        sorted_ = suffix_sort(data, prefixes, starts, group)
+        at = starts[sorted_]
+        near = np.flatnonzero((group[1:] == group[:-1]) & (common_extension(prefixes, at[1:], at[:-1]) == LENGTH))
+        for k in range(0, len(near), 1 << 14):  # equal hashes are held against the bytes
+            pair = near[k : k + (1 << 14)]
+            span = np.arange(LENGTH)
+            pair = pair[(data[at[pair][:, None] + span] == data[at[pair + 1][:, None] + span]).all(axis=1)]
+            found[place[sorted_[pair]]] = found[place[sorted_[pair + 1]]] = True
     return found
 
 
@@ -455,7 +459,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     whole = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("data"))
     distinct = docs.schema[id_col].dataType.simpleString() in ("bigint", "int") and (
-        docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1)).limit(1).count() == 0
+        docs.groupBy(id_col).agg(F.count("*").alias("_times")).filter(F.col(id_col).isNull() | (F.col("_times") > 1)).limit(1).count() == 0
     )
     if distinct:
         numbered = whole.withColumn("row", F.col("doc_id").cast("long"))
