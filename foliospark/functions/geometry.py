@@ -81,12 +81,16 @@ def smallest_rectangle(hull: Column) -> Column:
     One side lies along an edge of the hull; of equal areas the first edge's rectangle is taken.
     Hulls of one or two points give the upright rectangle around them.
     """
+    return let(hull, _smallest_rectangle)
+
+
+def _smallest_rectangle(hull: Column) -> Column:
     n = F.size(hull)
 
     def measured(a: Column, k: Column) -> Column:
-        b = F.get(hull, F.pmod(k + 1, n))
-        length = distance(a, b)
-        ux, uy = F.when(n < 3, 1.0).otherwise(F.try_divide(b["x"] - a["x"], length)), F.when(n < 3, 0.0).otherwise(F.try_divide(b["y"] - a["y"], length))
+        def along(b: Column) -> Column:
+            length = distance(a, b)
+            return point(F.when(n < 3, 1.0).otherwise(F.try_divide(b["x"] - a["x"], length)), F.when(n < 3, 0.0).otherwise(F.try_divide(b["y"] - a["y"], length)))
 
         def sides(d: Column) -> Column:
             du = F.transform(hull, lambda p: (p["x"] - a["x"]) * d["x"] + (p["y"] - a["y"]) * d["y"])
@@ -96,7 +100,7 @@ def smallest_rectangle(hull: Column) -> Column:
                 ((e["u1"] - e["u0"]) * (e["v1"] - e["v0"])).alias("area"), k.alias("k"), e.alias("e"), d.alias("d"), point(a["x"], a["y"]).alias("a")
             ))
 
-        return let(point(ux, uy), sides)
+        return let(let(F.get(hull, F.pmod(k + 1, n)), along), sides)
 
     def quad(r: Column) -> Column:
         corner = lambda u, v: point(

@@ -141,9 +141,9 @@ def cut_edges(ring: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             t, r = (gap[:, 0] * d[j, 1] - gap[:, 1] * d[j, 0]) / cross, (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / cross
         real = (np.abs(cross) > 1e-14) & (t > -NEAR) & (t < 1 + NEAR) & (r > -NEAR) & (r < 1 + NEAR)
-        for k in np.flatnonzero(real):
-            cuts[i[k]].append(t[k : k + 1])
-            cuts[j[k]].append(r[k : k + 1])
+        for x, at in ((i, t), (j, r)):  # an edge isn't cut at its own ends
+            for k in np.flatnonzero(real & (at > NEAR) & (at < 1 - NEAR)):
+                cuts[x[k]].append(at[k : k + 1])
         for x, y in ((i, j), (j, i)):  # ends that lie on another edge, along which no crossing is found
             size = (d[x] ** 2).sum(1)
             for end in (a, b):
@@ -152,8 +152,9 @@ def cut_edges(ring: np.ndarray) -> np.ndarray:
                 off = np.abs(rel[:, 0] * d[x, 1] - rel[:, 1] * d[x, 0]) / np.sqrt(size)
                 for k in np.flatnonzero((off < near) & (along > 0) & (along < 1)):
                     cuts[x[k]].append(along[k : k + 1])
-    parts = []
-    for k in range(n):
+    whole = np.array([len(c) == 1 for c in cuts])
+    parts = [np.concatenate([a[whole], b[whole]], 1)]
+    for k in np.flatnonzero(~whole):
         at = np.unique(np.clip(np.concatenate(cuts[k]), 0, 1))
         p = a[k] + at[:, None] * d[k]
         parts.append(np.concatenate([p[:-1], p[1:]], 1))
@@ -210,6 +211,14 @@ def ring_area(ring: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
+def is_convex(ring: np.ndarray) -> bool:
+    """Whether a ring without repeats turns once around, never back."""
+    d = np.roll(ring, -1, 0) - ring
+    e = np.roll(d, -1, 0)
+    turn = np.arctan2(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], (d * e).sum(1))
+    return bool((turn >= 0).all() and (turn < pi - 1e-9).all() and abs(turn.sum() - 2 * pi) < 1e-6)
+
+
 def grown_ring(points: np.ndarray, distance: float, join: str = "round", step: float = 0.1) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """What lies inside a ring or within a distance of it, as outer rings with the holes left in each.
 
@@ -218,7 +227,10 @@ def grown_ring(points: np.ndarray, distance: float, join: str = "round", step: f
     ring = without_repeats(np.asarray(points, float))
     if distance <= 1e-12 or len(ring) < 3:
         return [(np.asarray(points, float), [])]
-    found = outlines(offset_curve(ring, distance, join, max(step, 0.01)))
+    curve = offset_curve(ring, distance, join, max(step, 0.01))
+    if is_convex(ring):
+        return [(curve, [])]  # which never crosses itself
+    found = outlines(curve)
     outer = sorted((r for r in found if ring_area(r) > 0), key=ring_area)
     grown = [(r, []) for r in outer]
     for hole in (r for r in found if ring_area(r) < 0):

@@ -103,9 +103,9 @@ def line_batch(crops: list[np.ndarray], widths: list[int], width: int, height: i
 def cut_out(image: np.ndarray, quad: np.ndarray, upright: bool = False) -> np.ndarray:
     """A quad's content made upright; `upright`, and a quad without area, give the whole pixels of the box around it."""
     if not upright:
-        planes = [warp(image[..., c].astype(float), quad) for c in range(image.shape[2])]
-        if planes[0] is not None:
-            return np.clip(np.floor(np.stack(planes, 2) + 0.5), 0, 255).astype(np.uint8)
+        made = warp(image.astype(float), quad)
+        if made is not None:
+            return np.clip(np.floor(made + 0.5), 0, 255).astype(np.uint8)
     (h, w), low, high = image.shape[:2], np.floor(quad.min(0)), np.ceil(quad.max(0))
     x, y = (int(min(max(v, 0), n - 1)) for v, n in zip(low, (w, h), strict=True))
     x2, y2 = (int(min(max(v, a + 1), n)) for v, a, n in zip(high, (x, y), (w, h), strict=True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.geometry import smallest_rectangle
+from foliospark.functions.geometry import let, smallest_rectangle
 from foliospark.functions.numbers import rounded
 
 
@@ -31,17 +31,18 @@ def text_report(regions: DataFrame, page: str, order: list[str], text: str, conf
     return found.select(page, F.when(n == 0, F.lit("No text regions detected.")).otherwise(some).alias("report"))
 
 
-def json_report(regions: DataFrame, page: str, order: list[str], text: str, confidence: str, ring: str) -> DataFrame:
+def json_report(regions: DataFrame, page: str, order: list[str], text: str, confidence: str, ring: str, box: str | None = None) -> DataFrame:
     """One row per page: page and json, a list of objects with text, confidence, box and polygon, in the order of the columns in `order`.
 
-    The polygon is the ring without a repeated last point, and the box the smallest rectangle
-    around it, from its top left corner on; rings are convex, as detection's are. A page whose only rows
+    The polygon is the ring without a repeated last point, and the box the column of that name, or the smallest
+    rectangle around the ring, from its top left corner on; rings are convex, as detection's are. A page whose only rows
     have a null ring has an empty list. A page's regions meet in one row, as they have to in one document.
     """
     closed = (F.size(ring) >= 2) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1))
     points = F.slice(ring, F.lit(1), F.size(ring) - F.when(closed, 1).otherwise(0))
     pairs = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))
-    region = F.struct(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(confidence).cast("double").alias("confidence"), pairs(smallest_rectangle(points)["quad"]).alias("box"), pairs(points).alias("polygon"))
+    both = let(points, lambda r: F.struct(pairs(F.col(box) if box else smallest_rectangle(r)["quad"]).alias("box"), pairs(r).alias("polygon")))
+    region = F.struct(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(confidence).cast("double").alias("confidence"), both["box"].alias("box"), both["polygon"].alias("polygon"))
     whole = F.when(F.col(ring).isNotNull(), F.struct(*order, region.alias("_region")))
     found = regions.groupBy(page).agg(F.array_sort(F.collect_list(whole)).alias("_regions"))
     return found.select(page, F.to_json(F.transform("_regions", lambda r: r["_region"])).alias("json"))

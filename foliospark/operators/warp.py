@@ -28,7 +28,7 @@ def cubic_weights(f: np.ndarray) -> np.ndarray:
 
 
 def warp(image: np.ndarray, quad: np.ndarray) -> np.ndarray | None:
-    """The quad's content as an upright image, bicubic and 0 outside; None where the quad has no area."""
+    """The quad's content as an upright image, bicubic and 0 outside; None where the quad has no area. The image may have channels."""
     side = lambda a, b: np.hypot(*(quad[a] - quad[b]))
     w, h = max(int(max(side(0, 1), side(3, 2))), 1), max(int(max(side(0, 3), side(1, 2))), 1)
     try:
@@ -41,12 +41,12 @@ def warp(image: np.ndarray, quad: np.ndarray) -> np.ndarray | None:
     u, v = u / k, v / k
     x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
     wx, wy = cubic_weights(u - x0), cubic_weights(v - y0)
-    out = np.zeros((h, w))
+    out, each = np.zeros((h, w, *image.shape[2:])), (..., *[None] * (image.ndim - 2))
     for j in range(4):
         for i in range(4):
             x, y = x0 + i - 1, y0 + j - 1
             inside = (x >= 0) & (x < image.shape[1]) & (y >= 0) & (y < image.shape[0])
-            out += np.where(inside, image[np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)], 0) * wx[i] * wy[j]
+            out += np.where(inside[each], image[np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)], 0) * wx[i][each] * wy[j][each]
     return np.rot90(out) if h / w >= UPRIGHT_RATIO else out
 
 

@@ -224,7 +224,9 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def results_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every region of each page with its text, confidence, smallest box and polygon, as one JSON document."""
-    return json_report(table(spark, sf_dir, "lineitem").withColumn("ring", _ring()), "l_orderkey", ALL, "l_returnflag", "l_discount", "ring")
+    # detection's rings are rectangles, so their boxes are their corners in order
+    lines = table(spark, sf_dir, "lineitem").withColumn("ring", _ring()).withColumn("box", g.ordered_corners(F.slice("ring", 1, 4)))
+    return json_report(lines, "l_orderkey", ALL, "l_returnflag", "l_discount", "ring", "box")
 
 
 def _json(lines: DataFrame) -> DataFrame:

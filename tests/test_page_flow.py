@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from foliospark.config import ConfigError, PageConfig
 from foliospark.functions.geometry import smallest_rectangle
+from foliospark.operators.decode import decode
 from foliospark.operators.detect import boxes, on_page
-from foliospark.operators.pages import Classifier, ClassifierInput, boxed, line_batches, lined, read_batches, read_images, scored, upright
+from foliospark.operators.pages import Classifier, ClassifierInput, best_steps, boxed, line_batches, lined, read_batches, read_images, scored, texts, upright
 from foliospark.operators.pixels import as_pixels
 from foliospark.operators.quads import hulls, smallest_rectangles
 from foliospark.operators.raster import antialiased, bilinear, cut_out, line_batch, quad_mean, scaled_channels, unpacked
@@ -238,3 +239,22 @@ def test_cut_and_mean():
                     total += [p[y, x]] if not (max(s) >= 1e-9 and min(s) <= -1e-9) else []
         if q.min() >= 0 and q[:, 0].max() <= 8 and q[:, 1].max() <= 7:
             assert quad_mean(p, q) == pytest.approx(np.mean(total) if total else 0.0)
+
+
+def test_texts_agree_with_the_decoder_of_steps(spark):
+    """Random scores, probabilities and blanks: the arrays' way against the windows' way."""
+    rng = np.random.default_rng(6)
+    rows, steps = [], []
+    for image in range(30):
+        scores = rng.normal(0, 3, (rng.integers(1, 12), 9)).astype(np.float32)
+        scores[rng.random(len(scores)) < 0.3] = np.eye(9, dtype=np.float32)[rng.integers(0, 2)]
+        if image % 3 == 0:
+            scores = np.repeat(scores, 2, 0)
+        k, p = best_steps(scores)
+        rows.append((image, [(image % 4, k.tolist(), p.tolist())], None))
+        steps += [(image, t, s.tolist()) for t, s in enumerate(scores)]
+    read = spark.createDataFrame(rows, "image int, read array<struct<region:int,ks:array<int>,ps:array<double>>>, error string")
+    got = {r["image"]: (r["text"], round(r["confidence"], 6)) for r in texts(read, letters(spark)).collect()}
+    want = decode(spark.createDataFrame(steps, "sample int, t int, scores array<float>"), letters(spark)).collect()
+    assert got == {r["sample"]: (r["text"], round(r["confidence"], 6)) for r in want}
+    assert any("[UNK]" in t for t, _ in got.values())
