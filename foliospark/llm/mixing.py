@@ -13,6 +13,8 @@ LARGEST_MEAN = 32.0
 TERMS = 128
 #: Up to this many sources the rates are broadcast (about 1 KB each, with the terms).
 BROADCAST_SOURCES = 10_000
+#: A task makes up to this many copies of a row, about; where a rate is larger, blocks of copies are dealt out first.
+COPIES_AT_ONCE = 1024
 SEED = "mix-1"
 #: The share of a source grows with its rows to this power: below 1 small sources gain.
 TEMPERATURE = 0.5
@@ -85,7 +87,8 @@ def mix_sources(
     or repeated id are dealt out too), so that the whole is shuffled. Columns
     of docs with these three names are replaced. An empty table gives an empty result.
 
-    The rates are broadcast up to BROADCAST_SOURCES sources. Beyond that they're joined by source
+    A source of few rows and a large share gives a row very many copies: such copies are dealt out in
+    blocks before they are made. The rates are broadcast up to BROADCAST_SOURCES sources. Beyond that they're joined by source
     and one of 64 salts, so that a source with a third of all rows is still dealt out.
     """
     spark = docs.sparkSession
@@ -97,7 +100,8 @@ def mix_sources(
     keyed = docs.select(
         F.struct(*out).alias("_doc"), F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("_source")
     )
-    if rates.count() <= BROADCAST_SOURCES:
+    n_sources, most_draws = rates.agg(F.count("*"), F.max("_draws")).first()
+    if n_sources <= BROADCAST_SOURCES:
         rated = keyed.join(F.broadcast(rates), "_source")
     else:
         salts = F.explode(F.array(*[F.lit(i) for i in range(64)]))
@@ -110,7 +114,13 @@ def mix_sources(
     one = invert(F.lit(0))
     many = F.aggregate(F.sequence(F.lit(0), F.col("_draws") - 1), F.lit(0), lambda acc, i: acc + invert(i))
     counted = rated.withColumn("n_copies", F.when(F.col("_draws") == 1, one).otherwise(many).cast("int")).filter("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    if (most_draws or 0) * LARGEST_MEAN > COPIES_AT_ONCE:
+        blocks = counted.withColumn("_first", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1, F.lit(COPIES_AT_ONCE))))
+        dealt = blocks.repartition(shuffle_partitions(spark), "_id", "_first", *([F.xxhash64(f"_doc.{text_col}")] if text_col in out else []))
+        last = F.least(F.col("_first") + COPIES_AT_ONCE, F.col("n_copies")) - 1
+        copies = dealt.withColumn("copy", F.explode(F.sequence("_first", last)))
+    else:
+        copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     return (
         copies.select("_doc.*", "copy", "n_copies", key.alias("mix_key"))

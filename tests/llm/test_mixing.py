@@ -82,3 +82,21 @@ def test_very_long_texts_and_ties(docs_of):
     for k, _, _ in rows:
         want[k] += copies(k, rate)
     assert got == +want
+
+
+def test_copies_of_a_rare_source_are_dealt_in_blocks(docs_of, monkeypatch):
+    """One row with nine tenths of the weight: the same rows whether its copies are made at once or in blocks."""
+    docs = docs_of(rows_of() + [(3000, "rare", "rare")])
+    weights = {"rare": 9, "hot": 1}
+    rate = next(r["rate"] for r in target_rates(docs, weights=weights, epochs=12).collect() if r["source"] == "rare")
+    columns = ["doc_id", "text", "source", "copy", "n_copies", "mix_key"]
+    blocks = sorted(map(str, mix_sources(docs, weights=weights, epochs=12).select(columns).collect()))
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 1 << 30)
+    assert blocks == sorted(map(str, mix_sources(docs, weights=weights, epochs=12).select(columns).collect()))
+    assert rate > 2 * 1024 and sum("'rare'" in r for r in blocks) == copies(3000, rate)
+
+
+def test_one_copy_more_than_a_block(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 7)
+    got = mix_sources(docs_of([(1, "a", "s"), (None, None, None)]), weights={"s": 1}, epochs=20).collect()
+    assert sorted(r["copy"] for r in got) == list(range(got[0]["n_copies"])) and {r["doc_id"] for r in got} == {1}
