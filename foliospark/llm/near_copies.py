@@ -158,7 +158,9 @@ def near_links(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     against each other there, in this round or another, and not here again.
     """
     keys = classes.select("node", F.posexplode("prefix").alias("at", "h"))
-    shared = keys.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1")
+    # counted by grouping, so that a shingle's members needn't meet in one task: the join splits a hot one
+    counts = written(keys.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "near-counts")
+    shared = keys.join(counts, "h")
     met = written(shared.join(classes.select("node", "n", "fp"), "node").withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)), "near-buckets")
     small, large = met.filter(F.col("m") <= SMALL_BUCKET), met.filter(F.col("m") > SMALL_BUCKET)
 

@@ -91,3 +91,16 @@ def test_very_long_texts_and_an_id_named_n(docs_of):
     docs = docs_of(rows).drop("_id").withColumnRenamed("doc_id", "n")
     kept = near_copies.without_similar(docs, "n")
     assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_a_shingle_that_all_share_meets_in_no_window(docs_of):
+    """Three hundred texts begin with one line; every group of near copies among them is found."""
+    rng = random.Random(8)
+    line = "one line at the head of each text".split()
+    rows = []
+    for _ in range(100):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(rng.randint(20, 90))]
+        rows += [line + base, line + edited(rng, base, 1), line + edited(rng, base, len(base) // 2)]
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    kept = near_copies.without_similar(docs_of(rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == lowest_of_groups(rows)
