@@ -93,7 +93,7 @@ def test_very_long_texts_and_an_id_named_n(docs_of):
     assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [1, 3, 4]
 
 
-def test_a_shingle_that_all_share_meets_in_no_window(docs_of):
+def test_a_line_that_all_texts_share(docs_of):
     """Three hundred texts begin with one line; every group of near copies among them is found."""
     rng = random.Random(8)
     line = "one line at the head of each text".split()
