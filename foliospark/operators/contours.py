@@ -7,6 +7,7 @@ from math import pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ _RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 NEAR = 1e-9
 #: Pairs of edges that are looked at in one step.
 PAIRS_AT_ONCE = 1 << 21
+#: Points of rings that are moved out in one step.
+POINTS_AT_ONCE = 1 << 16
 
 
 def filled(points: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -83,43 +86,79 @@ def contour_scores(pages: DataFrame, values: str = "values") -> DataFrame:
 
 def without_repeats(points: np.ndarray) -> np.ndarray:
     """A ring without points equal to the one before, turning from x to y."""
-    points = points[(points != np.roll(points, 1, 0)).any(1)]
-    x, y = points.T
-    turning = (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() if len(points) else 0.0
-    return points if turning >= 0 else points[::-1]
-
-
-def offset_curve(points: np.ndarray, distance: float, join: str, step: float) -> np.ndarray:
-    """A ring moved out by a distance, with its corners joined; it crosses itself where the ring turns inwards.
-
-    With arcs it is the sum of the ring and a circle: it turns around a place as many times as the
-    circle about that place has parts in common with what the ring encloses.
-
-    join is round (an arc in steps of `step` radians at most), bevel (a straight line), or miter
-    (the sides are prolonged, unless they meet at an angle below `step`).
-    """
-    u = np.roll(points, -1, 0) - points
-    u = u / np.hypot(*u.T)[:, None]
-    normal = np.stack([u[:, 1], -u[:, 0]], 1)
-    out = []
-    for k, p in enumerate(points):
-        n0, n1 = normal[k - 1], normal[k]
-        cross, dot = n0[0] * n1[1] - n0[1] * n1[0], n0 @ n1
+    return Rings(points, np.array([len(points)])).cleaned().points
+
+
+class Rings:
+    """Rings of any sizes one after another, so that one step of arrays does for all of them."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.points, self.sizes = np.asarray(points, float).reshape(-1, 2), np.asarray(sizes, np.int64)
+        self.ends = np.cumsum(self.sizes)
+        some = self.sizes > 0
+        first, last = (self.ends - self.sizes)[some], self.ends[some] - 1
+        at = np.arange(len(self.points))
+        self.after, self.before = at + 1, at - 1
+        self.after[last], self.before[first] = first, last
+        self.ring = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over the points of each ring."""
+        return np.bincount(self.ring, values, len(self.sizes))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.points[self.ends[k] - self.sizes[k] : self.ends[k]]
+
+    def cleaned(self) -> Rings:
+        """The rings without points equal to the one before, turning from x to y."""
+        kept = (self.points != self.points[self.before]).any(1)
+        rings = Rings(self.points[kept], np.bincount(self.ring[kept], minlength=len(self.sizes)))
+        x, y = rings.points.T
+        back = (rings.sums(x * y[rings.after] - x[rings.after] * y) < 0)[rings.ring]
+        ends = rings.ends[rings.ring]
+        at = np.arange(len(x))
+        return Rings(rings.points[np.where(back, 2 * ends - rings.sizes[rings.ring] - 1 - at, at)], rings.sizes)
+
+    def convex(self) -> np.ndarray:
+        """Whether each ring without repeats turns once around, never back."""
+        d = self.points[self.after] - self.points
+        e = d[self.after]
+        turn = np.arctan2(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], (d * e).sum(1))
+        return (self.sums(~((turn >= 0) & (turn < pi - 1e-9))) == 0) & (np.abs(self.sums(turn) - 2 * pi) < 1e-6)
+
+    def moved_out(self, distance: np.ndarray, join: str, step: float) -> Rings:
+        """The rings moved out by their distances, with their corners joined; they cross themselves where they turn inwards.
+
+        With arcs each is the sum of the ring and a circle: it turns around a place as many times as the
+        circle about that place has parts in common with what the ring encloses.
+
+        join is round (an arc in steps of `step` radians at most), bevel (a straight line), or miter
+        (the sides are prolonged, unless they meet at an angle below `step`).
+        """
+        u = self.points[self.after] - self.points
+        u = u / np.hypot(*u.T)[:, None]
+        n1 = np.stack([u[:, 1], -u[:, 0]], 1)
+        n0 = n1[self.before]
+        cross, dot = n0[:, 0] * n1[:, 1] - n0[:, 1] * n1[:, 0], (n0 * n1).sum(1)
         turn = np.arctan2(cross, dot)
-        if abs(cross) < 1e-12 and dot > 0:
-            out.append(p + distance * n1)
-            continue
-        inwards = -pi + 1e-9 < turn < 0
-        turn = turn if inwards else abs(turn)
-        if join == "round" or inwards:  # inwards the arc is passed backwards: the loop there never ends up outside
-            parts = max(int(np.ceil(abs(turn) / step)), 1)
-            angle = np.arctan2(n0[1], n0[0]) + turn * np.arange(parts + 1) / parts
-            out += list(p + distance * np.stack([np.cos(angle), np.sin(angle)], 1))
-        elif join == "miter" and pi - turn >= step:
-            out.append(p + distance * (n0 + n1) / (1 + dot))
-        else:
-            out += [p + distance * n0, p + distance * n1]
-    return np.array(out)
+        straight = (np.abs(cross) < 1e-12) & (dot > 0)
+        inwards = (-pi + 1e-9 < turn) & (turn < 0)
+        turn = np.where(inwards, turn, np.abs(turn))
+        # inwards the arc is passed backwards: the loop there never ends up outside
+        arc = ~straight & (inwards | (join == "round"))
+        pointed = ~straight & ~arc & (join == "miter") & (pi - turn >= step)
+        parts = np.where(arc, np.maximum(np.ceil(np.abs(turn) / step), 1), 1).astype(np.int64)
+        count = np.where(straight | pointed, 1, parts + 1)
+        corner = np.repeat(np.arange(len(count)), count)
+        k = np.arange(len(corner)) - np.repeat(np.cumsum(count) - count, count)
+        way = np.where((straight[corner] | (k > 0))[:, None], n1[corner], n0[corner])  # of a bevel: the ends of both sides
+        some = np.flatnonzero(arc[corner])
+        at = corner[some]
+        angle = np.arctan2(n0[at, 1], n0[at, 0]) + turn[at] * k[some] / parts[at]
+        way[some] = np.stack([np.cos(angle), np.sin(angle)], 1)
+        tips = np.flatnonzero(pointed[corner])
+        way[tips] = (n0[corner[tips]] + n1[corner[tips]]) / (1 + dot[corner[tips]])[:, None]
+        return Rings(self.points[corner] + distance[self.ring[corner]][:, None] * way, np.bincount(self.ring[corner], minlength=len(self.sizes)))
 
 
 def cut_edges(ring: np.ndarray) -> np.ndarray:
@@ -211,25 +250,36 @@ def ring_area(ring: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
-def is_convex(ring: np.ndarray) -> bool:
-    """Whether a ring without repeats turns once around, never back."""
-    d = np.roll(ring, -1, 0) - ring
-    e = np.roll(d, -1, 0)
-    turn = np.arctan2(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], (d * e).sum(1))
-    return bool((turn >= 0).all() and (turn < pi - 1e-9).all() and abs(turn.sum() - 2 * pi) < 1e-6)
-
-
 def grown_ring(points: np.ndarray, distance: float, join: str = "round", step: float = 0.1) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """What lies inside a ring or within a distance of it, as outer rings with the holes left in each.
 
     Without a distance, or with fewer than three points, the ring stays as it is.
     """
-    ring = without_repeats(np.asarray(points, float))
-    if distance <= 1e-12 or len(ring) < 3:
-        return [(np.asarray(points, float), [])]
-    curve = offset_curve(ring, distance, join, max(step, 0.01))
-    if is_convex(ring):
-        return [(curve, [])]  # which never crosses itself
+    points = np.asarray(points, float).reshape(-1, 2)
+    return grown_all(points, np.array([len(points)]), np.array([float(distance)]), join, step)[0]
+
+
+def grown_all(points: np.ndarray, sizes: np.ndarray, distance: np.ndarray, join: str, step: float) -> list[list[tuple[np.ndarray, list[np.ndarray]]]]:
+    """grown_ring of rings of so many points each, one after another: all are moved out at once, and those that turn back are looked through one by one."""
+    given = Rings(points, sizes)
+    rings = given.cleaned()
+    stays = (distance <= 1e-12) | (rings.sizes < 3)
+    rings = Rings(rings.points[~stays[rings.ring]], rings.sizes[~stays])
+    curves, convex = rings.moved_out(distance[~stays], join, max(step, 0.01)), rings.convex()
+    at = np.cumsum(~stays) - 1
+    out = []
+    for k in range(len(sizes)):
+        if stays[k]:
+            out.append([(given.of(k), [])])
+        elif convex[at[k]]:
+            out.append([(curves.of(at[k]), [])])  # which never crosses itself
+        else:
+            out.append(uncrossed(curves.of(at[k])))
+    return out
+
+
+def uncrossed(curve: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """The outer rings of what a ring moved out encloses, with the holes in each."""
     found = outlines(curve)
     outer = sorted((r for r in found if ring_area(r) > 0), key=ring_area)
     grown = [(r, []) for r in outer]
@@ -248,21 +298,37 @@ def grown_rings(rows: DataFrame, ring: str, distance: Column, join: str = "round
     names = rows.columns
     given = rows.withColumn("_distance", distance.cast("double"))
     at = names.index(ring)
-    kind = pa.list_(pa.struct([("ring", _RING), ("holes", pa.list_(_RING))]))
 
-    def told(r: np.ndarray) -> list[dict]:
-        return [{"x": x, "y": y} for x, y in r.tolist()]
+    def nested(rings: list[np.ndarray]) -> pa.Array:
+        """Rings as an array of lists of points."""
+        flat = np.concatenate([np.empty((0, 2)), *rings])
+        points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(_RING.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends([len(r) for r in rings])), points)
+
+    def ends(sizes: list[int]) -> np.ndarray:
+        return np.cumsum([0, *sizes], dtype=np.int32)
+
+    def told(found: list[list], missing: np.ndarray) -> pa.Array:
+        polygons = [p for row in found for p in row]
+        holes = pa.ListArray.from_arrays(pa.array(ends([len(h) for _, h in polygons])), nested([h for _, holes in polygons for h in holes]))
+        each = pa.StructArray.from_arrays([nested([r for r, _ in polygons]), holes], ["ring", "holes"])
+        return pa.ListArray.from_arrays(pa.array(ends([len(row) for row in found])), each, mask=pa.array(missing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r, by in zip(batch.column(at), batch.column(len(names)).to_pylist(), strict=True):
-                if not r.is_valid or by is None:
-                    out.append(None)
-                    continue
-                points = np.stack([r.values.field(c).to_numpy(zero_copy_only=False) for c in "xy"], 1)
-                out.append([{"ring": told(x), "holes": [told(h) for h in holes]} for x, holes in grown_ring(points, by, join, step)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*names, "grown"])
+            first = 0
+            while first < batch.num_rows:  # as many rows as have POINTS_AT_ONCE points, one at least
+                sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)[first:]
+                n = max(int(np.searchsorted(np.cumsum(sizes), POINTS_AT_ONCE, side="right")), 1)
+                part, sizes = batch.slice(first, n), sizes[:n]
+                first += n
+                points = part.column(at).flatten()
+                missing = np.array(part.column(at).is_null()) | np.array(part.column(len(names)).is_null())
+                flat = np.stack([pc.struct_field(points, c).to_numpy(zero_copy_only=False) for c in "xy"], 1).astype(float)
+                by = pc.fill_null(part.column(len(names)), 0.0).to_numpy(zero_copy_only=False)
+                found = grown_all(flat, sizes, by, join, step)
+                found = [[] if m else f for f, m in zip(found, missing, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], told(found, missing)], [*names, "grown"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return given.mapInArrow(run, f"{schema}, grown {RINGS}")

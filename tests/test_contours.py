@@ -185,3 +185,50 @@ def test_pixels_beside_holes_count_islands_as_the_sql_does(spark, tmp_path):
     found = sorted(tuple(r) for r in border_counts(spark, str(tmp_path)).collect())
     assert found == sorted(duck.sql(ORACLE_SQL["border_counts"]).fetchall())
     assert found[0] == (1, 3, 1, 13) and found[1] == (2, 2, 2, 20 + 20 - 8 + 12)
+
+
+def test_rings_of_all_sizes_grow_together_as_alone(spark):
+    rng = np.random.default_rng(7)
+    rings = []
+    for k in range(60):  # round ones, stars, repeats, either way round, fewer than three points
+        n = int(rng.integers(3, 12))
+        angle, reach = np.arange(n) * 2 * np.pi / n, rng.uniform(3, 9, n) if k % 2 else np.full(n, 6.0)
+        ring = np.stack([np.cos(angle) * reach, np.sin(angle) * reach], 1)
+        ring = np.repeat(ring, 2, 0) if k % 5 == 0 else ring
+        rings.append((ring[::-1] if k % 3 == 0 else ring)[: 2 if k % 20 == 19 else None])
+    rings[7] = rings[7][:0]
+    points = "array<struct<x:double,y:double>>"
+    rows = [(k, None if k == 11 else [tuple(p) for p in r.tolist()], None if k == 12 else 0.0 if k == 13 else 0.5 + k % 4) for k, r in enumerate(rings)]
+    for join in ("round", "bevel", "miter"):
+        df = spark.createDataFrame(rows, f"k int, ring {points}, by double").coalesce(1)
+        found = {r["k"]: r["grown"] for r in grown_rings(df, "ring", F.col("by"), join).collect()}
+        assert len(found) == 60 and found[11] is None and found[12] is None
+        for k, ring, by in rows:
+            if k not in (11, 12):
+                alone = grown_ring(np.array(ring).reshape(-1, 2), by, join)
+                assert len(found[k]) == len(alone)
+                for p, (outer, holes) in zip(found[k], alone, strict=True):
+                    assert np.array_equal(np.array(p["ring"]).reshape(-1, 2), outer) and len(p["holes"]) == len(holes)
+                    assert all(np.array_equal(np.array(a), b) for a, b in zip(p["holes"], holes, strict=True))
+
+
+def test_a_rings_derivation_is_bound_once(spark):
+    from foliospark.functions import geometry as g
+
+    x = F.col("id") + 1.0
+    ring = g.ring((x, x), (x + 3, x), (x + 3, x + 2), (x, x + 2))
+    df = spark.range(3).select(ring.alias("q")).filter((g.unclip_distance(F.col("q"), 1.5) > 0.5) & (g.short_side(F.col("q")) >= 2))
+    assert df.count() == 3
+    plan = lambda d: str(d._jdf.queryExecution().optimizedPlan())
+    assert plan(df).count("array(struct(") == 3  # once where it is made and in each condition, not for each corner of each edge
+
+
+def test_the_unclip_query_works_its_distance_out_once(spark, tmp_path):
+    from foliospark.plans.regions import unclip_rect
+
+    row = (1, 2, 3, 1, 20.0, 9000.0, 0.1, 0.1, "A", "B", None)
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame([row], names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = unclip_rect(spark, str(tmp_path))
+    assert [(r["d"], r["gw"], r["gh"]) for r in df.collect()] == [(3.5526, 16.1053, 17.1053)]
+    assert str(df._jdf.queryExecution().optimizedPlan()).upper().count("SQRT") == 4
