@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.evaluate import similarity
 from foliospark.operators.sinks import json_report, text_report
-from foliospark.plans import registry
+from foliospark.plans import regions, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,21 @@ def test_similarity_of_texts_beyond_ascii(spark):
 
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity(F.col("a"), F.col("b")).alias("s")).collect()
     assert {(r["a"], r["b"]): round(r["s"], 9) for r in got} == {(a, b): round(1 - edits(a, b) / max(len(a), len(b)), 9) if a or b else 1.0 for a, b in pairs}
+
+
+def test_reports_shuffle_the_columns_that_rings_are_made_of(spark):
+    from foliospark.functions import geometry as g
+
+    rows = [(1, 2, 5.0, "b", 0.5), (1, 1, 7.0, None, 0.25), (2, 1, None, "c", 0.75)]
+    df = spark.createDataFrame(rows, "page int, n int, side double, text string, sure double")
+    zero = F.lit(0.0)
+    ring = lambda r: F.when(r["side"].isNotNull(), g.ring((zero, zero), (r["side"], zero), (r["side"], zero + 1), (zero, zero + 1)))
+    order = ["n", "side", "text", "sure"]
+    given = df.withColumn("ring", ring({c: F.col(c) for c in order}))
+    for report in (text_report, json_report):
+        made = report(df, "page", order, "text", "sure", ring)
+        assert sorted(made.collect()) == sorted(report(given, "page", order, "text", "sure", "ring").collect())
+    for q in (regions.results_json_all, regions.report_lines):
+        rows = q(spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        gathers = next(k for k, x in enumerate(rows) if "collect_list" in x)
+        assert all("array(" not in x for x in rows[gathers + 1 :])  # what goes into the grouping has no ring in it yet
