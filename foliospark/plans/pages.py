@@ -25,7 +25,9 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     bright = lambda v: F.when(v > 0.1, F.least(F.lit(130) + F.floor(v * 400), F.lit(250))).otherwise(10)
     pixels = _pixels(F.col("embedding"), bright, 8, 12)
     whole = F.when(F.col("vec_id") % 50 == 0, F.substring(pixels, 1, 1000)).otherwise(pixels)
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.lit(64).alias("height"), F.lit(96).alias("width"), whole.alias("pixels"))
+    # dealt out while a page is still small: a file of few row groups would be read, and turned, scored and traced, by as few tasks
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    return cells.select(F.col("vec_id").alias("image"), F.lit(64).alias("height"), F.lit(96).alias("width"), whole.alias("pixels"))
 
 
 def page_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,3 +258,11 @@ def test_texts_agree_with_the_decoder_of_steps(spark):
     want = decode(spark.createDataFrame(steps, "sample int, t int, scores array<float>"), letters(spark)).collect()
     assert got == {r["sample"]: (r["text"], round(r["confidence"], 6)) for r in want}
     assert any("[UNK]" in t for t, _ in got.values())
+
+
+def test_pages_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    from foliospark.plans.pages import _images
+
+    spark.createDataFrame([(k, [0.2] * 64) for k in range(40)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    dealt = _images(spark, str(tmp_path)).withColumn("part", F.spark_partition_id())
+    assert dealt.count() == 40 and dealt.select("part").distinct().count() > 4
