@@ -10,6 +10,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ class Ids:
     def of_parts(self, parts: list[str]) -> list[bytes]:
         units = [[p] if OTHER_SPACE.search(p) else UNIT.findall(p) for p in parts]
         known = self.known
-        new = list(set().union(*units) - known.keys())
+        new = list(set(filterfalse(known.__contains__, chain.from_iterable(units))))
         if new:
             encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             known.update((u, struct.pack(f"<{len(e)}I", *e.ids)) for u, e in zip(new, encoded, strict=True))
