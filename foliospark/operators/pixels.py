@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.geometry import in_quad
+from foliospark.functions.geometry import in_quad, let
 from foliospark.functions.sizes import resize_taps
 
 
@@ -15,6 +15,15 @@ def as_pixels(images: DataFrame, image: str, values: str, width: int) -> DataFra
     return exploded.select("image", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"), "p")
 
 
+def as_maps(pixels: DataFrame, width: int) -> DataFrame:
+    """Pixels (image, y, x, p) gathered to a row per image: image, values (row-major); places without a pixel are null."""
+    place = (F.col("y") * width + F.col("x")).alias("i")
+    rows = pixels.groupBy("image").agg(F.array_sort(F.collect_list(F.struct(place, F.col("p").cast("double").alias("p")))).alias("c"))
+    gap = lambda e, k: e["i"] - F.coalesce(F.get("c", k - 1)["i"], F.lit(-1)) - 1
+    filled = F.transform("c", lambda e, k: F.concat(F.array_repeat(F.lit(None).cast("double"), gap(e, k).cast("int")), F.array(e["p"])))
+    return rows.select("image", F.flatten(filled).alias("values"))
+
+
 def above(p: Column, threshold: float) -> Column:
     """Strictly above a threshold within 0 and 1: what detection uses."""
     return p > min(max(threshold, 0.0), 1.0)
@@ -87,6 +96,30 @@ def quad_scores(pixels: DataFrame, quads: DataFrame, width: int, height: int) ->
     return quads.select("image", "quad").join(scored, ["image", "quad"], "left").select("image", "quad", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def quad_mean(values: Column, quad: Column, width: int, height: int) -> Column:
+    """The mean (score, 0.0 without pixels) and the number (n) of a row-major map's pixels inside a quad, by the rules of quad_scores and inside the map's row."""
+
+    def ends(q: Column, axis: str, size: int) -> Column:
+        cells = [F.get(q, F.lit(k))[axis] for k in range(4)]
+        return F.sequence(
+            F.least(F.greatest(F.floor(F.least(*cells)), F.lit(0)), F.lit(size - 1)).cast("int"), F.least(F.greatest(F.ceil(F.greatest(*cells)), F.lit(0)), F.lit(size - 1)).cast("int")
+        )
+
+    def inside(q: Column) -> Column:
+        whole = F.struct(*[F.get(q, F.lit(k))[axis].cast("long").cast("double").alias(f"{axis}{k}") for k in range(4) for axis in ("x", "y")])
+        corners = lambda c: [(c[f"x{k}"], c[f"y{k}"]) for k in range(4)]
+        line = lambda c, xs, y: F.transform(
+            F.filter(xs, lambda x: in_quad(x.cast("double"), y.cast("double"), corners(c)) & (y * width + x < F.size(values))), lambda x: F.get(values, y * width + x).cast("double")
+        )
+        return let(whole, lambda c: let(ends(q, "x", width), lambda xs: F.flatten(F.transform(ends(q, "y", height), lambda y: line(c, xs, y)))))
+
+    def told(found: Column) -> Column:
+        mean = let(F.array_compact(found), lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, p: s + p) / F.size(v)).otherwise(0.0))
+        return F.struct(mean.alias("score"), F.size(found).cast("long").alias("n"))
+
+    return let(let(quad, inside), told)
+
+
 def turned_values(values: Column, height: Column, width: Column, angle: Column) -> Column:
     """Row-major pixels turned counter-clockwise by a multiple of 90 degrees; other angles leave them.
 
