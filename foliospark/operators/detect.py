@@ -159,6 +159,11 @@ def found_boxes(
     return F.filter(large, lambda b: short_side(b["quad"]) >= least_grown)
 
 
+def with_boxes(maps: DataFrame, width: int, height: int, threshold: float = 0.3, **limits: float) -> DataFrame:
+    """maps plus boxes, by the rules of found_boxes; for a step that takes whole rows."""
+    return with_components(maps, threshold, width).select(*maps.columns, found_boxes(width, height, **limits).alias("boxes"))
+
+
 def box_rows(maps: DataFrame, width: int, height: int, threshold: float = 0.3, **limits: float) -> DataFrame:
     """The boxes of maps (image, values) of one size, a row each: image, region, quad, score."""
     # exploded as they are worked out: of an array column the optimizer would ask the size first, and so work it out twice

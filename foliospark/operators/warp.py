@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: From this ratio of height to width on, a crop is a column of text and is turned.
 UPRIGHT_RATIO = 1.5
+#: Pixels of a crop that are made in one step, and pixels of crops that are given on at once.
+PIXELS_AT_ONCE, GIVEN_AT_ONCE = 1 << 15, 1 << 20
 
 
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -42,34 +45,66 @@ def warp(image: np.ndarray, quad: np.ndarray) -> np.ndarray | None:
     x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
     wx, wy = cubic_weights(u - x0), cubic_weights(v - y0)
     out, each = np.zeros((h, w, *image.shape[2:])), (..., *[None] * (image.ndim - 2))
-    for j in range(4):
-        for i in range(4):
-            x, y = x0 + i - 1, y0 + j - 1
-            inside = (x >= 0) & (x < image.shape[1]) & (y >= 0) & (y < image.shape[0])
-            out += np.where(inside[each], image[np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)], 0) * wx[i][each] * wy[j][each]
+    step, taps = max(PIXELS_AT_ONCE // w, 1), np.arange(-1, 3)[:, None, None]
+    for first in range(0, h, step):
+        s = slice(first, first + step)
+        x, y = x0[s] + taps, y0[s] + taps
+        inside = ((y >= 0) & (y < image.shape[0]))[:, None] & ((x >= 0) & (x < image.shape[1]))[None]
+        near = image[np.clip(y, 0, image.shape[0] - 1)[:, None], np.clip(x, 0, image.shape[1] - 1)[None]]
+        parts = np.where(inside[each], near, 0) * wx[None, :, s][each] * wy[:, None, s][each]
+        for part in parts.reshape(16, *parts.shape[2:]):
+            out[s] += part
     return np.rot90(out) if h / w >= UPRIGHT_RATIO else out
 
 
-def perspective_crops(images: DataFrame, quads: DataFrame) -> DataFrame:
-    """A crop per quad: image, region, height, width, values, error.
+def page_crops(pages: DataFrame) -> DataFrame:
+    """A crop per quad of pages (image, height, width, values, quads: an array with region and quad, of four points): image, region, height, width, values, error.
 
-    images has image, height, width, values; quads has image, region, quad (four points). Spark
-    joins them by image; a task sees a page and one of its quads at a time. A quad without area
-    gives an error instead of a crop.
+    A page comes to its task once, with all its quads. A quad without area gives an error instead of a crop.
     """
-    joined = quads.join(images.select("image", F.col("height").cast("int").alias("h"), F.col("width").cast("int").alias("w"), F.col("values").cast("array<double>").alias("v")), "image")
-    flat = joined.select("image", "region", "h", "w", "v", F.flatten(F.transform("quad", lambda p: F.array(p["x"], p["y"]))).alias("q"))
+    given = pages.select(
+        "image", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "values", F.transform("quads", lambda b: b["region"]).alias("regions"),
+        F.flatten(F.transform("quads", lambda b: F.flatten(F.transform(b["quad"], lambda p: F.array(p["x"], p["y"]))))).alias("corners"),
+    )
+    kinds = {k: given.schema[k].dataType for k in ("image", "regions")}
+
+    def told(images: pa.Array, regions: pa.Array, crops: list[np.ndarray | None]) -> pa.RecordBatch:
+        missing = np.array([c is None for c in crops])
+        side = lambda k: pa.array([None if c is None else c.shape[k] for c in crops], pa.int32())
+        ends = np.cumsum([0, *(0 if c is None else c.size for c in crops)]).astype(np.int32)
+        flat = np.concatenate([np.empty(0), *(c.ravel() for c in crops if c is not None)])
+        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(missing))
+        errors = pa.array(np.where(missing, "no area", None).tolist(), pa.string())
+        return pa.RecordBatch.from_arrays([images, regions, side(0), side(1), values, errors], ["image", "region", "height", "width", "values", "error"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for h, w, v, q in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
-                crop = warp(np.array(v.values, float).reshape(h.as_py(), w.as_py()), np.array(q.values, float).reshape(4, 2))
-                rows.append((None, None, None, "no area") if crop is None else (*crop.shape, crop.ravel().tolist(), None))
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["image", "region", "height", "width", "values", "error"]
-            )
-
-    keys = ", ".join(f"{k} {flat.schema[k].dataType.simpleString()}" for k in ("image", "region"))
-    return flat.mapInArrow(run, f"{keys}, height int, width int, values array<double>, error string")
+            images, regions = batch.column(0), batch.column(4)
+            count = pc.fill_null(pc.list_value_length(regions), 0).to_numpy(zero_copy_only=False)
+            region, corners = regions.flatten(), batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 2)
+            rows, crops, pixels, done = [], [], 0, 0
+            for k in np.flatnonzero(count).tolist():
+                h, w, v = (batch.column(c)[k] for c in (1, 2, 3))
+                image = v.values.to_numpy(zero_copy_only=False).astype(float).reshape(h.as_py(), w.as_py())
+                for _ in range(count[k]):
+                    crops.append(warp(image, corners[done + len(rows)]))
+                    rows.append(k)
+                    pixels += 0 if crops[-1] is None else crops[-1].size
+                    if pixels >= GIVEN_AT_ONCE:
+                        yield told(images.take(pa.array(rows)), region[done : done + len(rows)], crops)
+                        done += len(rows)
+                        rows, crops, pixels = [], [], 0
+            if rows:
+                yield told(images.take(pa.array(rows)), region[done:], crops)
+
+    return given.mapInArrow(run, f"image {kinds['image'].simpleString()}, region {kinds['regions'].elementType.simpleString()}, height int, width int, values array<double>, error string")
+
+
+def perspective_crops(images: DataFrame, quads: DataFrame) -> DataFrame:
+    """A crop per quad: image, region, height, width, values, error.
+
+    images has image, height, width, values; quads has image, region, quad (four points). An
+    image's quads are gathered and joined to it once; page_crops makes the crops.
+    """
+    gathered = quads.groupBy("image").agg(F.collect_list(F.struct("region", "quad")).alias("quads"))
+    return page_crops(images.select("image", "height", "width", "values").join(gathered, "image"))
