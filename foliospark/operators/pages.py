@@ -1,7 +1,7 @@
 """Page images to text: turned upright, detected, cut into lines, read in batches, put together. A page is a row throughout.
 
 Models see what they were trained on: resized, normalised arrays (n, 3, height, width). Each model runs
-once per page or batch, as its stage is written before it is read by more than one other.
+once per page or batch, as all that comes of it is written before it is read by more than one other.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql.types import StructType
 from foliospark.config import ConfigError, PageConfig, model_config
 from foliospark.functions.geometry import let, point, rescaled, short_side, smallest_rectangle, unclip_distance, unrotated_ring
 from foliospark.functions.sizes import batch_width, detection_size, recognition_width
-from foliospark.operators.borders import traced
+from foliospark.operators.borders import hull_of, trace
 from foliospark.operators.decode import UNKNOWN, token_text
 from foliospark.operators.detect import grown
-from foliospark.operators.raster import ClassifierInput, bilinear, cut_out, line_batch, quad_mean, scaled_channels, unpacked
+from foliospark.operators.raster import ClassifierInput, bilinear, cuts, line_batch, quad_mean, scaled_channels, unpacked
 from foliospark.sources.images import decoded_images, image_files, three_channels
 from foliospark.sources.workspace import written
 
@@ -32,6 +32,8 @@ IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
 #: The short sides that a box must have on the score map, before and after it is grown.
 LEAST_SIDE, LEAST_GROWN = 3.0, 5.0
 QUAD = "array<struct<x:double,y:double>>"
+#: Bytes of rows that a task's Python gives on at once.
+GIVEN_AT_ONCE = 1 << 22
 TIMES = ("orientation", "detection_preprocess", "detection_inference", "detection_postprocess", "recognition_preprocess", "recognition_inference", "recognition_postprocess")
 
 
@@ -83,17 +85,37 @@ class Classifier:
         return [self.angles[int(np.argmax(np.where(np.isnan(row), -np.inf, row)))] for row in scores]
 
 
-def _stage(rows: DataFrame, added: str, work, replaced: tuple[str, ...] = ()) -> DataFrame:
-    """rows with more columns (or other values in some) that `work` makes of a row given as a dict; an exception becomes the row's error.
+def _bytes(value) -> int:
+    """About how much memory a value takes that a row is given."""
+    if isinstance(value, np.ndarray):
+        return value.nbytes
+    if isinstance(value, (list, dict)):
+        return sum(map(_bytes, value.values() if isinstance(value, dict) else value))
+    return len(value) if isinstance(value, bytes) else 8
 
-    Rows that have an error already pass through. added names the columns and types that work returns.
+
+def _stage(rows: DataFrame, added: str, *works, replaced: tuple[str, ...] = ()) -> DataFrame:
+    """rows with more columns (or other values in some) that `works` make of a row given as a dict; an exception becomes the row's error.
+
+    Works follow each other within the row: each sees what those before it made, and that stays when one fails.
+    Rows that have an error already pass through. added names the columns and types that works return.
+    Rows are given on as soon as they are GIVEN_AT_ONCE bytes together, one at least, whatever the size of the batch they came in.
     """
     names, more = rows.columns, [x.strip().split(" ", 1)[0] for x in added.split(";")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(x.strip() for x in added.split(";"))])
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
+    def told(given: pa.RecordBatch, made: list[dict]) -> pa.RecordBatch:
+        arrays = []
+        for n, c in zip(names, given.columns, strict=True):
+            if n == "error" or n in replaced:
+                c = pa.array([out[n] if n in out else c[k].as_py() for k, out in enumerate(made)], kinds.field(n).type)
+            arrays.append(c)
+        return pa.RecordBatch.from_arrays([*arrays, *(pa.array([out.get(n) for out in made], kinds.field(n).type) for n in more)], [*names, *more])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first, made, size = 0, [], 0
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
                 row = dict(zip(names, (c[0] for c in one.columns), strict=True))
@@ -101,18 +123,28 @@ def _stage(rows: DataFrame, added: str, work, replaced: tuple[str, ...] = ()) ->
                 error = row["error"].as_py()
                 if error is None:
                     try:
-                        out = work(row)
+                        for work in works:
+                            out |= work(row | out)
                     except Exception as e:  # one bad page never fails the others
                         error = f"{type(e).__name__}: {e}"
                 out["error"] = error
-                arrays = [pa.array([out[n]], kinds.field(n).type) if n in out and (n in replaced or n == "error") else c for n, c in zip(names, one.columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([out.get(n)], kinds.field(n).type) for n in more)], [*names, *more])
+                made.append(out)
+                size += one.nbytes + _bytes(out)
+                if size >= GIVEN_AT_ONCE:
+                    yield told(batch.slice(first, len(made)), made)
+                    first, made, size = k + 1, [], 0
+            if made:
+                yield told(batch.slice(first, len(made)), made)
 
     return rows.mapInArrow(run, schema)
 
 
+def _plain(value):
+    return value.as_py() if isinstance(value, pa.Scalar) else value
+
+
 def _image(row: dict) -> np.ndarray:
-    image = unpacked(row["pixels"].as_py(), row["height"].as_py(), row["width"].as_py())
+    image = unpacked(_plain(row["pixels"]), _plain(row["height"]), _plain(row["width"]))
     if image is None:
         raise ValueError("pixels don't fit the size")
     return image
@@ -124,10 +156,13 @@ def classifier_images(images: DataFrame, image: ClassifierInput) -> DataFrame:
     return _stage(given, "made array<int>", lambda row: {"made": image(_image(row))[..., 0].ravel().astype(int)}).select("image", "made", "error")
 
 
-def upright(pages: DataFrame, classifier: Classifier | None) -> DataFrame:
-    """pages (image, height, width, pixels, error) plus page_height, page_width, angle and orientation: each page turned counter-clockwise by the angle of its class."""
-    pages = pages.select("image", "height", "width", "pixels", "error", F.col("height").alias("page_height"), F.col("width").alias("page_width"))
+_TURNED = ("pixels", "height", "width")
+_UPRIGHT = "angle int; orientation double"
+_SCORED = "map array<double>; detection_preprocess double; detection_inference double"
+_BORDERED = f"hulls array<{QUAD}>"
+
 
+def _turning(classifier: Classifier | None):
     def work(row: dict) -> dict:
         image, began = _image(row), perf_counter()
         angle = classifier([image])[0] if classifier else 0
@@ -135,21 +170,15 @@ def upright(pages: DataFrame, classifier: Classifier | None) -> DataFrame:
         if angle:
             turned = np.rot90(image, angle // 90)
             out |= {"pixels": np.ascontiguousarray(turned).tobytes(), "height": turned.shape[0], "width": turned.shape[1]}
-        else:
-            out |= {n: row[n].as_py() for n in ("pixels", "height", "width")}
         return out
 
-    return _stage(pages, "angle int; orientation double", work, ("pixels", "height", "width"))
+    return work
 
 
-def scored(pages: DataFrame, detector: Model, config: PageConfig) -> DataFrame:
-    """pages plus their score maps (map_height, map_width, map) and the times to make them: resized to multiples of 32, normalised, through the model."""
-    size = detection_size(F.col("width"), F.col("height"), config.det_limit_side_len, config.det_limit_type, config.det_max_side_limit)
-    sized = pages.withColumns({"map_height": size["resized_h"], "map_width": size["resized_w"]})
-
+def _scoring(detector: Model, config: PageConfig):
     def work(row: dict) -> dict:
         began = perf_counter()
-        h, w = row["map_height"].as_py(), row["map_width"].as_py()
+        h, w = _plain(row["map_height"]), _plain(row["map_width"])
         batch = scaled_channels(bilinear(_image(row), h, w), config.channel_order, config.det_mean, config.det_std)[None]
         made = perf_counter()
         out = np.asarray(detector(batch))
@@ -157,7 +186,52 @@ def scored(pages: DataFrame, detector: Model, config: PageConfig) -> DataFrame:
             raise ValueError(f"detection gives {out.shape} for a map of {h} by {w}")
         return {"map": out.ravel().astype(float), "detection_preprocess": made - began, "detection_inference": perf_counter() - made}
 
-    return _stage(sized, "map array<double>; detection_preprocess double; detection_inference double", work)
+    return work
+
+
+def _map(row: dict) -> np.ndarray:
+    values = row["map"]
+    return (values.values.to_numpy() if isinstance(values, pa.Scalar) else values).reshape(_plain(row["map_height"]), _plain(row["map_width"]))
+
+
+def _bordering(config: PageConfig):
+    limit = min(max(config.det_threshold, 0.0), 1.0)
+
+    def work(row: dict) -> dict:
+        borders = trace(_map(row) > limit)[: config.det_max_candidates or None]
+        return {"hulls": [[{"x": x, "y": y} for x, y in hull_of(b.points)] for b in borders]}
+
+    return work
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select("image", "height", "width", "pixels", "error", F.col("height").alias("page_height"), F.col("width").alias("page_width"))
+
+
+def _sized(pages: DataFrame, config: PageConfig) -> DataFrame:
+    size = detection_size(F.col("width"), F.col("height"), config.det_limit_side_len, config.det_limit_type, config.det_max_side_limit)
+    return pages.withColumns({"map_height": size["resized_h"], "map_width": size["resized_w"]})
+
+
+def upright(pages: DataFrame, classifier: Classifier | None) -> DataFrame:
+    """pages (image, height, width, pixels, error) plus page_height, page_width, angle and orientation: each page turned counter-clockwise by the angle of its class."""
+    return _stage(_pages(pages), _UPRIGHT, _turning(classifier), replaced=_TURNED)
+
+
+def scored(pages: DataFrame, detector: Model, config: PageConfig) -> DataFrame:
+    """pages plus their score maps (map_height, map_width, map) and the times to make them: resized to multiples of 32, normalised, through the model."""
+    return _stage(_sized(pages, config), _SCORED, _scoring(detector, config))
+
+
+def bordered(pages: DataFrame, classifier: Classifier | None, detector: Model, config: PageConfig) -> DataFrame:
+    """pages upright and scored, with hulls, the convex hull of each border; all in one pass of a page through Python."""
+
+    def turned_size(row: dict) -> dict:  # a page on its side has its map's sides the other way round
+        h, w = _plain(row["map_height"]), _plain(row["map_width"])
+        return {"map_height": w, "map_width": h} if row["angle"] % 180 else {}
+
+    works = _turning(classifier), turned_size, _scoring(detector, config), _bordering(config)
+    return _stage(_sized(_pages(pages), config), f"{_UPRIGHT}; {_SCORED}; {_BORDERED}", *works, replaced=(*_TURNED, "map_height", "map_width"))
 
 
 def boxed(pages: DataFrame, config: PageConfig) -> DataFrame:
@@ -166,19 +240,19 @@ def boxed(pages: DataFrame, config: PageConfig) -> DataFrame:
     Of each border (holes too, up to det_max_candidates): the smallest rectangle, if its short side is LEAST_SIDE and its mean
     score det_box_threshold at least, grown by its unclip distance, if it then is LEAST_GROWN.
     """
-    names = [c for c in pages.columns if c not in ("map", "map_height", "map_width")]
-    maps = traced(
-        pages.select(F.struct(*names).alias("page"), F.col("map_height").alias("height"), F.col("map_width").alias("width"), F.col("map").alias("values")), config.det_threshold
-    )
-    kept = F.slice("borders", 1, config.det_max_candidates) if config.det_max_candidates else F.col("borders")
-    quads = F.transform(kept, lambda b, k: F.struct(k.alias("region"), smallest_rectangle(b["hull"])["quad"].alias("quad")))
+    return hulls_boxed(_stage(pages, _BORDERED, _bordering(config)), config)
+
+
+def hulls_boxed(pages: DataFrame, config: PageConfig) -> DataFrame:
+    """Scored pages with hulls plus boxes, by the rules of boxed; map and hulls are left out."""
+    names = [c for c in pages.columns if c not in ("map", "map_height", "map_width", "hulls")]
+    quads = F.transform("hulls", lambda hull, k: F.struct(k.alias("region"), smallest_rectangle(hull)["quad"].alias("quad")))
     quads = F.filter(quads, lambda b: short_side(b["quad"]) >= LEAST_SIDE)
-    # written as the rectangles are derived anew wherever a later step names them
-    found = written(maps.select("page.*", F.col("height").alias("map_height"), F.col("width").alias("map_width"), F.col("values").alias("map"), quads.alias("quads")), "rectangles")
+    found = pages.select(*names, "map_height", "map_width", "map", quads.alias("quads"))
 
     def work(row: dict) -> dict:
         began = perf_counter()
-        p = row["map"].values.to_numpy().reshape(row["map_height"].as_py(), row["map_width"].as_py())
+        p = _map(row)
         means = [quad_mean(p, np.array([(c["x"], c["y"]) for c in q["quad"]])) for q in row["quads"].as_py() or []]
         return {"means": means, "detection_postprocess": perf_counter() - began}
 
@@ -205,7 +279,7 @@ def lined(pages: DataFrame, config: PageConfig, classifier: Classifier | None =
     def work(row: dict) -> dict:
         image, began = _image(row), perf_counter()
         boxes = row["boxes"].as_py() or []
-        crops = [cut_out(image, np.array([(c["x"], c["y"]) for c in b["quad"]]), config.rec_crop_mode == "axis_aligned") for b in boxes]
+        crops = cuts(image, [np.array([(c["x"], c["y"]) for c in b["quad"]]) for b in boxes], config.rec_crop_mode == "axis_aligned")
         cut = perf_counter()
         for at in range(0, len(crops) if classifier else 0, size):
             some = crops[at : at + size]
@@ -219,11 +293,13 @@ def lined(pages: DataFrame, config: PageConfig, classifier: Classifier | None =
     return out.withColumn("orientation", F.col("orientation") + F.col("turning")).drop("pixels", "turning")
 
 
-def line_batches(pages: DataFrame, config: PageConfig) -> DataFrame:
+def line_batches(pages: DataFrame, config: PageConfig, kept: tuple[str, ...] = ()) -> DataFrame:
     """A row per batch of lines: image, batch, lines and the batch's width.
 
     A page's lines are sorted by aspect ratio within the page's row and cut into batches; batches
     of all pages are then dealt to tasks, so that a page with very many lines is read by many.
+    With `kept`, columns of a page that are to stay with it, its first batch has them too, as page;
+    a page without lines then has a row without a batch.
     """
     target = lambda x: recognition_width(x["width"], x["height"], config.rec_height, config.rec_min_width)
     ranked = F.array_sort(F.transform("lines", lambda x: F.struct(
@@ -231,7 +307,13 @@ def line_batches(pages: DataFrame, config: PageConfig) -> DataFrame:
     )))
     count, size = F.size("lines"), config.rec_batch_size
     parts = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / size).cast("int")), lambda b: F.struct(b.alias("batch"), F.slice("_ranked", b * size + 1, size).alias("lines")))
-    rows = pages.filter(count > 0).select("image", ranked.alias("_ranked"), "lines").select("image", F.explode(parts).alias("b")).select("image", "b.*")
+    if kept:
+        given = pages.select("image", F.struct(*kept).alias("_page"), F.when(count > 0, ranked).alias("_ranked"), "lines")
+        rows = given.select("image", "_page", F.explode_outer(F.when(count > 0, parts)).alias("b")).select(
+            "image", F.when(F.coalesce("b.batch", F.lit(0)) == 0, F.col("_page")).alias("page"), "b.batch", "b.lines"
+        )
+    else:
+        rows = pages.filter(count > 0).select("image", ranked.alias("_ranked"), "lines").select("image", F.explode(parts).alias("b")).select("image", "b.*")
     widest = batch_width(F.array_max(F.transform("lines", lambda x: x["target"])), config.rec_min_width, config.rec_max_width, config.rec_width_alignment)
     return rows.withColumn("batch_width", widest).repartition("image", "batch")
 
@@ -239,12 +321,14 @@ def line_batches(pages: DataFrame, config: PageConfig) -> DataFrame:
 def read_batches(batches: DataFrame, recogniser: Model, config: PageConfig) -> DataFrame:
     """Every line of the batches: image, region, ks and ps (best class and probability of its valid steps), or the batch's error; and its batch's times.
 
-    A batch is one padded tensor. Steps of the padding are cut off by each line's share of the width.
+    A batch is one padded tensor. Steps of the padding are cut off by each line's share of the width. A row without lines has nothing read.
     """
     widths = F.transform("lines", lambda x: F.least(F.greatest(x["target"], F.lit(1)), F.col("batch_width"), F.lit(max(config.rec_max_width, config.rec_min_width))))
     given = batches.withColumns({"widths": widths, "error": F.lit(None).cast("string")})
 
     def work(row: dict) -> dict:
+        if not row["lines"].is_valid:
+            return {}
         began = perf_counter()
         lines, width = row["lines"].as_py(), row["batch_width"].as_py()
         own = row["widths"].as_py()
@@ -260,8 +344,9 @@ def read_batches(batches: DataFrame, recogniser: Model, config: PageConfig) -> D
         steps = out.shape[1]
         scale = np.float32(steps) / np.float32(width)
         valid = [int(min(max(np.floor(np.float64(scale * np.float32(w)) + 0.5), 1), steps)) for w in own]
-        found = [best_steps(out[k, :n]) for k, n in enumerate(valid)]
-        told = [{"region": x["region"], "ks": k.tolist(), "ps": p.tolist()} for x, (k, p) in zip(lines, found, strict=True)]
+        found = [x.tolist() for x in best_steps(np.concatenate([out[k, :n] for k, n in enumerate(valid)]))]
+        ends = np.cumsum(valid).tolist()
+        told = [{"region": x["region"]} | {c: f[e - n : e] for c, f in zip(("ks", "ps"), found, strict=True)} for x, n, e in zip(lines, valid, ends, strict=True)]
         return {"read": told, "recognition_preprocess": made - began, "recognition_inference": read - made, "recognition_postprocess": perf_counter() - read}
 
     return _stage(
@@ -306,13 +391,16 @@ def read_images(
     """
     given = images if "error" in images.columns else images.withColumn("error", F.lit(None).cast("string"))
     given = given.select("image", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels", "error")
-    pages = written(lined(boxed(written(scored(upright(given, page_classifier), detector, config), "score-maps"), config), config, line_classifier), "page-lines")
-    read = written(read_batches(line_batches(pages.filter("error IS NULL"), config), recogniser, config), "read-batches")
+    # pixels and maps pass from step to step by rows and are never in a table: a table's reader holds thousands of rows at once, whatever their size
+    cut = lined(hulls_boxed(bordered(given, page_classifier, detector, config), config), config, line_classifier)
+    kept = tuple(c for c in cut.columns if c not in ("image", "lines", "height", "width"))
+    read = written(read_batches(line_batches(cut, config, kept), recogniser, config), "read-batches")
+    pages = read.filter("page IS NOT NULL").select("image", "page.*")
     spent = [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_{c}") for c in TIMES[4:]]
     of_page = read.groupBy("image").agg(F.min("error").alias("_batch_error"), *spent)
     # a hot page has as many rows here as it has lines, and they are its result
     told = texts(read, dictionary).groupBy("image").agg(F.collect_list(F.struct("region", "text", "confidence")).alias("_texts"))
-    both = pages.drop("lines", "height", "width").join(of_page, "image", "left").join(told, "image", "left")
+    both = pages.join(of_page, "image", "left").join(told, "image", "left")
     both = both.withColumn("_texts", F.map_from_entries(F.transform("_texts", lambda t: F.struct(t["region"], F.struct(t["text"].alias("text"), t["confidence"].alias("confidence"))))))
     results = F.transform("boxes", lambda b: F.struct(
         b["region"].alias("region"), F.try_element_at("_texts", b["region"])["text"].alias("text"), F.try_element_at("_texts", b["region"])["confidence"].alias("confidence"),
@@ -339,4 +427,4 @@ def read_encoded(rows: DataFrame, key: str, content: str, *args, **settings) ->
     return read_images(three_channels(decoded_images(rows, key, content).withColumnRenamed(key, "image")), *args, **settings)
 
 
-__all__ = ["Classifier", "ClassifierInput", "Model", "UNKNOWN", "boxed", "line_batches", "lined", "read_batches", "read_encoded", "read_files", "read_images", "scored", "texts", "upright"]
+__all__ = ["Classifier", "ClassifierInput", "Model", "UNKNOWN", "bordered", "boxed", "hulls_boxed", "line_batches", "lined", "read_batches", "read_encoded", "read_files", "read_images", "scored", "texts", "upright"]

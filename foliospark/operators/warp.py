@@ -30,31 +30,68 @@ def cubic_weights(f: np.ndarray) -> np.ndarray:
     return np.stack([((-0.5 * f + 1) * f - 0.5) * f, (1.5 * f - 2.5) * f * f + 1, ((-1.5 * f + 2) * f + 0.5) * f, (0.5 * f - 0.5) * f * f])
 
 
-def warp(image: np.ndarray, quad: np.ndarray) -> np.ndarray | None:
-    """The quad's content as an upright image, bicubic and 0 outside; None where the quad has no area. The image may have channels."""
+def _places(quad: np.ndarray) -> np.ndarray | None:
+    """Where on the image the pixels of a quad's content are: (2, height, width); None where the quad has no area."""
     side = lambda a, b: np.hypot(*(quad[a] - quad[b]))
     w, h = max(int(max(side(0, 1), side(3, 2))), 1), max(int(max(side(0, 3), side(1, 2))), 1)
     try:
         m = homography(np.array([(0, 0), (w, 0), (w, h), (0, h)], float), quad)
     except np.linalg.LinAlgError:
         return None
-    ys, xs = np.mgrid[0:h, 0:w]
-    u, v, k = np.tensordot(m, np.stack([xs, ys, np.ones_like(xs)]).astype(float), 1)
-    k = np.where(np.abs(k) < 1e-12, 1e-12, k)
-    u, v = u / k, v / k
-    x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
-    wx, wy = cubic_weights(u - x0), cubic_weights(v - y0)
-    out, each = np.zeros((h, w, *image.shape[2:])), (..., *[None] * (image.ndim - 2))
-    step, taps = max(PIXELS_AT_ONCE // w, 1), np.arange(-1, 3)[:, None, None]
-    for first in range(0, h, step):
-        s = slice(first, first + step)
-        x, y = x0[s] + taps, y0[s] + taps
-        inside = ((y >= 0) & (y < image.shape[0]))[:, None] & ((x >= 0) & (x < image.shape[1]))[None]
-        near = image[np.clip(y, 0, image.shape[0] - 1)[:, None], np.clip(x, 0, image.shape[1] - 1)[None]]
-        parts = np.where(inside[each], near, 0) * wx[None, :, s][each] * wy[:, None, s][each]
-        for part in parts.reshape(16, *parts.shape[2:]):
-            out[s] += part
-    return np.rot90(out) if h / w >= UPRIGHT_RATIO else out
+    at = np.ones((3, h, w))
+    at[0], at[1] = np.arange(w), np.arange(h)[:, None]
+    at = np.dot(m, at.reshape(3, h * w))
+    at[2][np.abs(at[2]) < 1e-12] = 1e-12
+    return (at[:2] / at[2]).reshape(2, h, w)
+
+
+def warps(image: np.ndarray, quads: np.ndarray | list[np.ndarray]) -> Iterator[np.ndarray | None]:
+    """The content of each quad as an upright image, bicubic and 0 outside; None where a quad has no area. The image may have channels.
+
+    Small quads are made together.
+    """
+    # with margins, whose values are 0, a pixel far outside has neighbours as well
+    edge = 4
+    wide = np.zeros((image.shape[0] + 2 * edge, image.shape[1] + 2 * edge, *image.shape[2:]), image.dtype)
+    wide[edge:-edge, edge:-edge] = image
+    flat, line = np.ascontiguousarray(wide.reshape(wide.shape[0] * wide.shape[1], -1).T), wide.shape[1]  # a channel at a time is the faster way
+
+    def made(places: list[np.ndarray | None]) -> Iterator[np.ndarray | None]:
+        us, vs = (np.concatenate([np.empty(0), *(p[k].ravel() for p in places if p is not None)]) for k in (0, 1))
+        out = np.zeros((len(flat), len(us)))
+        for first in range(0, len(us), PIXELS_AT_ONCE):
+            s = slice(first, first + PIXELS_AT_ONCE)
+            x0, y0 = np.floor(us[s]).astype(int), np.floor(vs[s]).astype(int)
+            wx, wy = cubic_weights(us[s] - x0), cubic_weights(vs[s] - y0)
+            at = (np.clip(y0, 1 - edge, image.shape[0] + 1) + edge - 1) * line + np.clip(x0, 1 - edge, image.shape[1] + 1) + edge - 1
+            part = out[:, s]
+            for j in range(4):
+                for i in range(4):
+                    part += flat.take(at + (j * line + i), 1) * wx[i] * wy[j]
+        done = 0
+        for p in places:
+            if p is None:
+                yield None
+                continue
+            h, w = p.shape[1:]
+            crop = out[:, done : done + h * w].T.reshape(h, w, *image.shape[2:])
+            done += h * w
+            yield np.rot90(crop) if h / w >= UPRIGHT_RATIO else crop
+
+    held, pixels = [], 0
+    for quad in quads:
+        held.append(_places(quad))
+        pixels += 0 if held[-1] is None else held[-1][0].size
+        if pixels >= PIXELS_AT_ONCE:
+            yield from made(held)
+            held, pixels = [], 0
+    yield from made(held)
+
+
+def warp(image: np.ndarray, quad: np.ndarray) -> np.ndarray | None:
+    """One quad's content, as by warps."""
+    (made,) = warps(image, [quad])
+    return made
 
 
 def page_crops(pages: DataFrame) -> DataFrame:
@@ -86,8 +123,9 @@ def page_crops(pages: DataFrame) -> DataFrame:
             for k in np.flatnonzero(count).tolist():
                 h, w, v = (batch.column(c)[k] for c in (1, 2, 3))
                 image = v.values.to_numpy(zero_copy_only=False).astype(float).reshape(h.as_py(), w.as_py())
-                for _ in range(count[k]):
-                    crops.append(warp(image, corners[done + len(rows)]))
+                at = done + len(rows)
+                for crop in warps(image, corners[at : at + count[k]]):
+                    crops.append(crop)
                     rows.append(k)
                     pixels += 0 if crops[-1] is None else crops[-1].size
                     if pixels >= GIVEN_AT_ONCE:

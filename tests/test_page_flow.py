@@ -266,3 +266,27 @@ def test_pages_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
     spark.createDataFrame([(k, [0.2] * 64) for k in range(40)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     dealt = _images(spark, str(tmp_path)).withColumn("part", F.spark_partition_id())
     assert dealt.count() == 40 and dealt.select("part").distinct().count() > 4
+
+
+def test_no_table_of_the_flow_holds_pixels_or_maps(spark, monkeypatch):
+    """A table's reader holds thousands of rows at once: with pixels or maps in them an executor's memory is full."""
+    from foliospark.operators import pages as flow
+
+    kept, written = {}, flow.written
+
+    def noted(df, name):
+        kept[name] = df.schema.simpleString()
+        return written(df, name)
+
+    monkeypatch.setattr(flow, "written", noted)
+    dull = np.zeros((40, 40, 3), np.uint8)
+    rows = read_images(frame(spark, [page(), dull, (4, 4, None), np.rot90(page())]), letters(spark), BrightDetector(), ColumnReader(), PLAIN, CORNERS).collect()
+    found = lines(rows)
+    assert len(found[0]) == len(found[3]) == 3 and found[1] == [] and "pixels" in found[2]
+    assert kept and not [n for n, s in kept.items() if "binary" in s or "map:" in s]
+
+
+def test_a_page_keeps_what_was_found_before_its_error(spark):
+    turned = np.ascontiguousarray(np.rot90(page(), -1))
+    (row,) = read_images(frame(spark, [turned]), letters(spark), Wrong((1, 1, 5, 5)), ColumnReader(), PLAIN, CORNERS).collect()
+    assert row["angle"] == 90 and "for a map of 96 by 128" in row["error"]
